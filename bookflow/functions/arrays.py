@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTS_TYPE = "array<struct<value:string,n:int,first_pos:int>>"
@@ -17,6 +17,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_rows(df: DataFrame, arr: str, *, pos: str | None = None, item: str) -> DataFrame:
+    """Explode a computed array column, dropping it.
+
+    For a plain explode of a column Spark infers ``size(column) > 0`` and pushes that below the
+    projection that computes it, so the array is computed twice. An outer explode infers nothing.
+    """
+    keep = [c for c in df.columns if c != arr]
+    if pos is None:
+        out = df.select(*keep, F.posexplode_outer(arr).alias("__pos", item))
+        return out.filter(F.col("__pos").isNotNull()).drop("__pos")
+    out = df.select(*keep, F.posexplode_outer(arr).alias(pos, item))
+    return out.filter(F.col(pos).isNotNull())
+
+
 def indexes(arr: Column) -> Column:
     """0-based positions; empty for an empty array."""
     return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(

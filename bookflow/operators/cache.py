@@ -35,10 +35,10 @@ def bank_digest(bank: DataFrame) -> DataFrame:
     return tree_hash(bank, ["project_id"], "item_idx", row, "bank_sha")
 
 
-def summaries_digest(summaries: DataFrame) -> DataFrame:
+def summaries_digest(summaries: DataFrame, book: str = "project_id") -> DataFrame:
     """Over title and summary only: the update time must not change a key."""
     row = F.sha2(_joined(F.col("title"), F.col("summary")), 256)
-    return tree_hash(summaries, ["project_id"], "chapter_index", row, "summaries_sha")
+    return tree_hash(summaries, [book], "chapter_index", row, "summaries_sha")
 
 
 def fingerprint(
@@ -47,16 +47,18 @@ def fingerprint(
     terms: DataFrame,
     bank: DataFrame,
     summaries: DataFrame,
+    book: str = "project_id",
 ) -> DataFrame:
     """Add ``fingerprint``: SHA-256 over settings, glossary, bank, summaries and text.
 
     Settings are hashed once on the driver and tables once per project, so a segment only hashes
     its own text.
     """
-    out = segs
-    digests = (glossary_digest(terms), bank_digest(bank), summaries_digest(summaries))
-    for digest in digests:
-        out = out.join(digest, "project_id", "left")
+    out = (
+        segs.join(glossary_digest(terms), "project_id", "left")
+        .join(bank_digest(bank), "project_id", "left")
+        .join(summaries_digest(summaries, book), book, "left")
+    )
     parts = [F.coalesce(c, F.lit("")) for c in ("glossary_sha", "bank_sha", "summaries_sha")]
     key = F.sha2(
         F.concat_ws("\x1f", F.lit(cfg.digest()), *parts, F.sha2(F.col("text"), 256)), 256

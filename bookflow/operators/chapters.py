@@ -62,8 +62,7 @@ def split_chapters(books: DataFrame, keep_preamble: bool = False) -> DataFrame:
         _by_headings(F.col("lines"), F.col("heads"), keep_preamble),
     ).otherwise(_by_size(F.col("text")))
     return (
-        marked.select("book_id", chapters.alias("chapters"))
-        .select("book_id", F.posexplode("chapters").alias("chapter_index", "c"))
+        marked.select("book_id", F.posexplode(chapters).alias("chapter_index", "c"))
         .select("book_id", "chapter_index", "c.title", "c.text")
     )
 

@@ -27,10 +27,11 @@ def prompt_context(
     cfg: JobConfig,
     small_terms: bool | None = None,
     small_bank: bool | None = None,
+    book: str = "project_id",
 ) -> DataFrame:
     """Add glossary, summary and retrieval text and their token estimates to each segment.
 
-    ``segs`` carries ``project_id``; the estimates are taken before the budgets cut the texts and
+    ``segs`` carries ``project_id``, and summaries belong to its ``book`` column. The estimates are taken before the budgets cut the texts and
     the glossary estimate counts matched terms only.
     """
     base = segs.columns
@@ -40,10 +41,9 @@ def prompt_context(
         terms,
         cfg.glossary_limit,
     )
-    chapters = segs.select("project_id", "chapter_index")
-    previous = previous_summaries(chapters, summaries)
-    joined = current_summary(termed, summaries).join(
-        previous, ["project_id", "chapter_index"], "left"
+    previous = previous_summaries(segs.select(book, "chapter_index"), summaries, book=book)
+    joined = current_summary(termed, summaries, book).join(
+        previous, [book, "chapter_index"], "left"
     )
     texts = joined.select(
         *base,

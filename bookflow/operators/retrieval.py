@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow import constants as C
+from bookflow.functions.arrays import explode_rows
 from bookflow.functions.text import js_trim, non_empty, paragraphs, tokens
 from bookflow.operators.matching import contains_pairs, fits
 from bookflow.operators.ordering import joined_parts
@@ -105,7 +106,7 @@ def score_context(
     wordy = segs.select(*keys, "project_id", tokens(F.col(text)).alias("tokens"))
     if bounded:
         wordy = wordy.repartition(*keys)
-    queries = wordy.select(*keys, "project_id", F.explode("tokens").alias("token"))
+    queries = explode_rows(wordy, "tokens", item="token")
     index = token_index(bank)
     long_run = F.exists(_runs(), lambda r: F.length(r) > SHORT_RUN)
     if bank.filter(long_run).limit(1).count():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.config import JobConfig
+from bookflow.functions.arrays import explode_rows
 from bookflow.functions.text import fixed_slices, js_trim, paragraphs
 from bookflow.operators.chapters import numbered_title
 
@@ -78,26 +79,15 @@ def segment_pieces(df: DataFrame, cfg: JobConfig, text: str = "text") -> DataFra
 def build_segments(chapters: DataFrame, cfg: JobConfig) -> DataFrame:
     """``chapters(job_id, chapter_index, title, text)`` -> pending segments."""
     kept = chapters.select("job_id", "chapter_index", "title", "text")
-    return (
-        segment_pieces(kept, cfg)
-        .select(
-            "job_id",
-            F.col("chapter_index").cast("int").alias("chapter_index"),
-            numbered_title(F.col("title"), F.col("chapter_index")).alias("chapter_title"),
-            F.size("pieces").alias("segments_total"),
-            F.posexplode("pieces").alias("pos", "text"),
-        )
-        .select(
-            "job_id",
-            F.format_string("c%d-s%d", F.col("chapter_index") + 1, F.col("pos") + 1).alias(
-                "segment_id"
-            ),
-            "chapter_index",
-            "chapter_title",
-            (F.col("pos") + 1).alias("segment_index"),
-            "segments_total",
-            "text",
-            F.lit("pending").alias("status"),
-            F.lit(0).alias("attempts"),
-        )
+    counted = segment_pieces(kept, cfg).withColumn("segments_total", F.size("pieces"))
+    return explode_rows(counted, "pieces", pos="pos", item="text").select(
+        "job_id",
+        F.format_string("c%d-s%d", F.col("chapter_index") + 1, F.col("pos") + 1).alias("segment_id"),
+        F.col("chapter_index").cast("int").alias("chapter_index"),
+        numbered_title(F.col("title"), F.col("chapter_index")).alias("chapter_title"),
+        (F.col("pos") + 1).alias("segment_index"),
+        "segments_total",
+        "text",
+        F.lit("pending").alias("status"),
+        F.lit(0).alias("attempts"),
     )

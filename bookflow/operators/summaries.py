@@ -79,10 +79,10 @@ def summary_text(translated: Column, source: Column) -> Column:
     return F.coalesce(non_empty(first_sentences(text, C.SUMMARY_CHARS)), F.lit(C.NO_SUMMARY))
 
 
-def current_summary(segs: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Left join each segment's own chapter summary as ``summary``."""
-    own = summaries.select("project_id", "chapter_index", "summary")
-    return segs.join(own, ["project_id", "chapter_index"], "left")
+def current_summary(segs: DataFrame, summaries: DataFrame, book: str = "project_id") -> DataFrame:
+    """Left join each segment's own chapter summary as ``summary``; ``book`` names the book key."""
+    own = summaries.select(book, "chapter_index", "summary")
+    return segs.join(own, [book, "chapter_index"], "left")
 
 
 def summary_line(title: Column, chapter_index: Column, summary: Column) -> Column:
@@ -90,36 +90,39 @@ def summary_line(title: Column, chapter_index: Column, summary: Column) -> Colum
 
 
 def previous_summaries(
-    chapters: DataFrame, summaries: DataFrame, n: int = C.PREVIOUS_SUMMARIES
+    chapters: DataFrame,
+    summaries: DataFrame,
+    n: int = C.PREVIOUS_SUMMARIES,
+    book: str = "project_id",
 ) -> DataFrame:
-    """``project_id, chapter_index, previous``: the last ``n`` summaries before each chapter.
+    """``book, chapter_index, previous``: the last ``n`` summaries before each chapter.
 
     Chapters without a summary are passed over, so each chapter first learns how many summaries
     precede it (a skew-safe running count); the summary with rank r serves the chapters that see
     r+1 .. r+n of them. The join keys are spread over the chapters even if one book holds most.
     """
-    keys = ["project_id", "chapter_index"]
+    keys = [book, "chapter_index"]
     lines = summaries.select(
         *keys, summary_line(F.col("title"), F.col("chapter_index"), F.col("summary")).alias("line")
     )
     marks = chapters.select(*keys).distinct().join(lines, keys, "full")
     ranked = running_total(
-        marks, ["project_id"], "chapter_index", F.col("line").isNotNull().cast("int"), "seen"
+        marks, [book], "chapter_index", F.col("line").isNotNull().cast("int"), "seen"
     )
     served = (
         ranked.filter(F.col("line").isNotNull())
         .select(
-            "project_id",
+            book,
             F.col("seen").alias("rank"),
             "line",
             F.explode(F.sequence(F.col("seen") + 1, F.col("seen") + n)).alias("seen"),
         )
-        .groupBy("project_id", "seen")
+        .groupBy(book, "seen")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("ls"))
         .select(
-            "project_id",
+            book,
             "seen",
             F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("previous"),
         )
     )
-    return ranked.join(served, ["project_id", "seen"]).select(*keys, "previous")
+    return ranked.join(served, [book, "seen"]).select(*keys, "previous")

@@ -20,7 +20,7 @@ from bookflow.functions.text import clip_error, demo_translate, js_trim
 from bookflow.operators.cache import cache_lookup, new_entries
 from bookflow.operators.work import dedupe_work
 from bookflow.schemas import SEG_KEYS
-from bookflow.session import materialize, scratch_dir
+from bookflow.session import materialize
 
 # request fields -> (text, usage); raises on failure
 Translator = Callable[[dict], "tuple[str, str | None]"]
@@ -169,8 +169,7 @@ def translate_batch(
         calls = demo_calls(requests, cfg)
     else:
         calls = translate(requests, fn, cfg.retries, partitions, concurrency, sleep)
-    root = path or scratch_dir(segs.sparkSession)
-    calls = materialize(calls, "calls", root)
+    calls = materialize(calls, "calls", path)
 
     call_key = F.col("fingerprint") if cfg.use_cache else F.concat_ws("\x1f", *SEG_KEYS)
     outcome = calls.select(

@@ -28,6 +28,15 @@ def build_session(app: str = "bookflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer tasks than there are cores.
+
+    A large table has far more splits than cores and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 

@@ -136,12 +136,13 @@ def epub_chapters(members: DataFrame, spine: DataFrame) -> DataFrame:
     )
     decoded = pages.select("book_id", "pos", "href", decode_udf()("bytes")["text"].alias("html"))
     numbered = F.concat(F.lit("Chapter "), (F.col("pos") + 1).cast("string"))
+    page = F.struct(
+        html_title(F.col("html"), numbered).alias("title"), html_body(F.col("html")).alias("text")
+    )
+    # blank pages are dropped inside the row: a filter would be pushed down and parse them twice
+    readable = F.explode(F.filter(F.array(page), lambda p: p["text"] != ""))
     parsed = decoded.select(
-        "book_id",
-        "pos",
-        html_title(F.col("html"), numbered).alias("title"),
-        html_body(F.col("html")).alias("text"),
-        F.col("href").alias("source_path"),
-    ).filter(F.col("text") != "")
+        "book_id", "pos", F.col("href").alias("source_path"), readable.alias("p")
+    ).select("book_id", "pos", "p.title", "p.text", "source_path")
     rank = F.row_number().over(W.partitionBy("book_id").orderBy("pos"))
     return parsed.select("book_id", (rank - 1).alias("chapter_index"), "title", "text", "source_path")

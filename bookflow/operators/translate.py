@@ -12,7 +12,6 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bookflow import constants as C
 from bookflow.config import JobConfig
@@ -26,9 +25,8 @@ from bookflow.session import materialize
 Translator = Callable[[dict], "tuple[str, str | None]"]
 
 _LOG = "array<struct<attempt:int,status:string,error:string,ts:timestamp>>"
-_CALL_SCHEMA = T.StructType.fromDDL(
-    f"fingerprint string, translated_text string, usage string, error string, log {_LOG}"
-)
+_CALL_NAMES = ["fingerprint", "translated_text", "usage", "error", "log"]
+_CALL_SCHEMA = f"fingerprint string, translated_text string, usage string, error string, log {_LOG}"
 
 
 class TranslateError(Exception):
@@ -104,7 +102,7 @@ def translate(
                     {"fingerprint": row["fingerprint"], **result}
                     for row, result in zip(rows, pool.map(call, rows))
                 ]
-                yield pd.DataFrame(done, columns=_CALL_SCHEMA.names)
+                yield pd.DataFrame(done, columns=_CALL_NAMES)
 
     return requests.repartition(n, "fingerprint").mapInPandas(run, _CALL_SCHEMA)
 

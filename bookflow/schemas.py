@@ -1,20 +1,18 @@
-"""Table schemas."""
-
-from pyspark.sql import types as T
+"""Table schemas as DDL, so that importing them needs no session."""
 
 SEG_KEYS = ["job_id", "segment_id"]
 
-TEXT_BOOK = T.StructType.fromDDL(
+TEXT_BOOK = (
     "book_id string, name string, encoding string, score double, text string"
 )
-BOOKS = T.StructType.fromDDL(
+BOOKS = (
     "book_id string, name string, title string, format string, encoding string, files int"
 )
-CHAPTERS = T.StructType.fromDDL(
+CHAPTERS = (
     "book_id string, chapter_index int, title string, text string, source_path string"
 )
-REJECTS = T.StructType.fromDDL("book_id string, name string, reason string")
-SEGMENTS = T.StructType.fromDDL(
+REJECTS = ("book_id string, name string, reason string")
+SEGMENTS = (
     "job_id string, segment_id string, chapter_index int, chapter_title string, "
     "segment_index int, segments_total int, text string, status string, attempts int"
 )
@@ -22,31 +20,31 @@ TERM_FIELDS = (
     "id string, source string, target string, aliases array<string>, note string, "
     "category string, match_type string"
 )
-GLOSSARY = T.StructType.fromDDL(f"project_id string, term_idx int, {TERM_FIELDS}")
-CONTEXT_BANK = T.StructType.fromDDL(
+GLOSSARY = (f"project_id string, term_idx int, {TERM_FIELDS}")
+CONTEXT_BANK = (
     "project_id string, item_idx int, id string, title string, text string"
 )
-CHAPTER_SUMMARIES = T.StructType.fromDDL(
+CHAPTER_SUMMARIES = (
     "project_id string, chapter_index int, title string, summary string, "
     "characters array<string>, terms array<struct<source:string,target:string,note:string>>, "
     "updated_at timestamp"
 )
-CACHE = T.StructType.fromDDL(
+CACHE = (
     "version int, key string, created_at timestamp, provider string, model string, "
     "source_language string, target_language string, text string, usage string"
 )
-MEMBERS = T.StructType.fromDDL(
+MEMBERS = (
     "book_id string, name string, member_path string, bytes binary, reject string"
 )
-TRANSLATED = T.StructType.fromDDL(
+TRANSLATED = (
     "fingerprint string, translated_text string, usage string, error string, attempts int"
 )
-ATTEMPTS = T.StructType.fromDDL(
+ATTEMPTS = (
     "job_id string, segment_id string, attempt int, status string, error string, ts timestamp"
 )
 
 # A project document as a user exports or imports it.
-PROJECT_DOCUMENT = T.StructType.fromDDL(
+PROJECT_DOCUMENT = (
     "id string, title string, "
     "book struct<title:string,chapters:array<struct<title:string,text:string>>>, "
     "settings map<string,string>, "
@@ -62,3 +60,8 @@ PROJECT_DOCUMENT = T.StructType.fromDDL(
     "results array<struct<title:string,sourceText:string,translatedText:string>>, "
     "glossary string, lastJobId string, createdAt string, updatedAt string, exportedAt string"
 )
+
+
+def names(ddl: str) -> list[str]:
+    """The column names of a flat schema."""
+    return [field.split()[0] for field in ddl.split(",")]

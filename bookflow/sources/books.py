@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.html import base_name
 from bookflow.operators.chapters import split_chapters
-from bookflow.schemas import BOOKS, CHAPTERS, REJECTS
+from bookflow.schemas import BOOKS, CHAPTERS, REJECTS, names as columns
 from bookflow.sources.epub import (
     NO_CHAPTERS,
     epub_chapters,
@@ -70,7 +70,7 @@ def parse_files(files: DataFrame) -> Library:
     rejects = (
         bad.unionByName(blank)
         .join(names, "book_id")
-        .select(*REJECTS.names)
+        .select(*columns(REJECTS))
         .unionByName(
             files.filter(~ext.isin(".txt", "", ".epub")).select(
                 "book_id", "name", F.lit(UNSUPPORTED).alias("reason")
@@ -78,8 +78,8 @@ def parse_files(files: DataFrame) -> Library:
         )
     )
     return Library(
-        text_books.unionByName(epub_books).select(*BOOKS.names),
-        text_chapters.unionByName(pages).select(*CHAPTERS.names),
+        text_books.unionByName(epub_books).select(*columns(BOOKS)),
+        text_chapters.unionByName(pages).select(*columns(CHAPTERS)),
         rejects,
     )
 

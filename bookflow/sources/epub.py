@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.html import extract_attrs, html_body, html_title, resolve_path, strip_tags
 from bookflow.functions.text import non_empty
-from bookflow.schemas import MEMBERS
+from bookflow.schemas import MEMBERS, names
 from bookflow.sources.text_files import decode_udf
 
 CONTAINER = "META-INF/container.xml"
@@ -26,6 +26,9 @@ NO_OPF = "Invalid EPUB: missing OPF file "
 NO_CHAPTERS = "Invalid EPUB: no readable XHTML chapters"
 
 
+_MEMBER_NAMES = names(MEMBERS)
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for book_id, name, content in zip(batch["book_id"], batch["name"], batch["content"]):
@@ -35,10 +38,10 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     # a repeated member name counts once, with its last content
                     for path, info in {i.filename: i for i in archive.infolist()}.items():
                         row = {**head, "member_path": path, "bytes": archive.read(info)}
-                        yield pd.DataFrame([row], columns=MEMBERS.names)
+                        yield pd.DataFrame([row], columns=_MEMBER_NAMES)
             except Exception as error:  # noqa: BLE001 - a bad archive is a row, not a failed task
                 row = {**head, "reject": f"{NO_ARCHIVE}: {error}"}
-                yield pd.DataFrame([row], columns=MEMBERS.names)
+                yield pd.DataFrame([row], columns=_MEMBER_NAMES)
 
 
 def epub_members(files: DataFrame) -> DataFrame:

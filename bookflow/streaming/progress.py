@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bookflow.operators.work import job_outcome, latest_status, progress
+from bookflow.schemas import names
 from bookflow.streaming.state import read_batches, write_batch
 
-LATEST = T.StructType.fromDDL(
-    "job_id string, segment_id string, status string, ts timestamp, attempt int"
-)
+LATEST = "job_id string, segment_id string, status string, ts timestamp, attempt int"
 
 
 def stream_progress(attempts: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
@@ -22,7 +20,7 @@ def stream_progress(attempts: DataFrame, state: str, checkpoint: str) -> Streami
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_status(batch).select(*LATEST.names)
+        latest = latest_status(batch).select(*names(LATEST))
         write_batch(latest, state, batch_id)
 
     return (

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches below ``path`` with their number as ``batch``; empty before the first."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    full = f"{schema}, batch long"
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as error:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bookflow.config import JobConfig
 from bookflow.operators.translate import Translator, translate_batch
 from bookflow.operators.work import resume_filter
-from bookflow.schemas import ATTEMPTS, CACHE
+from bookflow.schemas import ATTEMPTS, CACHE, names
 from bookflow.streaming.state import earlier, read_batches, write_batch
 
-RESULTS = T.StructType.fromDDL(
+RESULTS = (
     "job_id string, segment_id string, fingerprint string, status string, "
     "translated_text string, attempts int, error string, usage string, completed_at timestamp"
 )
@@ -59,7 +58,7 @@ def stream_translate(
 def read_results(spark: SparkSession, state: str) -> DataFrame:
     """The latest result of each segment: a later batch wins."""
     rows = read_batches(spark, f"{state}/results", RESULTS)
-    fields = [c for c in RESULTS.names if c not in ("job_id", "segment_id")]
+    fields = [c for c in names(RESULTS) if c not in ("job_id", "segment_id")]
     return (
         rows.groupBy("job_id", "segment_id")
         .agg(F.max_by(F.struct(*fields), "batch").alias("r"))

@@ -102,7 +102,7 @@ def translate(
                     {"fingerprint": row["fingerprint"], **result}
                     for row, result in zip(rows, pool.map(call, rows))
                 ]
-                yield pd.DataFrame(done, columns=_CALL_NAMES)
+                yield pd.DataFrame(done, columns=_CALL_NAMES, dtype=object)
 
     return requests.repartition(n, "fingerprint").mapInPandas(run, _CALL_SCHEMA)
 

@@ -121,7 +121,7 @@ def _pack(pages: pd.DataFrame) -> pd.DataFrame:
             # a fixed date keeps the bytes the same on every run
             archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
     row = {"book_id": first["book_id"], "volume": first["volume"], "epub": out.getvalue()}
-    return pd.DataFrame([row])
+    return pd.DataFrame([row], dtype=object)
 
 
 def book_epub(chapters: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:

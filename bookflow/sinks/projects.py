@@ -40,7 +40,8 @@ def export_projects(
     """``(documents, lines)``: whole documents for projects whose size allows it, lines for all
     others. ``documents`` has ``project_id, json``.
 
-    ``header`` names its columns as the document does; secrets are removed before.
+    ``header`` names its columns as the document does, without secrets. A section named
+    ``chapters`` becomes the chapters of the document's book.
     """
     lines = project_lines(header, sections)
     sizes = lines.groupBy("project_id").agg(F.sum(F.octet_length("json")).alias("b"))
@@ -57,6 +58,8 @@ def export_projects(
             .select("project_id", F.transform("__l", lambda x: x["__r"]).alias(name))
         )
         out = out.join(rows, "project_id", "left")
+    if "chapters" in sections:
+        out = out.withColumn("book", F.struct("title", "chapters")).drop("chapters")
     fields = [F.col(c) for c in out.columns if c != "project_id"]
     stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exportedAt")
     documents = out.select("project_id", F.to_json(F.struct(*fields, stamp)).alias("json"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookflow.functions.html import base_name
 from bookflow.operators.chapters import split_chapters
 from bookflow.schemas import BOOKS, CHAPTERS, REJECTS, names as columns
+from bookflow.session import materialize, scratch_dir
 from bookflow.sources.epub import (
     NO_CHAPTERS,
     epub_chapters,
@@ -30,10 +31,15 @@ class Library:
     rejects: DataFrame
 
 
-def parse_files(files: DataFrame) -> Library:
-    """``files(book_id, name, ext, content)`` -> books, chapters and rejected files."""
+def parse_files(files: DataFrame, path: str | None = None) -> Library:
+    """``files(book_id, name, ext, content)`` -> books, chapters and rejected files.
+
+    Decoded texts and archive members are written once, since several tables derive from them;
+    ``path`` names a folder for that, else the shared scratch folder is used.
+    """
     ext = F.col("ext")
-    text = decode_books(files.filter(ext.isin(".txt", "")))
+    root = path or scratch_dir(files.sparkSession)
+    text = materialize(decode_books(files.filter(ext.isin(".txt", ""))), "text", root)
     text_books = text.select(
         "book_id",
         "name",
@@ -44,13 +50,12 @@ def parse_files(files: DataFrame) -> Library:
     )
     text_chapters = split_chapters(text).withColumn("source_path", F.lit(None).cast("string"))
 
-    archives = files.filter(ext == ".epub")
-    members = epub_members(archives)
+    members = materialize(epub_members(files.filter(ext == ".epub")), "members", root)
     packages = package_files(members)
     valid = packages.filter(F.col("reason").isNull())
-    pages = epub_chapters(members, epub_spine(valid))
+    pages = epub_chapters(members.filter(F.col("reject").isNull()), epub_spine(valid))
     readable = pages.select("book_id").distinct()
-    names = archives.select("book_id", "name")
+    names = members.select("book_id", "name").distinct()
     epub_books = (
         valid.join(readable, "book_id", "left_semi")
         .join(names, "book_id")

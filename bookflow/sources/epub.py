@@ -38,10 +38,10 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     # a repeated member name counts once, with its last content
                     for path, info in {i.filename: i for i in archive.infolist()}.items():
                         row = {**head, "member_path": path, "bytes": archive.read(info)}
-                        yield pd.DataFrame([row], columns=_MEMBER_NAMES)
+                        yield pd.DataFrame([row], columns=_MEMBER_NAMES, dtype=object)
             except Exception as error:  # noqa: BLE001 - a bad archive is a row, not a failed task
                 row = {**head, "reject": f"{NO_ARCHIVE}: {error}"}
-                yield pd.DataFrame([row], columns=_MEMBER_NAMES)
+                yield pd.DataFrame([row], columns=_MEMBER_NAMES, dtype=object)
 
 
 def epub_members(files: DataFrame) -> DataFrame:

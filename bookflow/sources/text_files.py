@@ -74,7 +74,8 @@ def decode_udf() -> Callable[[Column], Column]:
     @F.pandas_udf(DECODED)
     def decode(content: pd.Series) -> pd.DataFrame:
         rows = [detect(bytes(b) if b is not None else b"") for b in content]
-        return pd.DataFrame(rows, columns=["encoding", "score", "text"])
+        out = pd.DataFrame(rows, columns=["encoding", "score", "text"], dtype=object)
+        return out.astype({"score": "float64"})
 
     return decode
 

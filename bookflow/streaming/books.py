@@ -26,7 +26,7 @@ def stream_books(
     )
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        library = parse_files(name_files(batch))
+        library = parse_files(name_files(batch), f"{out}/work/batch={batch_id}")
         write_batch(library.books, f"{out}/books", batch_id)
         write_batch(library.chapters, f"{out}/chapters", batch_id)
         write_batch(library.rejects, f"{out}/rejects", batch_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bookflow import constants as C
 from bookflow.functions.text import js_trim, non_empty
-from bookflow.operators.matching import contains_pairs, fits
+from bookflow.operators.matching import contains_pairs, fits, has_automaton, positions_udf
 
 # Separators of a glossary line, of its note, and of an alias list.
 LINE_PATTERN = rf"^(.+?)(?:[{C.WS_CLASS}]*(?:=>|->|=|：|:)[{C.WS_CLASS}]*)(.+)$"
@@ -86,9 +86,9 @@ def normalize_terms(df: DataFrame) -> DataFrame:
 # --- matching ----------------------------------------------------------------------------------
 
 
-def _term(*, prefix: str = "") -> Column:
+def _term() -> Column:
     return F.struct(
-        *[F.col(f"{prefix}{n}") for n in ("term_idx", "source", "target", "aliases", "note")]
+        *[F.col(n) for n in ("term_idx", "source", "target", "aliases", "note")]
     ).cast(TERM_TYPE)
 
 
@@ -99,23 +99,32 @@ def _needles(any_name: bool) -> Column:
 
 
 def small_glossary(terms: DataFrame) -> bool:
+    """Whether the glossary may be broadcast and searched for row by row."""
     sized = terms.withColumn("__names", F.array_join("aliases", ""))
-    return fits(sized, ["source", "target", "note", "__names"])
+    return has_automaton() and fits(sized, ["source", "target", "note", "__names"])
 
 
-def _term_arrays(terms: DataFrame, any_name: bool) -> DataFrame:
-    """One array of terms per project; only for glossaries whose size was checked."""
-    entry = F.struct(
-        F.col("term_idx"), _term().alias("term"), _needles(any_name).alias("needles")
-    )
-    return terms.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
-
+def _join_small(
+    segs: DataFrame, terms: DataFrame, any_name: bool, text: str, limit: int | None = None
+) -> DataFrame:
+    """``segs`` with ``matched``, the relevant terms of each row in glossary order.
 
-def _row_matches(text: str) -> Column:
-    hits = F.filter(
-        "__terms", lambda t: F.exists(t["needles"], lambda n: F.contains(F.col(text), n))
+    For glossaries whose size was checked: the term lists are broadcast, and one pass per text
+    finds the positions of all its terms, however many needles there are.
+    """
+    entry = F.struct(F.col("term_idx"), _term().alias("term"), _needles(any_name).alias("needles"))
+    lists = terms.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
+    needles = {r["project_id"]: r["ns"] for r in lists.select("project_id", F.col("__terms.needles").alias("ns")).collect()}
+    found = positions_udf(needles)("project_id", text)
+    kept = found if limit is None else F.slice(found, 1, limit)
+    joined = segs.join(
+        F.broadcast(lists.select("project_id", F.col("__terms.term").alias("__terms"))),
+        "project_id",
+        "left",
+    )
+    return joined.select(
+        *segs.columns, F.transform(kept, lambda i: F.get("__terms", i)).alias("matched")
     )
-    return F.coalesce(F.transform(hits, lambda t: t["term"]), F.array().cast(f"array<{TERM_TYPE}>"))
 
 
 def _pairs(
@@ -152,13 +161,8 @@ def match_terms(
     A term is relevant when its source or, with ``any_name``, an alias occurs in the text.
     """
     if small_glossary(terms) if small is None else small:
-        arrays = F.broadcast(_term_arrays(terms, any_name))
-        joined = segs.select(*keys, "project_id", text).join(arrays, "project_id")
-        return joined.select(
-            *keys,
-            "project_id",
-            F.explode(F.transform(_row_matches(text), lambda t: t["term_idx"])).alias("term_idx"),
-        )
+        hits = _join_small(segs.select(*keys, "project_id", text), terms, any_name, text)
+        return hits.select(*keys, "project_id", F.explode("matched.term_idx").alias("term_idx"))
     return _pairs(segs, terms, keys, text, any_name)
 
 
@@ -172,9 +176,7 @@ def attach_terms(
 ) -> DataFrame:
     """Add ``matched``: the first ``limit`` relevant terms of each text, in glossary order."""
     if small_glossary(terms) if small is None else small:
-        arrays = F.broadcast(_term_arrays(terms, True))
-        joined = segs.join(arrays, "project_id", "left")
-        return joined.select(*segs.columns, F.slice(_row_matches(text), 1, limit).alias("matched"))
+        return _join_small(segs, terms, True, text, limit)
     pairs = first_terms(_pairs(segs, terms, keys, text, True), keys, limit)
     lists = (
         pairs.join(terms.select("project_id", "term_idx", _term().alias("__t")), ["project_id", "term_idx"])

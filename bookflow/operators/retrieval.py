@@ -99,6 +99,9 @@ def score_context(
 ) -> DataFrame:
     """``keys, item_idx, score``: per item the sum of min(6, length) over contained tokens.
 
+    A text's items are those of its project; the project is left out of the result, since the
+    keys imply it and every grouping column costs on billions of scored pairs.
+
     With a bank of checked size its index is broadcast: texts are placed by key once and the
     whole scoring stays on that placement. A larger bank is joined by token instead.
     """
@@ -116,7 +119,7 @@ def score_context(
     else:
         joined = queries.join(F.broadcast(index) if bounded else index, ["project_id", "token"])
     weight = F.least(F.lit(6), F.length("token")).cast("long")
-    return joined.groupBy(*keys, "project_id", "item_idx").agg(F.sum(weight).alias("score"))
+    return joined.groupBy(*keys, "item_idx").agg(F.sum(weight).alias("score"))
 
 
 def top_context(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
@@ -132,7 +135,8 @@ def attach_context(
     top = top_context(score_context(segs, bank, keys, small=small), keys, k)
     items = bank.select("project_id", "item_idx", "title", F.col("text").alias("content"))
     lists = (
-        top.join(items, ["project_id", "item_idx"])
+        top.join(segs.select(*keys, "project_id"), keys)
+        .join(items, ["project_id", "item_idx"])
         .groupBy(*keys)
         .agg(
             F.sort_array(

@@ -104,7 +104,7 @@ _SCORED_DOCS = _scored("documents", "doc_id")
 
 @query("score_context", S.with_(_SCORED_DOCS) + "SELECT doc_id, item_idx, score FROM scored")
 def score_context(spark, sf):
-    return R.score_context(documents(spark, sf), bank(spark, sf), DOC).drop("project_id")
+    return R.score_context(documents(spark, sf), bank(spark, sf), DOC)
 
 
 @query(
@@ -113,7 +113,7 @@ def score_context(spark, sf):
 def score_context_large_bank(spark, sf):
     """The plan for banks beyond the broadcast bound."""
     docs, items = documents(spark, sf), bank(spark, sf)
-    return R.score_context(docs, items, DOC, small=False).drop("project_id")
+    return R.score_context(docs, items, DOC, small=False)
 
 
 @query(
@@ -122,7 +122,7 @@ def score_context_large_bank(spark, sf):
 )
 def top_context(spark, sf):
     scored = R.score_context(documents(spark, sf), bank(spark, sf), DOC)
-    return R.top_context(scored, DOC, 5).drop("project_id")
+    return R.top_context(scored, DOC, 5)
 
 
 # --- summaries --------------------------------------------------------------------------------------------

@@ -90,7 +90,10 @@ def first_sentences(c: Column, limit: int = 280) -> Column:
 
     Only the last piece of the split can be empty, so asking for five pieces is enough.
     """
-    pieces = F.split(collapse_ws(_text(c)), f"(?<=[。！？.!?])[{C.WS_CLASS}]*", 5)
+    # the result has at most `limit` visible characters, so the text's first ones decide it
+    needed = rf"(?s)^(?:[{C.WS_CLASS}]*[^{C.WS_CLASS}]){{0,{limit}}}"
+    head = F.regexp_extract(_text(c), needed, 0)
+    pieces = F.split(collapse_ws(head), f"(?<=[。！？.!?])[{C.WS_CLASS}]*", 5)
     joined = F.array_join(F.slice(F.filter(pieces, lambda s: s != ""), 1, 4), "")
     return F.substring(joined, 1, limit)
 

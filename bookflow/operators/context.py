@@ -11,7 +11,7 @@ from bookflow.functions.template import render_template
 from bookflow.functions.text import estimate_tokens, non_empty, trim_to_budget
 from bookflow.operators.glossary import attach_terms, format_terms, with_default_terms
 from bookflow.operators.retrieval import attach_context, format_context
-from bookflow.operators.summaries import current_summary, previous_summaries
+from bookflow.operators.summaries import previous_summaries
 from bookflow.schemas import SEG_KEYS
 
 
@@ -35,44 +35,62 @@ def prompt_context(
     the glossary estimate counts matched terms only.
     """
     base = segs.columns
-    retrieved = attach_context(segs, bank, SEG_KEYS, cfg.retrieval_count, small_bank)
+    joined = segs.join(
+        chapter_context(segs.select(book, "chapter_index"), summaries, cfg, book),
+        [book, "chapter_index"],
+        "left",
+    )
+    # from here on rows stay where they are, unless glossary or bank are too large for that
+    retrieved = attach_context(joined, bank, SEG_KEYS, cfg.retrieval_count, small_bank)
     termed = with_default_terms(
         attach_terms(retrieved, terms, SEG_KEYS, cfg.glossary_limit, small=small_terms),
         terms,
         cfg.glossary_limit,
     )
-    previous = previous_summaries(segs.select(book, "chapter_index"), summaries, book=book)
-    joined = current_summary(termed, summaries, book).join(
-        previous, [book, "chapter_index"], "left"
-    )
-    texts = joined.select(
+    texts = termed.select(
         *base,
         format_terms(F.col("shown")).alias("glossary_text"),
         format_terms(F.col("matched")).alias("__matched"),
-        F.coalesce("previous", F.lit("")).alias("__previous"),
         format_context(F.col("retrieved")).alias("__retrieved"),
-        F.array_join(
-            F.array(
-                non_empty(F.lit(cfg.context)),
-                F.concat(F.lit("当前章节摘要："), non_empty(F.col("summary"))),
-                F.concat(F.lit("前文摘要：\n"), non_empty(F.col("previous"))),
-            ),
-            "\n\n",
-        ).alias("__summary"),
+        F.col("__summary_text"),
+        F.col("__summary_tokens"),
     )
+    alone = _or_none(trim_to_budget(F.lit(cfg.context), cfg.summary_tokens))
     return texts.select(
         *base,
         "glossary_text",
-        _or_none(trim_to_budget(F.col("__summary"), cfg.summary_tokens)).alias("summary_text"),
+        F.coalesce("__summary_text", alone).alias("summary_text"),
         _or_none(trim_to_budget(F.col("__retrieved"), cfg.retrieval_tokens)).alias(
             "retrieval_text"
         ),
         estimate_tokens(F.col("__matched")).alias("glossary_tokens"),
-        estimate_tokens(F.col("__previous")).alias("summary_tokens"),
+        F.coalesce("__summary_tokens", F.lit(0)).alias("summary_tokens"),
         estimate_tokens(F.col("__retrieved")).alias("retrieval_tokens"),
     )
 
 
+def chapter_context(
+    chapters: DataFrame, summaries: DataFrame, cfg: JobConfig, book: str = "project_id"
+) -> DataFrame:
+    """The summary part of the prompt, worked out once per chapter instead of per segment."""
+    keys = [book, "chapter_index"]
+    previous = previous_summaries(chapters, summaries, book=book)
+    own = summaries.select(*keys, "summary")
+    text = F.array_join(
+        F.array(
+            non_empty(F.lit(cfg.context)),
+            F.concat(F.lit("当前章节摘要："), non_empty(F.col("summary"))),
+            F.concat(F.lit("前文摘要：\n"), non_empty(F.col("previous"))),
+        ),
+        "\n\n",
+    )
+    return own.join(previous, keys, "full").select(
+        *keys,
+        _or_none(trim_to_budget(text, cfg.summary_tokens)).alias("__summary_text"),
+        estimate_tokens(F.coalesce("previous", F.lit(""))).alias("__summary_tokens"),
+    )
+
+
 def prompt_messages(ctx: DataFrame, cfg: JobConfig) -> DataFrame:
     """Add ``system`` and ``user``; a template that places ``{{text}}`` is the whole user turn."""
     values = {

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,32 +98,121 @@ def _long_run_index(bank: DataFrame, queries: DataFrame) -> DataFrame:
     ).select("project_id", "item_idx", "token")
 
 
+def scores_udf(bank_runs: dict[str, list[list[str]]], k: int | None) -> Callable[..., Column]:
+    """Arrow UDF ``(group, tokens) -> struct<items, scores>``; ``bank_runs`` lists the word runs
+    of each item of each group.
+
+    A task indexes the substrings of the runs once, so a token costs one lookup and a row adds up
+    weights. With ``k`` the best ``k`` come back in rank order, else all with a score.
+    """
+
+    def scorer(runs: list[list[str]]):
+        index: dict[str, list[int]] = {}
+        long_runs: list[tuple[int, str]] = []
+        for item, words in enumerate(runs):
+            parts = set()
+            for w in words:
+                if len(w) > SHORT_RUN:
+                    long_runs.append((item, w))
+                else:
+                    parts.update(w[i:j] for i in range(len(w) - 1) for j in range(i + 2, len(w) + 1))
+            for part in parts:
+                index.setdefault(part, []).append(item)
+        held = {part: np.array(items) for part, items in index.items()}
+        none = np.array([], np.int64)
+
+        def holders(token: str) -> np.ndarray:
+            short = held.get(token, none)
+            if not long_runs:
+                return short
+            more = [item for item, run in long_runs if token in run]
+            return np.union1d(short, more).astype(np.int64) if more else short
+
+        def score(tokens) -> tuple[np.ndarray, np.ndarray]:
+            found = [(h, min(6, len(t))) for t in tokens if len(h := holders(t))]
+            if not found:
+                return nothing
+            weights = np.repeat([w for _, w in found], [len(h) for h, _ in found])
+            totals = np.bincount(np.concatenate([h for h, _ in found]), weights, len(runs))
+            items = np.flatnonzero(totals)
+            if k is not None:
+                items = items[np.argsort(-totals[items], kind="stable")[:k]]
+            return items.astype(np.int32), totals[items].astype(np.int64)
+
+        return score
+
+    nothing = (np.array([], np.int32), np.array([], np.int64))
+
+    @F.pandas_udf("items array<int>, scores array<bigint>")
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        scorers = {group: scorer(runs) for group, runs in bank_runs.items()}
+        for groups, tokens in batches:
+            rows = [
+                scorers[g](t) if g in scorers and t is not None else nothing
+                for g, t in zip(groups, tokens)
+            ]
+            yield pd.DataFrame({"items": [r[0] for r in rows], "scores": [r[1] for r in rows]})
+
+    return scores
+
+
+def small_bank(bank: DataFrame) -> bool:
+    """Whether the bank may be shipped to every task."""
+    return fits(bank, ["title", "text"], MAX_BANK_ROWS, MAX_BANK_BYTES)
+
+
+def _score_small(
+    segs: DataFrame, bank: DataFrame, text: str, k: int | None, fields: list[str]
+) -> DataFrame:
+    """``segs`` with ``scored``: an array of structs of the item's ``fields`` and its ``score``, in
+    rank order for a ``k``, else in item order. Nothing is shuffled and no pair leaves its row."""
+    item = F.struct("item_idx", "title", F.col("text").alias("content"), _runs().alias("runs"))
+    lists = bank.groupBy("project_id").agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    runs = {
+        r["project_id"]: r["runs"]
+        for r in lists.select("project_id", F.col("__items.runs").alias("runs")).collect()
+    }
+    shown = lists.select(
+        "project_id",
+        F.transform("__items", lambda it: F.struct(*[it[f] for f in fields])).alias("__items"),
+    )
+    joined = segs.join(F.broadcast(shown), "project_id", "left").withColumn(
+        "__s", scores_udf(runs, k)("project_id", tokens(F.col(text)))
+    )
+
+    def place(position: Column, score: Column) -> Column:
+        it = F.get("__items", position)
+        return F.struct(*[it[f] for f in fields], score.alias("score"))
+
+    return joined.select(
+        *segs.columns, F.zip_with("__s.items", "__s.scores", place).alias("scored")
+    )
+
+
 def score_context(
     segs: DataFrame, bank: DataFrame, keys: list[str], text: str = "text", small: bool | None = None
 ) -> DataFrame:
     """``keys, item_idx, score``: per item the sum of min(6, length) over contained tokens.
 
-    A text's items are those of its project; the project is left out of the result, since the
-    keys imply it and every grouping column costs on billions of scored pairs.
-
-    With a bank of checked size its index is broadcast: texts are placed by key once and the
-    whole scoring stays on that placement. A larger bank is joined by token instead.
+    A bank of checked size is scored inside each row; a larger one is joined by token. A text's
+    items are those of its project, which the keys imply.
     """
-    bounded = fits(bank, ["title", "text"], MAX_BANK_ROWS, MAX_BANK_BYTES) if small is None else small
+    if small_bank(bank) if small is None else small:
+        narrow = segs.select(*keys, "project_id", text)
+        scored = _score_small(narrow, bank, text, None, ["item_idx"]).select(*keys, "scored")
+        return explode_rows(scored, "scored", item="p").select(*keys, "p.*")
     wordy = segs.select(*keys, "project_id", tokens(F.col(text)).alias("tokens"))
-    if bounded:
-        wordy = wordy.repartition(*keys)
     queries = explode_rows(wordy, "tokens", item="token")
     index = token_index(bank)
     long_run = F.exists(_runs(), lambda r: F.length(r) > SHORT_RUN)
     if bank.filter(long_run).limit(1).count():
         index = index.unionByName(_long_run_index(bank, queries)).distinct()
-        # its size depends on the texts as well, so Spark picks the join
-        joined = queries.join(index, ["project_id", "token"])
-    else:
-        joined = queries.join(F.broadcast(index) if bounded else index, ["project_id", "token"])
     weight = F.least(F.lit(6), F.length("token")).cast("long")
-    return joined.groupBy(*keys, "item_idx").agg(F.sum(weight).alias("score"))
+    return (
+        queries.join(index, ["project_id", "token"])
+        .groupBy(*keys, "item_idx")
+        .agg(F.sum(weight).alias("score"))
+    )
 
 
 def top_context(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
@@ -132,15 +225,22 @@ def attach_context(
     segs: DataFrame, bank: DataFrame, keys: list[str], k: int = 5, small: bool | None = None
 ) -> DataFrame:
     """Add ``retrieved``: the ``k`` best items in rank order."""
-    top = top_context(score_context(segs, bank, keys, small=small), keys, k)
+    if small_bank(bank) if small is None else small:
+        fields = ["item_idx", "title", "content"]
+        return _score_small(segs, bank, "text", k, fields).withColumnRenamed("scored", "retrieved")
+    top = top_context(score_context(segs, bank, keys, small=False), keys, k)
     items = bank.select("project_id", "item_idx", "title", F.col("text").alias("content"))
+    ranked = F.sort_array(
+        F.collect_list(F.struct("rank", "item_idx", "title", "content", "score"))
+    )
     lists = (
         top.join(segs.select(*keys, "project_id"), keys)
         .join(items, ["project_id", "item_idx"])
         .groupBy(*keys)
         .agg(
-            F.sort_array(
-                F.collect_list(F.struct("rank", "item_idx", "title", "content"))
+            F.transform(
+                ranked,
+                lambda x: F.struct(x["item_idx"], x["title"], x["content"], x["score"]),
             ).alias("retrieved")
         )
     )

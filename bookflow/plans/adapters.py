@@ -50,7 +50,11 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str, cfg: JobConfig = CONFIG) -> DataFrame:
     """Segments of BOOKS: one project, whose glossary and bank serve all its books."""
-    return build_segments(chapters(spark, sf_dir), cfg).withColumn("project_id", F.lit(PROJECT))
+    return segments_of(chapters(spark, sf_dir), cfg)
+
+
+def segments_of(chaps: DataFrame, cfg: JobConfig = CONFIG) -> DataFrame:
+    return build_segments(chaps, cfg).withColumn("project_id", F.lit(PROJECT))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,12 @@ from bookflow.plans.adapters import (
     pairs,
     qa_pairs,
     segments,
+    segments_of,
     table,
     terms,
 )
 from bookflow.plans.registry import query
+from bookflow.session import materialize
 
 
 def _src():
@@ -263,10 +265,14 @@ chapter_results AS (SELECT b.job_id, b.chapter_index, b.title, b.text AS source_
 
 
 def _translated(spark, sf):
+    return _translate(segments(spark, sf))
+
+
+def _translate(segs):
     text = js_trim(demo_translate(_src(), "Chinese", CONFIG.preset.name))
     skipped = F.col("chapter_index") % 7 == 0
     status = F.when(skipped, "failed").when(F.col("segment_index") % 2 == 0, "cached").otherwise("completed")
-    return segments(spark, sf).withColumns(
+    return segs.withColumns(
         {"translated_text": F.when(skipped, "").otherwise(text), "status": status}
     )
 
@@ -308,8 +314,9 @@ chapter_summaries AS (
 
 
 def _summaries(spark, sf):
-    whole = RP.reassemble(_translated(spark, sf))
-    return SM.summarize_chapters(chapters(spark, sf), whole, terms(spark, sf), _now())
+    chaps = materialize(chapters(spark, sf), "chapters")
+    whole = RP.reassemble(_translate(segments_of(chaps)))
+    return SM.summarize_chapters(chaps, whole, terms(spark, sf), _now())
 
 
 @query(
@@ -490,7 +497,8 @@ r AS (SELECT job_id, count(*) AS chapters, CAST(sum(length(translated_text)) AS
     FROM prog LEFT JOIN q USING (job_id) LEFT JOIN r USING (job_id)""",
 )
 def book_status(spark, sf):
-    done = _translated(spark, sf)
+    # results are a table that several reports read
+    done = materialize(_translated(spark, sf), "results")
     prog = WK.progress(done)
     checks = WK.qa_eligible(done).select(
         "job_id",

@@ -13,7 +13,7 @@ from bookflow.operators.context import prompt_context, prompt_messages
 from bookflow.plans import sql as S
 from bookflow.plans.adapters import CONFIG, bank, chapters, documents, segments, summaries, table, terms
 from bookflow.plans.registry import query
-from bookflow.session import materialize, scratch_dir
+from bookflow.session import materialize, scratch_dir, spread
 
 DOC = ["doc_id"]
 
@@ -191,7 +191,7 @@ def _context(spark, sf, cfg=CONFIG):
     # as in a run, segments and summaries are tables by the time prompts are made
     root = scratch_dir(spark)
     return prompt_context(
-        materialize(segments(spark, sf, cfg), "segments", root),
+        spread(materialize(segments(spark, sf, cfg), "segments", root), "segment_id"),
         terms(spark, sf),
         materialize(summaries(spark, sf), "summaries", root),
         bank(spark, sf),

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,8 +63,6 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def is_committed(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` has finished."""
-    try:
-        marker = spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-        return bool(marker.limit(1).count())
-    except AnalysisException:
-        return False
+    # the readers skip files with a leading underscore, so the file system is asked
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bookflow import constants as C
 from bookflow.config import JobConfig
 from bookflow.functions.text import js_trim
+from bookflow.operators.matching import bounded_broadcast
 from bookflow.operators.ordering import tree_hash
 
 
@@ -55,9 +56,9 @@ def fingerprint(
     its own text.
     """
     out = (
-        segs.join(glossary_digest(terms), "project_id", "left")
-        .join(bank_digest(bank), "project_id", "left")
-        .join(summaries_digest(summaries, book), book, "left")
+        segs.join(bounded_broadcast(glossary_digest(terms)), "project_id", "left")
+        .join(bounded_broadcast(bank_digest(bank)), "project_id", "left")
+        .join(bounded_broadcast(summaries_digest(summaries, book)), book, "left")
     )
     parts = [F.coalesce(c, F.lit("")) for c in ("glossary_sha", "bank_sha", "summaries_sha")]
     key = F.sha2(

@@ -46,6 +46,7 @@ def prompt_context(
         attach_terms(retrieved, terms, SEG_KEYS, cfg.glossary_limit, small=small_terms),
         terms,
         cfg.glossary_limit,
+        small_terms,
     )
     texts = termed.select(
         *base,

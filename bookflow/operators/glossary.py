@@ -104,7 +104,7 @@ def small_glossary(terms: DataFrame) -> bool:
     return has_automaton() and fits(sized, ["source", "target", "note", "__names"])
 
 
-def _join_small(
+def join_small(
     segs: DataFrame, terms: DataFrame, any_name: bool, text: str, limit: int | None = None
 ) -> DataFrame:
     """``segs`` with ``matched``, the relevant terms of each row in glossary order.
@@ -161,7 +161,7 @@ def match_terms(
     A term is relevant when its source or, with ``any_name``, an alias occurs in the text.
     """
     if small_glossary(terms) if small is None else small:
-        hits = _join_small(segs.select(*keys, "project_id", text), terms, any_name, text)
+        hits = join_small(segs.select(*keys, "project_id", text), terms, any_name, text)
         return hits.select(*keys, "project_id", F.explode("matched.term_idx").alias("term_idx"))
     return _pairs(segs, terms, keys, text, any_name)
 
@@ -176,7 +176,7 @@ def attach_terms(
 ) -> DataFrame:
     """Add ``matched``: the first ``limit`` relevant terms of each text, in glossary order."""
     if small_glossary(terms) if small is None else small:
-        return _join_small(segs, terms, True, text, limit)
+        return join_small(segs, terms, True, text, limit)
     pairs = first_terms(_pairs(segs, terms, keys, text, True), keys, limit)
     lists = (
         pairs.join(terms.select("project_id", "term_idx", _term().alias("__t")), ["project_id", "term_idx"])
@@ -211,9 +211,14 @@ def terms_or_default(
     )
 
 
-def with_default_terms(segs: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+def with_default_terms(
+    segs: DataFrame, terms: DataFrame, limit: int, small: bool | None = None
+) -> DataFrame:
     """Add ``shown``: ``matched``, or the glossary's first ``limit`` terms when it is empty."""
-    joined = segs.join(leading_terms(terms, limit), "project_id", "left")
+    leading = leading_terms(terms, limit)
+    if small_glossary(terms) if small is None else small:
+        leading = F.broadcast(leading)
+    joined = segs.join(leading, "project_id", "left")
     shown = F.when(F.size("matched") > 0, F.col("matched")).otherwise(
         F.coalesce("leading", F.array().cast(f"array<{TERM_TYPE}>"))
     )
@@ -250,5 +255,5 @@ def glossary_preview(
 ) -> DataFrame:
     """``matched`` terms and the ``prompt_text`` a model would see for each text."""
     attached = attach_terms(texts, terms, keys, limit, small=small)
-    shown = with_default_terms(attached, terms, limit)
+    shown = with_default_terms(attached, terms, limit, small)
     return shown.select(*keys, "matched", format_terms(F.col("shown")).alias("prompt_text"))

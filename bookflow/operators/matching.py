@@ -77,6 +77,16 @@ def fits(df: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, max_bytes:
     return row["n"] <= max_rows and row["b"] <= max_bytes
 
 
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint when its size was checked to allow it, else as it is.
+
+    For one row per project or book that many wide rows look up: without the hint those rows could
+    be shuffled, text and all, onto the few keys.
+    """
+    texts = [n for n, t in df.dtypes if t == "string"]
+    return F.broadcast(df) if fits(df, texts, 100_000, 16 * 1024 * 1024) else df
+
+
 def _anchor_size(needle: Column) -> Column:
     """The longest anchor that the needle can fill."""
     size = F.lit(ANCHORS[0])

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookflow.operators.matching import bounded_broadcast
+
 BITS = 14
 
 
@@ -80,7 +82,7 @@ def joined_parts(
     glued = F.when(F.col(order) == F.col("__first"), F.col(text)).otherwise(
         F.concat(F.lit(separator), F.col(text))
     )
-    return df.join(first, keys).withColumn(text, glued).select(*df.columns)
+    return df.join(bounded_broadcast(first), keys).withColumn(text, glued).select(*df.columns)
 
 
 def tree_hash(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bookflow import constants as C
 from bookflow.config import JobConfig
 from bookflow.functions.text import non_empty
-from bookflow.operators.glossary import match_terms
+from bookflow.operators.glossary import join_small, match_terms, small_glossary
 from bookflow.operators.segments import segment_pieces
 from bookflow.operators.tables import union_ids
 from bookflow.operators.work import job_outcome, progress
@@ -41,9 +41,24 @@ def attach_segments(chapters: DataFrame, reassembled: DataFrame) -> DataFrame:
 def _source_hits(results: DataFrame, terms: DataFrame, small: bool | None) -> DataFrame:
     """Segments that contain a term's source (no aliases, any status) and lack its target."""
     wanted = terms.filter(F.col("target") != "")
-    pairs = match_terms(results, wanted, SEG_KEYS, any_name=False, small=small)
-    # sizes decide the joins: the pairs are keys only, the texts come back by segment
     places = ["chapter_index", "chapter_title", "segment_index"]
+    translated = F.coalesce("translated_text", F.lit(""))
+    if small_glossary(wanted) if small is None else small:
+        marked = F.transform(
+            "matched",
+            lambda t: F.struct(
+                t["term_idx"],
+                t["source"],
+                t["target"],
+                (~F.contains(translated, t["target"])).alias("missing"),
+            ),
+        )
+        rows = join_small(results, wanted, False, "text")
+        return rows.select(*SEG_KEYS, *places, F.explode(marked).alias("m")).select(
+            *SEG_KEYS, *places, "m.*"
+        )
+    # the pairs are keys only, the texts come back by segment
+    pairs = match_terms(results, wanted, SEG_KEYS, any_name=False, small=False)
     return (
         pairs.join(
             wanted.select("project_id", "term_idx", "source", "target"), ["project_id", "term_idx"]
@@ -55,7 +70,7 @@ def _source_hits(results: DataFrame, terms: DataFrame, small: bool | None) -> Da
             "term_idx",
             "source",
             "target",
-            (~F.contains(F.coalesce("translated_text", F.lit("")), F.col("target"))).alias("missing"),
+            (~F.contains(translated, F.col("target"))).alias("missing"),
         )
     )
 

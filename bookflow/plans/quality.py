@@ -446,8 +446,8 @@ cc AS (SELECT job_id, count(*) AS consistency_count FROM cons GROUP BY 1)"""
     + f"""SELECT p.job_id, p.total, p.done, p.percent, {S.OUTCOME} AS status,
       coalesce(res.results, 0) AS results, coalesce(qc.qa_count, 0) AS qa_count,
       coalesce(cc.consistency_count, 0) AS consistency_count,
-      CAST(coalesce(least(qc.qa_count, 80), 0) AS BIGINT) AS qa_head,
-      CAST(coalesce(least(cc.consistency_count, 60), 0) AS BIGINT) AS consistency_head,
+      CAST(least(coalesce(qc.qa_count, 0), 80) AS BIGINT) AS qa_head,
+      CAST(least(coalesce(cc.consistency_count, 0), 60) AS BIGINT) AS consistency_head,
       '{{"provider":"demo","model":"' || p.job_id || '"}}' AS config
     FROM prog p LEFT JOIN res USING (job_id) LEFT JOIN qc USING (job_id) LEFT JOIN cc USING (job_id)""",
 )

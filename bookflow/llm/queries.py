@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookflow.llm import packing, simhash
+from bookflow.llm import mixing, packing, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    own = [F.col(f"__{c}").alias(a) for c, a in {"topic": "topic", "tokens": "n_tokens", "weight": "weight"}.items()]
+    return mixed.select(
+        "doc_id", "source", "lang", *own, F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled")
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(secrets.labelled(docs)))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -24,6 +47,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

@@ -8,23 +8,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import packing, simhash
+from bookflow.llm import mixing, packing, secrets, simhash, toxicity
 from bookflow.session import materialize
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts as toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.keep_one(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text become a placeholder and n_chars follows."""
+    return secrets.redact(docs, secrets.train(secrets.labelled(docs)), length_col="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources, languages and topics meet their token shares."""
+    return mixing.mix(docs).where("__sampled").select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("near_dedup", near_dedup),
-    ("pack", pack),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
 #: Fitted models, a tokenizer and components over links: not for one SQL statement.

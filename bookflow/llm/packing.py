@@ -8,6 +8,7 @@ rank among the pieces of its length.
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -40,6 +41,12 @@ class _Words(dict):
 
         self.encode = Tokenizer.from_file(path).encode
 
+    @staticmethod
+    @cache
+    def of(path: str) -> _Words:
+        """One memo per worker process, which outlives its tasks."""
+        return _Words(path)
+
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
@@ -70,7 +77,7 @@ def tokenize(
     step = 4 * size
 
     def run(batches: Batches) -> Batches:
-        words = _Words(path)
+        words = _Words.of(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 #: Odds of ordinary against random among such runs.
 PRIOR_ODDS = 10_000
 PSEUDO = 0.5
+#: Weight of a chain's single characters behind its pairs.
+BACKOFF = 10.0
+#: Part of the random chain that is uniform: samples of one kind of key stand for all kinds.
+UNIFORM = 0.2
 PLACEHOLDER = "[SECRET]"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -116,7 +121,7 @@ def train(samples: DataFrame) -> Model:
     """Fit both chains on ``samples`` (value string, secret boolean).
 
     Characters outside the alphabet and null values or labels are left out. All samples count; at
-    most two numbers per pair of characters reach the driver. Without samples of a class its chain
+    most two numbers per pair of characters reach the driver. A chain without samples
     is uniform.
     """
     pairs = (
@@ -127,14 +132,16 @@ def train(samples: DataFrame) -> Model:
         .collect()
     )
     width = len(ALPHABET)
-    counts = {r["step"]: (r["random"], r["ordinary"]) for r in pairs}
-    totals = [[sum(counts.get(a * width + b, (0, 0))[c] for b in range(width)) for a in range(width)] for c in (0, 1)]
-    ratios = []
-    for a in range(width):
-        for b in range(width):
-            seen = counts.get(a * width + b, (0, 0))
-            p = [(seen[c] + PSEUDO) / (totals[c][a] + PSEUDO * width) for c in (0, 1)]
-            ratios.append(math.log(p[0] / p[1]))
+    counts = np.zeros((2, width, width))
+    for r in pairs:
+        counts[:, r["step"] // width, r["step"] % width] = r["random"], r["ordinary"]
+    chains = []
+    for own, uniform in zip(counts, (UNIFORM, 0.0), strict=True):
+        single = own.sum(axis=0) + PSEUDO
+        backoff = single / single.sum()
+        p = (own + BACKOFF * backoff) / (own.sum(axis=1, keepdims=True) + BACKOFF)
+        chains.append((1 - uniform) * p + uniform / width)
+    ratios = np.log(chains[0] / chains[1]).ravel().tolist()
     return Model(tuple(ratios))
 
 

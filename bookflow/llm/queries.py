@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bm25, language, mixing, neighbours, packing, secrets, simhash, suffixes, toxicity
+from bookflow.llm import bm25, language, mixing, neighbours, packing, phrases, secrets, simhash, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_passages(documents(spark, sf_dir))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_id": op5_language_id,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_phrase_automata_dedup": op8_phrase_automata_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }

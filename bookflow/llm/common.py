@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Batches = Iterator[pa.RecordBatch]
+#: Texts that a function gets at once.
+ROWS = 1024
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
@@ -17,12 +20,13 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``mapInArrow`` for functions that turn one batch into one batch."""
+def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``mapInArrow`` for functions that turn some rows into one batch; few rows at once bound the memory."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            yield fn(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield fn(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 

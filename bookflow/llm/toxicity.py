@@ -162,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def labelled(curve: bool) -> DataFrame:
         same = lambda c: (crc_bucket(F.col(c), FOLDS) == CURVE_FOLD) == curve
         held = crc_bucket(F.col("__id"), FOLDS) == HELD_OUT
-        return texts.where(~held & same("__id")).join(marks.where(same("__id")), "__id").select("text", "toxic")
+        # the same plan at every size: labels grow with the corpus and are not broadcast
+        marked = marks.where(same("__id")).hint("merge")
+        return texts.where(~held & same("__id")).join(marked, "__id").select("text", "toxic")
 
     pairs = map_rows(labelled(False), "key long, t long, o long", _counts)
     pairs = pairs.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
@@ -221,9 +223,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            s = sent.value.score(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array(s < 0.5))
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(sent.value.score(batch.column(text_col).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, docs.schema, clean)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from bookflow.config import BUILTIN_PRESETS, JobConfig
 from bookflow.operators.ordering import ordinal
 from bookflow.operators.segments import build_segments
-from bookflow.session import spread
 
 PROJECT = "corpus"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -20,13 +19,8 @@ CONFIG = JobConfig(
 )
 
 
-# Tables of wide text rows, whose work is worth spreading before it starts.
-WIDE = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, WIDE[name]) if name in WIDE else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

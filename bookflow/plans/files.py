@@ -23,20 +23,22 @@ from bookflow.sources.books import parse_files
 from bookflow.sources.text_files import decode_books, read_text_books
 
 
-def ascii_only(c: Column) -> Column:
-    return F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-
-
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
-_DENSE = f"CAST(sum(length(regexp_replace({_ASCII}, '\\s', '', 'g'))) AS BIGINT)"
+# Ends a document in a file of many.
+END = "<end of document>"
 
 
 def write_text_files(docs: DataFrame, path: str) -> None:
-    """Documents as .txt files in a folder per source, many documents to a file."""
-    rows = docs.select("source", ascii_only(F.col("text")).alias("value"))
+    """Documents as .txt files in a folder per source, many documents to a file, with a mark after each."""
+    rows = docs.select("source", F.concat("text", F.lit(END)).alias("value"))
     rows.write.option("maxRecordsPerFile", 10000).partitionBy("source").text(path)
 
 
+def texts_of(text: Column) -> Column:
+    """The documents of a file that ``write_text_files`` wrote."""
+    parts = F.split(text, f"{END}\\n")
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
 def source_of(book_id: Column) -> Column:
     return F.regexp_extract(book_id, "source=([^/]*)/", 1)
 
@@ -46,13 +48,12 @@ def source_of(book_id: Column) -> Column:
 
 @query(
     "decode_books",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS book_id, CAST(0 AS DOUBLE) AS score,
-      CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16le' END AS encoding,
-      CASE WHEN doc_id % 2 = 0 THEN {_ASCII} ELSE text END AS text FROM documents""",
+    """SELECT CAST(doc_id AS VARCHAR) AS book_id, CAST(0 AS DOUBLE) AS score,
+      CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16le' END AS encoding, text FROM documents""",
 )
 def decode(spark, sf):
     text = F.col("text")
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode(ascii_only(text), "UTF-8")).otherwise(
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(
         F.encode(text, "UTF-16LE")
     )
     files = documents(spark, sf).select(
@@ -63,15 +64,14 @@ def decode(spark, sf):
 
 @query(
     "read_text_books",
-    f"""SELECT source, 'utf-8' AS encoding, CAST(sum(length({_ASCII}) + 1) AS BIGINT) AS chars
-    FROM documents GROUP BY source""",
+    """SELECT source, 'utf-8' AS encoding, text FROM documents""",
 )
 def text_books(spark, sf):
     path = f"{scratch_dir(spark)}/texts"
     write_text_files(table(spark, sf, "documents"), path)
     books = read_text_books(spark, path)
-    return books.groupBy(source_of(F.col("book_id")).alias("source"), "encoding").agg(
-        F.sum(F.length("text")).alias("chars")
+    return books.select(
+        source_of(F.col("book_id")).alias("source"), "encoding", F.explode(texts_of(F.col("text"))).alias("text")
     )
 
 
@@ -85,20 +85,16 @@ def _archives(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("B & "), "book_id").alias("book_title"),
         "chapter_index",
         "title",
-        ascii_only(F.col("text")).alias("text"),
+        "text",
     )
-    packed = book_epub(chaps)
-    volume = F.when(F.col("volume") == 0, "").otherwise(F.concat(F.lit("-"), "volume"))
-    name = F.concat(F.col("book_id"), volume)
-    return packed.select(
-        name.alias("book_id"),
-        F.concat(name, F.lit(".epub")).alias("name"),
+    return book_epub(chaps).select(
+        "book_id",
+        F.concat("book_id", F.lit(".epub")).alias("name"),
         F.lit(".epub").alias("ext"),
         F.col("epub").alias("content"),
     )
 
 
-_A_BOOKS = S.BOOKS.replace("title, text, doc_id", f"title, {_ASCII} AS text, doc_id")
 _PAGE = f"""'{PAGE_HEAD}' || {S.escape('title')} || '{PAGE_STYLE}' || {S.escape('title')} || '</h1>'
   || array_to_string(list_transform({S.paras('text')}, lambda v: '<p>' || {S.escape('v')} || '</p>'), {S.LF})
   || '</body></html>'"""
@@ -106,7 +102,7 @@ _PAGE = f"""'{PAGE_HEAD}' || {S.escape('title')} || '{PAGE_STYLE}' || {S.escape(
 
 @query(
     "book_epub",
-    S.with_(_A_BOOKS)
+    S.with_(S.BOOKS)
     + f"""SELECT book_id, 'OEBPS/chapters/chapter-' || (chapter_index + 1) || '.xhtml' AS member_path,
       {_PAGE} AS page FROM books""",
 )
@@ -118,7 +114,7 @@ def epub_pages(spark, sf):
 
 @query(
     "read_epub_members",
-    S.with_(_A_BOOKS)
+    S.with_(S.BOOKS)
     + """SELECT book_id, 'OEBPS/chapters/chapter-' || (chapter_index + 1) || '.xhtml' AS member_path FROM books
     UNION ALL SELECT DISTINCT source, m FROM documents, (VALUES ('mimetype'), ('META-INF/container.xml'),
       ('OEBPS/style.css'), ('OEBPS/nav.xhtml'), ('OEBPS/content.opf')) AS v(m)""",
@@ -129,7 +125,7 @@ def epub_member_rows(spark, sf):
 
 @query(
     "epub_spine",
-    S.with_(_A_BOOKS)
+    S.with_(S.BOOKS)
     + """SELECT book_id, chapter_index AS pos,
       'OEBPS/chapters/chapter-' || (chapter_index + 1) || '.xhtml' AS href FROM books""",
 )
@@ -140,7 +136,7 @@ def spine(spark, sf):
 
 @query(
     "read_books_chapters",
-    S.with_(_A_BOOKS)
+    S.with_(S.BOOKS)
     + f"""SELECT book_id, chapter_index, title,
       'OEBPS/chapters/chapter-' || (chapter_index + 1) || '.xhtml' AS source_path,
       {S.normal(f"title || {S.LF} || title || {S.LF} || array_to_string({S.paras('text')}, {S.LF})")} AS text
@@ -169,7 +165,7 @@ def books_of_all_formats(spark, sf):
         name.alias("book_id"),
         F.concat(name, F.when(kind == 0, ".TXT").otherwise(ext)).alias("name"),
         ext.alias("ext"),
-        F.encode(ascii_only(F.col("text")), "UTF-8").alias("content"),
+        F.encode("text", "UTF-8").alias("content"),
     )
     library = parse_files(_archives(spark, sf).unionByName(loose))
     reason = F.regexp_replace("reason", "(readable archive).*", "$1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookflow.plans import sql as S
 from bookflow.plans.adapters import CONFIG, attempts_of, table
-from bookflow.plans.files import _DENSE, source_of, write_text_files
+from bookflow.plans.files import END, source_of, write_text_files
 from bookflow.plans.jobs import LATEST_SQL
 from bookflow.plans.registry import query
 from bookflow.session import scratch_dir
@@ -22,7 +22,11 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-@query("stream_books", f"SELECT source, {_DENSE} AS chars FROM documents GROUP BY source")
+_DENSE_END = END.replace(" ", "")
+_DENSE = "regexp_replace(text, '\\s', '', 'g')"
+
+
+@query("stream_books", f"SELECT source, {_DENSE} AS dense FROM documents")
 def ingest(spark, sf):
     """Two arrivals, two starts: every file is parsed once."""
     root = scratch_dir(spark)
@@ -30,9 +34,14 @@ def ingest(spark, sf):
     for half in (0, 1):
         write_text_files(docs.filter(F.col("doc_id") % 2 == half), f"{root}/in/half={half}")
         stream_books(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    dense = F.length(F.regexp_replace("text", "\\s", ""))
+    # chapters are cut at sizes, across documents: the texts are compared without white space
     parsed = read_library(spark, f"{root}/out").chapters
-    return parsed.groupBy(source_of(F.col("book_id")).alias("source")).agg(F.sum(dense).alias("chars"))
+    whole = parsed.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("chapter_index", "text"))).alias("c"))
+    dense = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["text"]), ""), "\\s", "")
+    parts = F.split(dense, _DENSE_END)
+    return whole.select(
+        source_of(F.col("book_id")).alias("source"), F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("dense")
+    )
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,25 +28,37 @@ def build_session(app: str = "bookflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores when its files give fewer tasks than there are cores.
-
-    A large table has far more splits than cores and is left alone, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session that names no such folder (a local test) gets one of its own.
+    Only a session with a local master, whose tasks run on this machine, may name no such folder and
+    gets one of its own; elsewhere other machines would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="bookflow-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/bookflow/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/bookflow/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+_MADE: dict[str, list[str]] = {}
+
+
+def is_local(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this application has made; tables read from them end with it."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

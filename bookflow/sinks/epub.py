@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import non_empty, paragraphs, xml_escape
@@ -43,8 +44,10 @@ OPF_ITEMS = (
     '<item id="style" href="style.css" media-type="text/css"/>'
 )
 
-# Books beyond this many bytes of pages continue in further volumes.
-VOLUME_BYTES = 64 * 1024 * 1024
+# The rows of a chapter in the manifest, the spine and the navigation.
+ITEM = '<item id="chapter-{n}" href="chapters/chapter-{n}.xhtml" media-type="application/xhtml+xml"/>'
+REF = '<itemref idref="chapter-{n}"/>'
+LINK = '<li><a href="chapters/chapter-{n}.xhtml">{title}</a></li>'
 
 PACKED = "book_id string, volume long, epub binary"
 
@@ -64,15 +67,17 @@ def chapter_page(title: Column, text: Column) -> Column:
     )
 
 
-def chapter_pages(chapters: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+def chapter_pages(chapters: DataFrame, volume_bytes: int | None = None) -> DataFrame:
     """``book_id, book_title, volume, chapter_index, title, page`` of every chapter.
 
-    Volumes fill up in chapter order, by the bytes of the pages before. The running sums never
-    gather a book in one task, so a volume is the largest thing a packing task sees.
+    A book is one volume. If a caller asks for volumes of some bytes, they fill up in chapter order
+    by the bytes of the pages before, and running sums keep a book from meeting in one task.
     """
-    counted = running_totals(
-        chapters, ["book_id"], "chapter_index", {"__n": F.lit(1)}
-    )
+    if volume_bytes:
+        counted = running_totals(chapters, ["book_id"], "chapter_index", {"__n": F.lit(1)})
+    else:  # the archive needs its book in one task anyway: the same exchange numbers the chapters
+        place = F.row_number().over(W.partitionBy("book_id").orderBy("chapter_index"))
+        counted = chapters.withColumn("__n", place - 1)
     numbered = F.concat(F.lit("Chapter "), (F.col("__n") + 1).cast("string"))
     title = F.coalesce(non_empty(F.col("title")), numbered)
     paged = counted.select(
@@ -82,6 +87,8 @@ def chapter_pages(chapters: DataFrame, volume_bytes: int = VOLUME_BYTES) -> Data
         title.alias("title"),
         chapter_page(title, F.col("text")).alias("page"),
     )
+    if not volume_bytes:
+        return paged.withColumn("volume", F.lit(0).cast("long"))
     sized = running_totals(
         paged, ["book_id"], "chapter_index", {"__b": F.octet_length("page")}
     )
@@ -92,16 +99,9 @@ def _pack(pages: pd.DataFrame) -> pd.DataFrame:
     pages = pages.sort_values("chapter_index")
     first = pages.iloc[0]
     numbers = range(1, len(pages) + 1)
-    items = "\n".join(
-        f'<item id="chapter-{n}" href="chapters/chapter-{n}.xhtml" '
-        'media-type="application/xhtml+xml"/>'
-        for n in numbers
-    )
-    refs = "\n".join(f'<itemref idref="chapter-{n}"/>' for n in numbers)
-    links = "\n".join(
-        f'<li><a href="chapters/chapter-{n}.xhtml">{title}</a></li>'
-        for n, title in zip(numbers, pages["safe_title"])
-    )
+    items = "\n".join(ITEM.format(n=n) for n in numbers)
+    refs = "\n".join(REF.format(n=n) for n in numbers)
+    links = "\n".join(LINK.format(n=n, title=t) for n, t in zip(numbers, pages["safe_title"]))
     opf = (
         f'{OPF_HEAD}<dc:identifier id="bookid">urn:uuid:{first["identifier"]}</dc:identifier>'
         f'<dc:title>{first["safe_book"]}</dc:title><dc:language>zh-CN</dc:language></metadata>'
@@ -124,10 +124,10 @@ def _pack(pages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], dtype=object)
 
 
-def book_epub(chapters: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+def book_epub(chapters: DataFrame, volume_bytes: int | None = None) -> DataFrame:
     """``chapters(book_id, book_title, chapter_index, title, text)`` -> archives.
 
-    A book within ``volume_bytes`` is one archive (volume 0).
+    One archive per book (volume 0) of any size, unless ``volume_bytes`` asks for volumes.
     """
     name = F.coalesce(non_empty(F.col("book_title")), F.lit("translated-novel"))
     pages = chapter_pages(chapters, volume_bytes).select(
@@ -139,4 +139,5 @@ def book_epub(chapters: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFram
         xml_escape(name).alias("safe_book"),
         F.substring(F.sha2(F.concat_ws("\x1f", "book_id", "volume"), 256), 1, 32).alias("identifier"),
     )
-    return pages.groupBy("book_id", "volume").applyInPandas(_pack, PACKED)
+    group = ["book_id", "volume"] if volume_bytes else ["book_id"]
+    return pages.groupBy(*group).applyInPandas(_pack, PACKED)

@@ -24,6 +24,7 @@ CHARSETS = (
 )
 BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"))
 _CODECS = dict(CHARSETS)
+# The characters that a score counts, and what each of them adds (in ``_score``).
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 # windows-1252 differs from latin-1 in 0x80-0x9F; its five unused bytes stay C1 controls
@@ -47,7 +48,10 @@ def _score(text: str) -> float:
 
 
 def detect(data: bytes) -> tuple[str, float, str]:
-    """``(charset, score, text)`` of the best reading of ``data``; a byte order mark decides."""
+    """``(charset, score, text)`` of the best reading of ``data``.
+
+    A byte order mark decides, then well-formed UTF-8 without NUL; only other bytes are scored.
+    """
     for mark, label in BOMS:
         if data.startswith(mark):
             text = _decoded(data, label)
@@ -57,6 +61,12 @@ def detect(data: bytes) -> tuple[str, float, str]:
         if not _CONTROL.search(text):
             # every ASCII-based reading is the same and clean: the first one wins
             return "utf-8", 0.0, text
+    if not data.count(0):
+        try:  # several bytes that are well-formed UTF-8 are not so by chance
+            text = data.decode("utf-8")
+            return "utf-8", _score(text), text
+        except UnicodeDecodeError:
+            pass
     wide_penalty = 10000 if data.count(0) < 0.05 * len(data) or not data else 0
 
     def rated(label: str) -> tuple[float, str, str]:

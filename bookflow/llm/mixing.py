@@ -40,6 +40,22 @@ def topic_of(text: Column) -> Column:
     return chain
 
 
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens), written once: what mixing needs of whole texts."""
+    return materialize(
+        docs.select("doc_id", "source", "lang", topic_of(_text()).alias("topic"), n_tokens(_text()).alias("n_tokens")),
+        "measured",
+    )
+
+
 def _array(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
@@ -165,21 +181,22 @@ def mix(
     targets: dict[str, dict[str, float]] | None = None,
     share: float = SHARE,
     topic_col: str | None = None,
+    tokens_col: str | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """``docs`` with __topic, __tokens, __weight, __probability and __sampled.
 
     A null source, language or topic is a value of its own (''), a null text has no tokens, an empty
     table gives no rows. The draw is a hash of doc_id and seed, so a retried task draws the same and
-    repeated rows are drawn together; a null doc_id draws like any other.
+    repeated rows are drawn together; a null doc_id draws like any other. ``topic_col`` and
+    ``tokens_col`` name columns to use instead of what the text gives; with both no text is read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns(
         {
             "__source": F.coalesce("source", F.lit("")),
             "__lang": F.coalesce("lang", F.lit("")),
-            "__topic": F.coalesce(F.col(topic_col).cast("string"), F.lit("")) if topic_col else topic_of(text),
-            "__tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"),
+            "__topic": F.coalesce(F.col(topic_col).cast("string"), F.lit("")) if topic_col else topic_of(_text()),
+            "__tokens": F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else n_tokens(_text()),
         }
     )
     cells = keyed.groupBy(*[F.col(f"__{n}").alias(n) for n in ("source", "lang", "topic")]).agg(

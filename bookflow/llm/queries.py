@@ -21,11 +21,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir))
-    own = [F.col(f"__{c}").alias(a) for c, a in {"topic": "topic", "tokens": "n_tokens", "weight": "weight"}.items()]
-    return mixed.select(
-        "doc_id", "source", "lang", *own, F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled")
-    )
+    rows = mixing.measured(documents(spark, sf_dir))
+    own = [F.col(f"__{c}").alias(c) for c in ("weight", "probability", "sampled")]
+    return mixing.mix(rows, topic_col="topic", tokens_col="n_tokens").select(*rows.columns, *own)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

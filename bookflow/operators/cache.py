@@ -77,8 +77,10 @@ def cache_lookup(segs: DataFrame, cache: DataFrame, use_cache: bool = True) -> D
         return segs.withColumns(
             {"hit": F.lit(False), "translated_text": F.lit(None).cast("string")}
         )
-    entries = live_entries(cache).select(
-        F.col("key").alias("fingerprint"), js_trim(F.col("text")).alias("translated_text")
+    # batches may have stored a key twice: the newest entry counts
+    newest = live_entries(cache).groupBy("key").agg(F.max(F.struct("created_at", "text")).alias("e"))
+    entries = newest.select(
+        F.col("key").alias("fingerprint"), js_trim(F.col("e.text")).alias("translated_text")
     )
     joined = segs.join(entries, "fingerprint", "left")
     return joined.withColumn("hit", F.col("translated_text").isNotNull()).select(

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from bookflow import constants as C
 from bookflow.functions.text import js_trim, non_empty
-from bookflow.operators.matching import contains_pairs, fits, has_automaton, positions_udf
+from bookflow.operators.matching import contains_pairs, fits
 
 # Separators of a glossary line, of its note, and of an alias list.
 LINE_PATTERN = rf"^(.+?)(?:[{C.WS_CLASS}]*(?:=>|->|=|：|:)[{C.WS_CLASS}]*)(.+)$"
 NOTE_SPLIT = rf"[{C.WS_CLASS}]+#[{C.WS_CLASS}]+|[{C.WS_CLASS}]+//[{C.WS_CLASS}]+"
 ALIAS_SPLIT = "[|,，、]"
 
+# Up to so many terms, looking for each in the row costs less than a join by anchors.
+SMALL_TERMS = 500
+
 TERM_TYPE = (
     "struct<term_idx:int,source:string,target:string,aliases:array<string>,note:string>"
 )
@@ -101,7 +104,7 @@ def _needles(any_name: bool) -> Column:
 def small_glossary(terms: DataFrame) -> bool:
     """Whether the glossary may be broadcast and searched for row by row."""
     sized = terms.withColumn("__names", F.array_join("aliases", ""))
-    return has_automaton() and fits(sized, ["source", "target", "note", "__names"])
+    return fits(sized, ["source", "target", "note", "__names"], max_rows=SMALL_TERMS)
 
 
 def join_small(
@@ -109,22 +112,17 @@ def join_small(
 ) -> DataFrame:
     """``segs`` with ``matched``, the relevant terms of each row in glossary order.
 
-    For glossaries whose size was checked: the term lists are broadcast, and one pass per text
-    finds the positions of all its terms, however many needles there are.
+    For glossaries whose size was checked: the term lists are broadcast.
     """
     entry = F.struct(F.col("term_idx"), _term().alias("term"), _needles(any_name).alias("needles"))
     lists = terms.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
-    needles = {r["project_id"]: r["ns"] for r in lists.select("project_id", F.col("__terms.needles").alias("ns")).collect()}
-    found = positions_udf(needles)("project_id", text)
-    kept = found if limit is None else F.slice(found, 1, limit)
-    joined = segs.join(
-        F.broadcast(lists.select("project_id", F.col("__terms.term").alias("__terms"))),
-        "project_id",
-        "left",
-    )
-    return joined.select(
-        *segs.columns, F.transform(kept, lambda i: F.get("__terms", i)).alias("matched")
+    joined = segs.join(F.broadcast(lists), "project_id", "left")
+    found = F.filter(
+        F.coalesce("__terms", F.array()),
+        lambda t: F.exists(t["needles"], lambda n: (n != "") & F.contains(F.coalesce(F.col(text), F.lit("")), n)),
     )
+    kept = found if limit is None else F.slice(found, 1, limit)
+    return joined.select(*segs.columns, F.transform(kept, lambda t: t["term"]).alias("matched"))
 
 
 def _pairs(

@@ -1,17 +1,13 @@
 """Exact "text contains needle" joins.
 
-Two plans give the same rows. A needle table whose size was checked is shipped to the tasks, which
-search every text for all needles in one pass (an Aho-Corasick automaton over Arrow batches; a chain
-of ``contains`` would scan the text once per needle). A larger table is joined on an anchor: a text
-that contains a needle also contains the needle's first 1, 2, 4 or 8 characters, so an equi join on
-those finds every candidate and ``contains`` removes the false ones.
+Two plans give the same rows. A needle table of a few hundred rows, which is checked, is broadcast and
+searched with ``contains`` inside the row. A larger table is joined on an anchor: a text that contains
+a needle also contains the needle's first 1, 2, 4 or 8 characters, so an equi join on those finds every
+candidate and ``contains`` removes the false ones. Both are built-in functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,48 +19,6 @@ MAX_BYTES = 4 * 1024 * 1024
 ANCHORS = (1, 2, 4, 8)
 
 
-def has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def positions_udf(needles: dict[str, list[list[str]]]) -> Callable[..., Column]:
-    """Arrow UDF ``(group, text) -> array<int>``: which entries of the group's list occur.
-
-    ``needles`` gives each group a list of entries, each with the strings that stand for it.
-    """
-
-    def machine(entries: list[list[str]]):
-        import ahocorasick
-
-        owners: dict[str, list[int]] = {}
-        for position, names in enumerate(entries):
-            for name in names:
-                owners.setdefault(name, []).append(position)
-        automaton = ahocorasick.Automaton()
-        for name, positions in owners.items():
-            automaton.add_word(name, positions)
-        automaton.make_automaton()
-        return automaton if owners else None
-
-    def search(automaton, text: str | None) -> list[int]:
-        if automaton is None or not text:
-            return []
-        return sorted({p for _, positions in automaton.iter(text) for p in positions})
-
-    @F.pandas_udf("array<int>")
-    def positions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        machines = {group: machine(entries) for group, entries in needles.items()}
-        for groups, texts in batches:
-            found = [search(machines.get(g), t) for g, t in zip(groups, texts)]
-            yield pd.Series(found, dtype=object)
-
-    return positions
-
-
 def fits(df: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES):
     """Whether ``df`` is small enough to broadcast; reads at most ``max_rows + 1`` rows."""
     size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in columns), F.lit(0))

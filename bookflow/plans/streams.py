@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.operators.translate import TranslateError
 from bookflow.plans import sql as S
 from bookflow.plans.adapters import CONFIG, attempts_of, table
 from bookflow.plans.files import END, source_of, write_text_files
@@ -44,6 +45,17 @@ def ingest(spark, sf):
     )
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf, "documents").select(
+        F.col("source").alias("job_id"),
+        F.col("doc_id").cast("string").alias("segment_id"),
+        F.col("doc_id").cast("int").alias("chapter_index"),
+        F.lit(1).alias("segment_index"),
+        F.sha2("text", 256).alias("fingerprint"),
+        "text",
+    )
+
+
 @query(
     "stream_translate",
     f"""SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS segment_id,
@@ -54,14 +66,7 @@ def ingest(spark, sf):
 def translate_twice(spark, sf):
     """The second start finds nothing left to do."""
     root = scratch_dir(spark)
-    segs = _stream(spark, sf, "documents").select(
-        F.col("source").alias("job_id"),
-        F.col("doc_id").cast("string").alias("segment_id"),
-        F.col("doc_id").cast("int").alias("chapter_index"),
-        F.lit(1).alias("segment_index"),
-        F.sha2("text", 256).alias("fingerprint"),
-        "text",
-    )
+    segs = _segments(spark, sf)
     now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
     for _ in range(2):
         stream_translate(
@@ -72,6 +77,33 @@ def translate_twice(spark, sf):
     )
 
 
+@query(
+    "stream_translate_failures",
+    f"""SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS segment_id,
+      CASE WHEN row_number() OVER (PARTITION BY text ORDER BY source, doc_id) = 1 THEN 'completed'
+        ELSE 'cached' END AS status,
+      CASE WHEN length(text) % 2 = 0 THEN {S.trim("'T ' || text")}
+        ELSE {S.trim(S.demo('text', 'Chinese', CONFIG.preset.name))} END AS translated_text FROM documents""",
+)
+def translate_after_failures(spark, sf):
+    """Half of the calls fail at first; a second start, without new input, completes all segments."""
+
+    def failing(request):
+        if len(request["text"]) % 2:
+            raise TranslateError("refused", status=401)
+        return f"T {request['text']}", None
+
+    root = scratch_dir(spark)
+    now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+    for fn, again in ((failing, False), (None, True)):
+        stream_translate(
+            _segments(spark, sf), f"{root}/state", f"{root}/checkpoint", CONFIG, fn=fn, now=now, retry_failed=again
+        ).awaitTermination()
+    return read_results(spark, f"{root}/state").select(
+        "job_id", "segment_id", "status", "translated_text"
+    )
+
+
 @query(
     "stream_progress",
     S.with_(S.ATTEMPTS, LATEST_SQL, f"prog AS ({S.progress('job_id', 'latest')})")

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.session import is_committed
+
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -22,5 +24,20 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], full)
 
 
+def last_batch(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The number of the newest batch folder (below ``before``); only folder names are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    # an unfinished write has no marker and does not count
+    done = [
+        int(n.removeprefix("batch=")) for n in names
+        if n.startswith("batch=") and is_committed(spark, f"{path}/{n}")
+    ]
+    return max((n for n in done if before is None or n < before), default=None)
+
+
 def earlier(df: DataFrame, batch_id: int) -> DataFrame:
     return df.filter(F.col("batch") < batch_id).drop("batch")

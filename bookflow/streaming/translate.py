@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bookflow.config import JobConfig
 from bookflow.operators.translate import Translator, translate_batch
 from bookflow.operators.work import resume_filter
 from bookflow.schemas import ATTEMPTS, CACHE, names
-from bookflow.streaming.state import earlier, read_batches, write_batch
+from bookflow.streaming.state import earlier, last_batch, read_batches, write_batch
+
+KEYS = ["job_id", "segment_id"]
+FINISHED = ("completed", "cached")
+# Batches are stored under multiples of this; a start's own steps take the numbers between them.
+STARTS = 1_000_000
 
 RESULTS = (
     "job_id string, segment_id string, fingerprint string, status string, "
@@ -25,27 +31,46 @@ def stream_translate(
     cfg: JobConfig,
     fn: Translator | None = None,
     now: Column | None = None,
+    retry_failed: bool = False,
     **options,
 ) -> StreamingQuery:
     """Translate the segments of a stream (which carry their ``fingerprint``) into ``state``.
 
-    A batch skips segments that an earlier one finished and reuses its texts by fingerprint. Its
-    output goes to folders named after the batch, and committed calls are read back instead of
-    repeated, so a replay has the effect of one run.
+    A batch skips segments that an earlier one finished and reuses its texts by fingerprint. Segments
+    that it leaves undone stay in a queue: every batch, and every start before its first batch, takes
+    the pending ones again, and with ``retry_failed`` the failed ones too. Output goes to folders named
+    after the batch, and committed calls are read back instead of repeated, so a replay has the effect
+    of one run.
     """
+    spark, schema = source.sparkSession, source.schema
     stamp = F.current_timestamp() if now is None else now
 
+    def step(new: DataFrame, number: int) -> None:
+        session = new.sparkSession
+        done = earlier(read_batches(session, f"{state}/results", RESULTS), number)
+        cache = earlier(read_batches(session, f"{state}/cache", CACHE), number)
+        waiting = _queue(session, state, schema, number)
+        again = waiting.filter(F.col("status").isin(*retried)).drop("status")
+        fresh = new.dropDuplicates(KEYS)
+        todo = resume_filter(fresh.unionByName(again.join(fresh, KEYS, "left_anti")), done)
+        out = translate_batch(todo, cache, cfg, stamp, fn, path=f"{state}/work/batch={number}", **options)
+        write_batch(out.attempts, f"{state}/attempts", number)
+        write_batch(out.entries, f"{state}/cache", number)
+        write_batch(out.results, f"{state}/results", number)
+        made = read_batches(session, f"{state}/results", RESULTS).filter(F.col("batch") == number)
+        undone = made.filter(~F.col("status").isin(*FINISHED)).select(*KEYS, "status")
+        left = todo.join(undone, KEYS).select(*schema.names, "status")
+        kept = waiting.join(made, KEYS, "left_anti").select(*schema.names, "status")
+        finished = done.filter(F.col("status").isin(*FINISHED))
+        write_batch(left.unionByName(kept.join(finished, KEYS, "left_anti")), f"{state}/queue", number)
+
+    retried = ["pending", *(["failed"] if retry_failed else [])]
+    last = last_batch(spark, f"{state}/queue")
+    if last is not None and not _queue(spark, state, schema).filter(F.col("status").isin(*retried)).isEmpty():
+        step(spark.createDataFrame([], schema), last + 1)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = earlier(read_batches(session, f"{state}/results", RESULTS), batch_id)
-        cache = earlier(read_batches(session, f"{state}/cache", CACHE), batch_id)
-        todo = resume_filter(batch.dropDuplicates(["job_id", "segment_id"]), done)
-        out = translate_batch(
-            todo, cache, cfg, stamp, fn, path=f"{state}/work/batch={batch_id}", **options
-        )
-        write_batch(out.attempts, f"{state}/attempts", batch_id)
-        write_batch(out.entries, f"{state}/cache", batch_id)
-        write_batch(out.results, f"{state}/results", batch_id)
+        step(batch, (batch_id + 1) * STARTS)
 
     return (
         source.writeStream.foreachBatch(run)
@@ -55,6 +80,14 @@ def stream_translate(
     )
 
 
+def _queue(spark: SparkSession, state: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The segments that the last step (before one of that number) left undone, with their status."""
+    last = last_batch(spark, f"{state}/queue", before)
+    if last is None:
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("status", StringType())]))
+    return spark.read.parquet(f"{state}/queue/batch={last}").select(*schema.names, "status")
+
+
 def read_results(spark: SparkSession, state: str) -> DataFrame:
     """The latest result of each segment: a later batch wins."""
     rows = read_batches(spark, f"{state}/results", RESULTS)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bookflow import constants as C
 from bookflow.config import JobConfig
 from bookflow.operators.translate import TranslateError, translate, translate_batch, with_retries
 from bookflow.schemas import CACHE
@@ -159,3 +160,52 @@ def test_progress_ignores_the_order_of_batches(spark, tmp_path, first, second):
         stream_progress(stream, state, mark).awaitTermination()
     r = read_progress(spark, state).first()
     assert (r.total, r.completed, r.failed, r.outcome) == (2, 1, 1, "completed_with_errors")
+
+
+def test_queue_of_unfinished_segments(spark, tmp_path):
+    """A representative fails, its follower waits; a start without new input completes both."""
+    src, state, checkpoint = (str(tmp_path / n) for n in ("src", "state", "checkpoint"))
+    segments(spark, ["a", "a", "b"]).write.parquet(src)
+
+    def start(fn, **options):
+        source = spark.readStream.schema(SEGS).parquet(src)
+        stream_translate(source, state, checkpoint, CFG, fn, now(), **options).awaitTermination()
+        return {r.segment_id: r.status for r in read_results(spark, state).collect()}
+
+    def refuse(request):
+        if request["text"] == "a":
+            raise TranslateError("no", status=401)
+        return "B", None
+
+    def work(request):
+        return f"T {request['text']}", None
+
+    assert start(refuse) == {"s0": "failed", "s1": "pending", "s2": "completed"}
+    assert start(refuse) == {"s0": "failed", "s1": "failed", "s2": "completed"}  # the pending one was tried
+    assert start(work) == {"s0": "failed", "s1": "failed", "s2": "completed"}  # failed ones wait to be asked for
+    assert start(work, retry_failed=True) == {"s0": "completed", "s1": "cached", "s2": "completed"}
+    assert start(work, retry_failed=True) == {"s0": "completed", "s1": "cached", "s2": "completed"}
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from bookflow import session
+
+    assert session.is_local("local[8]") and session.is_local("local")
+    assert not session.is_local("local-cluster[2,1,1024]") and not session.is_local("spark://x:7077")
+    monkeypatch.setattr(session, "is_local", lambda master: False)
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Bare)
+
+
+def test_a_key_stored_twice_gives_one_hit(spark):
+    from bookflow.operators.cache import cache_lookup
+
+    rows = [(1, "f-a", f"2024-01-0{d} 00:00:00", f"T{d}") for d in (1, 2)]
+    cache = spark.createDataFrame(rows, "version int, key string, created_at string, text string")
+    hits = cache_lookup(segments(spark, ["a"]), cache.withColumn("version", F.lit(C.CACHE_VERSION)))
+    assert [r.translated_text for r in hits.collect()] == ["T2"]

@@ -23,8 +23,8 @@ from bookflow.session import materialize
 SIZE = 2048
 #: Pieces of one length that share a task while ranks are given out, on average at most.
 BUCKET_ROWS = 1 << 16
-#: Word forms that a worker remembers, some 300 MB.
-MEMO_WORDS = 1_000_000
+#: Word forms that a worker remembers, some 150 MB.
+MEMO_WORDS = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

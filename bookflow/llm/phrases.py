@@ -23,7 +23,7 @@ from bookflow.session import materialize
 
 WINDOW = 20
 GRAM = 8
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 class _Hashes(dict):

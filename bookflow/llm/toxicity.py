@@ -39,7 +39,7 @@ DISCOUNT = 0.75
 #: Share of a toxic text's words that are toxic, before the text is seen.
 PRIOR = 0.01
 LENGTH_POWER = 0.75
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 _SPLIT = re.compile(r"\W+").split
 
 

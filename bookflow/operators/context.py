@@ -26,7 +26,6 @@ def prompt_context(
     bank: DataFrame,
     cfg: JobConfig,
     small_terms: bool | None = None,
-    small_bank: bool | None = None,
     book: str = "project_id",
 ) -> DataFrame:
     """Add glossary, summary and retrieval text and their token estimates to each segment.
@@ -41,7 +40,7 @@ def prompt_context(
         "left",
     )
     # from here on rows stay where they are, unless glossary or bank are too large for that
-    retrieved = attach_context(joined, bank, SEG_KEYS, cfg.retrieval_count, small_bank)
+    retrieved = attach_context(joined, bank, SEG_KEYS, cfg.retrieval_count)
     termed = with_default_terms(
         attach_terms(retrieved, terms, SEG_KEYS, cfg.glossary_limit, small=small_terms),
         terms,

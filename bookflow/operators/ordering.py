@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.operators.matching import bounded_broadcast
+from bookflow.session import materialize
 
 BITS = 14
 
@@ -23,13 +24,14 @@ def running_totals(
 ) -> DataFrame:
     """Add, per entry of ``values``, its sum over rows of the same keys with a smaller ``order``.
 
-    ``order`` is integral and unique within ``keys``.
+    ``order`` is integral and unique within ``keys``. Keys and values are written once and summed
+    there; the other columns join the sums at the end, so they take no part in any window.
     """
     fine, coarse, outs = "__fine", "__coarse", list(values)
-    valued = df.withColumns(
-        {f"__v_{o}": v.cast("long") for o, v in values.items()}
-        | {fine: F.shiftright(order, bits)}
+    narrow = df.select(
+        *keys, order, *[v.cast("long").alias(f"__v_{o}") for o, v in values.items()], F.shiftright(order, bits).alias(fine)
     )
+    valued = materialize(narrow, "sums")
 
     def before(part: list[str], by: str, col: str) -> Column:
         frame = W.partitionBy(*part).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
@@ -54,9 +56,12 @@ def running_totals(
     local = valued.withColumns(
         {f"__loc_{o}": before([*keys, fine], order, f"__v_{o}") for o in outs}
     )
-    return local.join(offsets, [*keys, fine]).select(
-        *df.columns, *[(F.col(f"__off_{o}") + F.col(f"__loc_{o}")).alias(o) for o in outs]
+    sums = local.join(offsets, [*keys, fine]).select(
+        *keys, order, *[(F.col(f"__off_{o}") + F.col(f"__loc_{o}")).alias(o) for o in outs]
     )
+    if set(df.columns) == {*keys, order}:
+        return sums.select(*df.columns, *outs)
+    return df.join(sums, [*keys, order]).select(*df.columns, *outs)
 
 
 def running_total(

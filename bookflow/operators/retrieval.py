@@ -221,30 +221,41 @@ def top_context(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def best_context(
+    segs: DataFrame, bank: DataFrame, k: int, text: str = "text", fields: tuple[str, ...] = ("item_idx",),
+    block: int = MAX_BANK_ROWS,
+) -> DataFrame:
+    """Add ``retrieved``: the ``k`` best items (``fields`` and ``score``) in rank order, exactly.
+
+    The bank goes to the tasks in blocks of ``block`` item numbers. Each block's best ``k`` are
+    ranked and merged inside the row, so no pair of a text and an item ever leaves it.
+    """
+    low, high = bank.agg(F.min("item_idx"), F.max("item_idx")).first()
+    out = segs.withColumn("retrieved", F.lit(None))
+    for start in range(low, high + 1, block) if low is not None else ():
+        part = bank.filter(F.col("item_idx").between(start, start + block - 1))
+        scored = _score_small(out, part, text, k, [*fields])
+        if start == low:
+            best = F.coalesce("scored", F.array())
+        else:
+            both = F.transform(
+                F.concat("retrieved", F.coalesce("scored", F.array())),
+                lambda x: F.struct((-x["score"]).alias("o"), x["item_idx"].alias("i"), x.alias("x")),
+            )
+            best = F.transform(F.slice(F.array_sort(both), 1, k), lambda x: x["x"])
+        out = scored.withColumn("retrieved", best).drop("scored")
+    if low is None:
+        kinds = {"item_idx": "int"}
+        item = ",".join(f"{f}:{kinds.get(f, 'string')}" for f in fields)
+        return out.withColumn("retrieved", F.array().cast(f"array<struct<{item},score:bigint>>"))
+    return out
+
+
 def attach_context(
-    segs: DataFrame, bank: DataFrame, keys: list[str], k: int = 5, small: bool | None = None
+    segs: DataFrame, bank: DataFrame, keys: list[str], k: int = 5, block: int = MAX_BANK_ROWS
 ) -> DataFrame:
     """Add ``retrieved``: the ``k`` best items in rank order."""
-    if small_bank(bank) if small is None else small:
-        fields = ["item_idx", "title", "content"]
-        return _score_small(segs, bank, "text", k, fields).withColumnRenamed("scored", "retrieved")
-    top = top_context(score_context(segs, bank, keys, small=False), keys, k)
-    items = bank.select("project_id", "item_idx", "title", F.col("text").alias("content"))
-    ranked = F.sort_array(
-        F.collect_list(F.struct("rank", "item_idx", "title", "content", "score"))
-    )
-    lists = (
-        top.join(segs.select(*keys, "project_id"), keys)
-        .join(items, ["project_id", "item_idx"])
-        .groupBy(*keys)
-        .agg(
-            F.transform(
-                ranked,
-                lambda x: F.struct(x["item_idx"], x["title"], x["content"], x["score"]),
-            ).alias("retrieved")
-        )
-    )
-    return segs.join(lists, keys, "left")
+    return best_context(segs, bank, k, fields=("item_idx", "title", "content"), block=block)
 
 
 def format_context(retrieved: Column) -> Column:

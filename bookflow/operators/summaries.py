@@ -11,6 +11,7 @@ from bookflow.functions.text import first_sentences, non_empty
 from bookflow.operators.chapters import numbered_title
 from bookflow.operators.glossary import attach_terms
 from bookflow.operators.ordering import running_total
+from bookflow.session import materialize
 
 
 def names(c: Column) -> Column:
@@ -99,15 +100,18 @@ def previous_summaries(
 
     Chapters without a summary are passed over, so each chapter first learns how many summaries
     precede it (a skew-safe running count); the summary with rank r serves the chapters that see
-    r+1 .. r+n of them. The join keys are spread over the chapters even if one book holds most.
+    r+1 .. r+n of them. Chapters behind a book's last summary all see the same number; AQE splits them.
     """
     keys = [book, "chapter_index"]
     lines = summaries.select(
         *keys, summary_line(F.col("title"), F.col("chapter_index"), F.col("summary")).alias("line")
     )
     marks = chapters.select(*keys).distinct().join(lines, keys, "full")
-    ranked = running_total(
-        marks, [book], "chapter_index", F.col("line").isNotNull().cast("int"), "seen"
+    ranked = materialize(
+        running_total(
+            materialize(marks, "marks"), [book], "chapter_index", F.col("line").isNotNull().cast("int"), "seen"
+        ),
+        "ranked",
     )
     served = (
         ranked.filter(F.col("line").isNotNull())

@@ -122,8 +122,9 @@ def score_context_large_bank(spark, sf):
     S.with_(_SCORED_DOCS) + "SELECT doc_id, item_idx, score, rank FROM ranked WHERE rank <= 5",
 )
 def top_context(spark, sf):
-    scored = R.score_context(documents(spark, sf), bank(spark, sf), DOC)
-    return R.top_context(scored, DOC, 5)
+    best = R.best_context(documents(spark, sf), bank(spark, sf), 5, block=50)
+    ranked = best.select(*DOC, F.posexplode("retrieved").alias("pos", "item"))
+    return ranked.select(*DOC, "item.item_idx", "item.score", (F.col("pos") + 1).alias("rank"))
 
 
 # --- summaries --------------------------------------------------------------------------------------------

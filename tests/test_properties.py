@@ -125,7 +125,8 @@ def test_scoring_plans_equal_brute_force(spark):
     for small in (True, False):
         scored = R.score_context(segs, bank, ["k"], small=small)
         assert {(r.k, r.item_idx): r.score for r in scored.collect()} == want
-        for r in R.attach_context(segs, bank, ["k"], 3, small=small).collect():
+    for block in (7, 1000):
+        for r in R.attach_context(segs, bank, ["k"], 3, block=block).collect():
             best = sorted(((-s, i) for (k, i), s in want.items() if k == r.k))[:3]
             assert [(x.item_idx, x.score) for x in r.retrieved or []] == [(i, -s) for s, i in best]
 

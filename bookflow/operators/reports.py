@@ -12,8 +12,10 @@ from bookflow.functions.text import non_empty
 from bookflow.operators.glossary import join_small, match_terms, small_glossary
 from bookflow.operators.segments import segment_pieces
 from bookflow.operators.tables import union_ids
+from bookflow.operators.tables import redact
 from bookflow.operators.work import job_outcome, progress
 from bookflow.schemas import SEG_KEYS
+from bookflow.session import materialize
 
 
 def reassemble(results: DataFrame) -> DataFrame:
@@ -108,7 +110,8 @@ def first_locations(missing: DataFrame, n: int = C.LOCATION_LIMIT) -> DataFrame:
 def consistency_issues(
     results: DataFrame, terms: DataFrame, small: bool | None = None
 ) -> DataFrame:
-    hits = _source_hits(results, terms, small)
+    # the search is done once; two aggregates read its keys
+    hits = materialize(_source_hits(results, terms, small), "hits")
     found = _seen_missing(hits).join(
         first_locations(hits.filter("missing")), ["job_id", "term_idx"]
     )
@@ -213,12 +216,6 @@ def sync_projects(projects: DataFrame, jobs: DataFrame, now: Column) -> DataFram
     )
 
 
-def _capped_list(df: DataFrame, n: int, order: list[str], item: Column, out: str) -> DataFrame:
-    ranked = cap_issues(df.select("job_id", *order, item.alias("__i")), n, order)
-    collected = F.sort_array(F.collect_list(F.struct(*order, "__i")))
-    return ranked.groupBy("job_id").agg(F.transform(collected, lambda x: x["__i"]).alias(out))
-
-
 def job_report(
     results: DataFrame,
     chapter_results: DataFrame,
@@ -227,38 +224,51 @@ def job_report(
     consistency: DataFrame,
     configs: DataFrame,
 ) -> DataFrame:
-    """One row per job: progress, outcome, counts, the first issues and summaries, config.
+    """One row per job: progress, outcome, counts and config, without its key.
 
-    Lists are the report's capped ones; the full tables stay keyed by job.
+    Counts of all tables come from one aggregation over their job ids.
     """
     prog = progress(results)
+    tables = {
+        "results": chapter_results, "qa_count": qa_issues, "summary_count": summaries,
+        "consistency_count": consistency,
+    }
+    kinds = None
+    for name, df in tables.items():
+        rows = df.select("job_id", F.lit(name).alias("kind"))
+        kinds = rows if kinds is None else kinds.unionByName(rows)
+    counts = kinds.groupBy("job_id").agg(*[F.count_if(F.col("kind") == n).alias(n) for n in tables])
+    safe = redact(configs)
+    fields = [c for c in safe.columns if c != "job_id"]
+    config = safe.select("job_id", F.to_json(F.struct(*fields)).alias("config"))
+    out = prog.join(job_outcome(prog), "job_id", "left").join(counts, "job_id", "left")
+    return out.join(config, "job_id", "left").fillna(0, list(tables))
+
+
+def job_record(
+    report: DataFrame,
+    chapter_results: DataFrame,
+    qa_issues: DataFrame,
+    summaries: DataFrame,
+    consistency: DataFrame,
+) -> DataFrame:
+    """``job_id, section, place, json``: the whole record of each job, as lines.
 
-    def counted(df: DataFrame, out: str) -> DataFrame:
-        return df.groupBy("job_id").agg(F.count("*").alias(out))
-
-    parts = [
-        job_outcome(prog),
-        counted(chapter_results, "results"),
-        counted(qa_issues, "qa_count"),
-        counted(summaries, "summary_count"),
-        counted(consistency, "consistency_count"),
-        _capped_list(
-            qa_issues,
-            C.REPORT_QA,
-            ["chapter_index", "segment_index", "segment_id", "issue_no"],
-            F.col("message"),
-            "qa_head",
-        ),
-        _capped_list(
-            summaries, C.REPORT_SUMMARIES, ["chapter_index"], F.col("summary"), "summary_head"
-        ),
-        _capped_list(
-            consistency, C.REPORT_CONSISTENCY, ["term_idx"], F.col("message"), "consistency_head"
-        ),
-        configs.select("job_id", F.to_json(F.struct(*[c for c in configs.columns if c != "job_id"])).alias("config")),
-    ]
-    out = prog
-    for part in parts:
-        out = out.join(part, "job_id", "left")
-    counts = ["results", "qa_count", "summary_count", "consistency_count"]
-    return out.fillna(0, counts)
+    The report row comes first (section ``job``), then every result, issue and summary with all its
+    columns; ``place`` orders a section. No job is gathered, however many issues it has.
+    """
+
+    def lines(section: str, df: DataFrame, *place: str) -> DataFrame:
+        fields = [c for c in df.columns if c != "job_id"]
+        order = F.array(*[F.col(c).cast("long") for c in place]) if place else F.array().cast("array<bigint>")
+        return df.select(
+            "job_id", F.lit(section).alias("section"), order.alias("place"), F.to_json(F.struct(*fields)).alias("json")
+        )
+
+    return (
+        lines("job", report)
+        .unionByName(lines("results", chapter_results, "chapter_index"))
+        .unionByName(lines("qa", qa_issues, "chapter_index", "segment_index", "issue_no"))
+        .unionByName(lines("summaries", summaries, "chapter_index"))
+        .unionByName(lines("consistency", consistency, "term_idx"))
+    )

@@ -15,7 +15,7 @@ from bookflow.sinks.epub import (
     PAGE_STYLE,
     book_epub,
 )
-from bookflow.sinks.projects import export_projects
+from bookflow.sinks.projects import export_projects, project_lines, write_documents, write_lines
 from bookflow.sinks.text import book_text, write_book_text
 from bookflow.sources import epub as E
 from bookflow.sources import projects as PJ
@@ -241,45 +241,57 @@ def _exported(spark, sf):
         ),
         "contextBank": (items, "item_idx"),
     }
-    stamp = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
-    whole, lines = export_projects(header, sections, stamp)
-    root = scratch_dir(spark)
-    return materialize(whole, "documents", root), materialize(lines, "lines", root)
+    return header, sections
 
 
-@query(
-    "export_projects",
-    S.with_(S.BOOKS)
-    + """SELECT book_id AS project_id, 'chapters' AS section, chapter_index AS pos, title, text FROM books
+_EXPORTED = """SELECT book_id AS project_id, 'chapters' AS section, chapter_index AS pos, title, text FROM books
     UNION ALL SELECT book_id, 'results', chapter_index, title, 'T ' || text FROM books
     UNION ALL SELECT 'src' || (item_id % 20), 'contextBank',
       row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id) - 1,
-      CASE WHEN item_id % 2 = 0 THEN 'Item ' || item_id ELSE '' END, text FROM benchmark""",
-)
-def exported_rows(spark, sf):
-    documents_, lines = _exported(spark, sf)
-    docs = PJ.parse_projects(documents_)
+      CASE WHEN item_id % 2 = 0 THEN 'Item ' || item_id ELSE '' END, text FROM benchmark"""
 
-    def rows(df, section, pos, text):
-        return df.select(
-            "project_id", F.lit(section).alias("section"), F.col(pos).cast("long").alias("pos"), "title",
-            F.col(text).alias("text"),
-        )
 
-    large = lines.filter(F.col("section") != "project").select(
-        "project_id",
-        "section",
-        "pos",
-        F.get_json_object("json", "$.title").alias("title"),
-        F.coalesce(
-            F.get_json_object("json", "$.translatedText"), F.get_json_object("json", "$.text")
-        ).alias("text"),
+def _stamp() -> Column:
+    return F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+
+
+def _section(df: DataFrame, section: str, pos: str, text: str) -> DataFrame:
+    return df.select(
+        "project_id", F.lit(section).alias("section"), F.col(pos).cast("long").alias("pos"), "title",
+        F.col(text).alias("text"),
     )
+
+
+@query("export_projects", S.with_(S.BOOKS) + _EXPORTED)
+def exported_rows(spark, sf):
+    """Documents written as files, one per project, and read back whole."""
+    path = f"{scratch_dir(spark)}/documents"
+    header, sections = _exported(spark, sf)
+    write_documents(export_projects(header, sections, _stamp()), path)
+    docs = materialize(PJ.read_projects(spark, path), "read")
+    return (
+        _section(PJ.project_chapters(docs), "chapters", "chapter_index", "text")
+        .unionByName(_section(PJ.project_results(docs), "results", "result_index", "translatedText"))
+        .unionByName(_section(PJ.project_bank(docs), "contextBank", "item_idx", "text"))
+    )
+
+
+@query(
+    "export_project_lines",
+    S.with_(S.BOOKS)
+    + _EXPORTED.replace(
+        """row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id) - 1""", "item_id"
+    ),
+)
+def exported_lines(spark, sf):
+    """The other form: lines written as files and read back."""
+    path = f"{scratch_dir(spark)}/lines"
+    write_lines(project_lines(*_exported(spark, sf)), path)
+    lines = PJ.read_lines(spark, path)
     return (
-        rows(PJ.project_chapters(docs), "chapters", "chapter_index", "text")
-        .unionByName(rows(PJ.project_results(docs), "results", "result_index", "translatedText"))
-        .unionByName(rows(PJ.project_bank(docs), "contextBank", "item_idx", "text"))
-        .unionByName(large)
+        _section(PJ.line_rows(lines, "chapters", "chapter_index"), "chapters", "chapter_index", "text")
+        .unionByName(_section(PJ.line_rows(lines, "results", "result_index"), "results", "result_index", "translatedText"))
+        .unionByName(_section(PJ.line_rows(lines, "contextBank", "item_idx"), "contextBank", "item_idx", "text"))
     )
 
 
@@ -290,9 +302,12 @@ def exported_rows(spark, sf):
     FROM documents GROUP BY source""",
 )
 def imported(spark, sf):
-    documents_, lines = _exported(spark, sf)
-    heads = lines.filter(F.col("section") == "project").select("project_id", "json")
-    docs = PJ.parse_projects(documents_.unionByName(heads))
+    header, sections = _exported(spark, sf)
+    half = F.col("number") % 2
+    numbered = header.withColumn("number", F.substring("project_id", 4, 9).cast("int"))
+    whole = export_projects(numbered.filter(half == 0).drop("number"), sections, _stamp())
+    lines = project_lines(numbered.filter(half == 1).drop("number"), {})
+    docs = PJ.parse_projects(whole).unionByName(PJ.line_headers(lines))
     existing = chapters(spark, sf).select(F.col("book_id").alias("project_id")).distinct().select(
         "project_id",
         F.lit("old").alias("title"),

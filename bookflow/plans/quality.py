@@ -446,36 +446,53 @@ cc AS (SELECT job_id, count(*) AS consistency_count FROM cons GROUP BY 1)"""
     + f"""SELECT p.job_id, p.total, p.done, p.percent, {S.OUTCOME} AS status,
       coalesce(res.results, 0) AS results, coalesce(qc.qa_count, 0) AS qa_count,
       coalesce(cc.consistency_count, 0) AS consistency_count,
-      CAST(least(coalesce(qc.qa_count, 0), 80) AS BIGINT) AS qa_head,
-      CAST(least(coalesce(cc.consistency_count, 0), 60) AS BIGINT) AS consistency_head,
       '{{"provider":"demo","model":"' || p.job_id || '"}}' AS config
     FROM prog p LEFT JOIN res USING (job_id) LEFT JOIN qc USING (job_id) LEFT JOIN cc USING (job_id)""",
 )
 def job_report(spark, sf):
-    results, glossary = qa_pairs(spark, sf), terms(spark, sf)
+    return _job(spark, sf)[0].select(
+        "job_id", "total", "done", "percent", "status", "results", "qa_count", "consistency_count", "config"
+    )
+
+
+@query(
+    "job_record",
+    S.with_(_REPORT)
+    + f"""SELECT job_id, 'job' AS section, '' AS place, '{{"provider":"demo","model":"' || job_id || '"}}' AS content FROM prog
+    UNION ALL SELECT job_id, 'results', CAST(chapter_index AS VARCHAR),
+      string_agg(translated_text, {S.LF} || {S.LF} ORDER BY segment_index)
+      FROM qa_pairs WHERE translated_text <> '' GROUP BY job_id, chapter_index
+    UNION ALL SELECT job_id, 'qa', chapter_index || ',' || segment_index || ',' || issue_no, type || ' ' || message FROM issues
+    UNION ALL SELECT job_id, 'consistency', CAST(term_idx AS VARCHAR), 'consistency ' || {_CONS_MSG} FROM cons""",
+)
+def job_record(spark, sf):
+    report, *tables = _job(spark, sf)
+    record = RP.job_record(report, *tables).filter("section <> 'summaries'")
+    value = lambda name: F.get_json_object("json", f"$.{name}")
+    content = F.coalesce(
+        value("config"), value("translated_text"), F.concat_ws(" ", value("type"), value("message"))
+    )
+    place = F.array_join(F.col("place").cast("array<string>"), ",")
+    return record.select("job_id", "section", place.alias("place"), content.alias("content"))
+
+
+def _job(spark, sf):
+    """The report and the tables behind it, of one run whose issue tables are written once."""
+    results, glossary = materialize(qa_pairs(spark, sf), "results"), terms(spark, sf)
     whole = RP.reassemble(results)
     configs = results.select("job_id").distinct().select(
-        "job_id", F.lit("demo").alias("provider"), F.col("job_id").alias("model")
+        "job_id", F.lit("demo").alias("provider"), F.col("job_id").alias("model"), F.lit("k").alias("apiKey")
     )
     chaps = results.select(
         "job_id", "project_id", "chapter_index", F.col("chapter_title").alias("title"), "text"
     ).dropDuplicates(["job_id", "chapter_index"])
-    report = RP.job_report(
-        results,
+    tables = (
         whole,
-        Q.check_jobs(results, glossary),
+        materialize(Q.check_jobs(results, glossary), "issues"),
         SM.summarize_chapters(chaps, whole, glossary, _now()),
-        RP.consistency_issues(pairs(spark, sf), glossary),
-        configs,
-    )
-
-    def listed(c):
-        return F.coalesce(F.size(c), F.lit(0)).alias(c)
-
-    return report.select(
-        "job_id", "total", "done", "percent", "status", "results", "qa_count", "consistency_count",
-        listed("qa_head"), listed("consistency_head"), "config",
+        materialize(RP.consistency_issues(pairs(spark, sf), glossary), "consistency"),
     )
+    return RP.job_report(results, *tables, configs), *tables
 
 
 # --- flagship ----------------------------------------------------------------------------------------------------------------

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A project whose rows stay below this many bytes is exported as one document.
-DOCUMENT_BYTES = 64 * 1024 * 1024
+from bookflow.operators.tables import redact
 
 
 def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -25,35 +24,27 @@ def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]])
             F.to_json(F.struct(*fields)).alias("json"),
         )
 
-    out = lines("project", header, F.lit(0))
+    out = lines("project", safe_header(header), F.lit(0))
     for name, (df, order) in sections.items():
         out = out.unionByName(lines(name, df, F.col(order)))
     return out
 
 
 def export_projects(
-    header: DataFrame,
-    sections: dict[str, tuple[DataFrame, str]],
-    exported_at: Column,
-    max_bytes: int = DOCUMENT_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """``(documents, lines)``: whole documents for projects whose size allows it, lines for all
-    others. ``documents`` has ``project_id, json``.
-
-    ``header`` names its columns as the document does, without secrets. A section named
-    ``chapters`` becomes the chapters of the document's book.
+    header: DataFrame, sections: dict[str, tuple[DataFrame, str]], exported_at: Column
+) -> DataFrame:
+    """``project_id, json``: one whole document per project.
+
+    ``header`` names its columns as the document does; model keys in it are left out. A section named
+    ``chapters`` becomes the chapters of the document's book. A document is one row: for projects too
+    large for that, export ``project_lines`` instead.
     """
-    lines = project_lines(header, sections)
-    sizes = lines.groupBy("project_id").agg(F.sum(F.octet_length("json")).alias("b"))
-    small = sizes.filter(F.col("b") <= max_bytes).select("project_id")
-    large = sizes.filter(F.col("b") > max_bytes).select("project_id")
-    out = header.join(small, "project_id", "left_semi")
+    out = safe_header(header)
     for name, (df, order) in sections.items():
         fields = [c for c in df.columns if c not in ("project_id", order)]
         row = F.struct(F.col(order).alias("__o"), F.struct(*fields).alias("__r"))
         rows = (
-            df.join(small, "project_id", "left_semi")
-            .groupBy("project_id")
+            df.groupBy("project_id")
             .agg(F.sort_array(F.collect_list(row)).alias("__l"))
             .select("project_id", F.transform("__l", lambda x: x["__r"]).alias(name))
         )
@@ -62,8 +53,16 @@ def export_projects(
         out = out.withColumn("book", F.struct("title", "chapters")).drop("chapters")
     fields = [F.col(c) for c in out.columns if c != "project_id"]
     stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exportedAt")
-    documents = out.select("project_id", F.to_json(F.struct(*fields, stamp)).alias("json"))
-    return documents, lines.join(large, "project_id", "left_semi")
+    return out.select("project_id", F.to_json(F.struct(*fields, stamp)).alias("json"))
+
+
+def safe_header(header: DataFrame) -> DataFrame:
+    """``header`` without model keys, be they columns, fields of a struct or entries of a map."""
+    out = redact(header)
+    for name, kind in out.dtypes:
+        if kind.startswith("map<string"):
+            out = out.withColumn(name, F.map_filter(name, lambda k, _: ~k.isin("apiKey", "api_key")))
+    return out
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bookflow.functions.text import non_empty, sanitize_id
 from bookflow.operators.tables import upsert
@@ -20,6 +21,30 @@ def parse_projects(lines: DataFrame, column: str = "json") -> DataFrame:
     return lines.select(F.from_json(column, PROJECT_DOCUMENT).alias("d")).select("d.*")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``project_id, section, pos, json`` of an export as lines, each value still in one JSON text."""
+    rows = spark.read.schema("pos long, json string, project_id string, section string").json(path)
+    return rows.select("project_id", "section", "pos", "json")
+
+
+def line_headers(lines: DataFrame) -> DataFrame:
+    """Documents that hold a header only, from the header lines."""
+    return parse_projects(lines.filter(F.col("section") == "project"))
+
+
+def line_rows(lines: DataFrame, section: str, index: str) -> DataFrame:
+    """A section's rows from lines: ``project_id, index`` and the fields that a document gives them."""
+    kinds = PROJECT_DOCUMENT if isinstance(PROJECT_DOCUMENT, StructType) else StructType.fromDDL(PROJECT_DOCUMENT)
+    holder = kinds["book"].dataType if section == "chapters" else kinds
+    row = holder[section].dataType.elementType
+    parsed = lines.filter(F.col("section") == section).select(
+        sanitize_id(F.col("project_id"), "project").alias("project_id"),
+        F.col("pos").alias(index),
+        F.from_json("json", row).alias("c"),
+    )
+    return parsed.select("project_id", index, "c.*")
+
+
 def project_headers(docs: DataFrame) -> DataFrame:
     safe = docs.withColumn("project_id", sanitize_id(F.col("id"), "project"))
     settings = F.map_filter("settings", lambda k, _: ~k.isin("apiKey", "api_key"))

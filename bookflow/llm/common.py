@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +32,16 @@ def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that have been written and are read back instead.
+
+    It does so once their plans are garbage, which a driver with much free memory may not notice for
+    long; an operator that writes several large steps asks for it between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def runs(batches: Batches, key: str) -> Iterator[pa.Table]:
     """Cut a partition that is sorted by ``key`` into tables that hold whole groups.
 

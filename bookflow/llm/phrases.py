@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from bookflow.llm import recurring
-from bookflow.llm.common import Batches, borders
+from bookflow.llm.common import Batches, borders, release
 from bookflow.session import materialize
 
 WINDOW = 20
@@ -86,6 +86,10 @@ def _compare(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "first", "last"])
 
 
+def _piece(words: list[bytes], start: int, size: int) -> bytes:
+    return b" ".join(words[start : start + size])
+
+
 def _cut(body: bytes, window: int) -> list[bytes]:
     ends = [i for i, b in enumerate(body) if b == 32] + [len(body)]
     starts = [0, *[i + 1 for i in ends]]
@@ -127,15 +131,12 @@ def remove_passages(
                 row, place, key, first, windows = recurring.anchors(flat, sizes, WINDOW, GRAM)
                 hit = np.flatnonzero(np.isin(row << 32 | place, met))
                 row, place, key, first, windows = (c[hit] for c in (row, place, key, first, windows))
-                bodies = [
-                    b" ".join(raw[r][f : f + n - 1 + WINDOW])
-                    for r, f, n in zip(row.tolist(), first.tolist(), windows.tolist(), strict=True)
-                ]
-                yield recurring.context_rows(ids[s:e], row, place, key, first, windows, bodies)
+                yield recurring.context_rows(ids[s:e], row, key, first, windows, place - first, raw, _piece, WINDOW)
 
     around = known.join(places, "doc", "left").select("doc", "text", "places").mapInArrow(contexts, recurring.CONTEXT)
     around = materialize(around, "contexts")
-    ranges = recurring.earlier_ranges(around, WINDOW, _compare, _cut, group)
+    release(docs.sparkSession)
+    ranges = recurring.earlier_ranges(around, known, WINDOW, _symbols, _piece, _compare, _cut, group)
 
     def finish(batches: Batches) -> Batches:
         for batch in batches:

@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import Batches, runs
+from bookflow.llm.common import Batches, release, runs
 from bookflow.session import materialize
 
 BASE = 0xD6E8FEB86659FD93
@@ -27,10 +28,17 @@ CHUNK = 1 << 20
 #: Distinct surroundings of one k-gram that are compared in one task.
 GROUP = 4096
 
-CONTEXT = "key long, ctx binary, doc long, start int, windows int, back int, body binary"
+CONTEXT = "key long, ctx long, doc long, start int, windows int, back int"
+BODIES = "key long, doc long, start int, windows int, back int, n long, body binary"
 RANGES = "doc long, first int, last int"
 
 
+#: Texts -> (their contents, the symbols of all, the number of each one's symbols).
+Symbols = Callable[[list], tuple[list, np.ndarray, np.ndarray]]
+#: (contents, start, number of symbols) -> that piece.
+Piece = Callable[[object, int, int], bytes]
+
+
 def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Cut rows into ranges of at most CHUNK symbols, or of one row."""
     at = total = 0
@@ -82,8 +90,6 @@ def anchors(symbols: np.ndarray, sizes: np.ndarray, window: int, k: int):
     return row, place - starts[row], hashes[place].view(np.int64), first - starts[row], np.diff(np.r_[new, len(at)])
 
 
-Symbols = Callable[[list], tuple[list, np.ndarray, np.ndarray]]
-
 
 def _keys(docs: DataFrame, symbols: Symbols, window: int, k: int, placed: bool) -> DataFrame:
     """Anchor keys of (doc, text) rows: counted per chunk, or with their places."""
@@ -110,52 +116,80 @@ def recurring_places(docs: DataFrame, symbols: Symbols, window: int, k: int) ->
     counts = _keys(docs, symbols, window, k, placed=False).groupBy("key").agg(F.sum("n").alias("n"))
     # a hot k-gram is on the side of the anchors, which AQE splits
     hits = _keys(docs, symbols, window, k, placed=True).join(counts.where("n > 1"), "key")
-    return materialize(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "places")
+    places = materialize(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "places")
+    release(docs.sparkSession)
+    return places
 
 
-def context_rows(doc, row, place, key, first, windows, bodies: list[bytes]) -> pa.RecordBatch:
+def context_rows(doc, row, key, first, windows, back, raw: list, piece: Piece, window: int) -> pa.RecordBatch:
     """Rows of CONTEXT; ``back`` is how far the anchor lies behind the first window's start."""
-    ctx = [xxhash.xxh3_128_digest(b) for b in bodies]
-    cols = [
-        pa.array(key, pa.int64()),
-        pa.array(ctx, pa.binary()),
-        pa.array(doc[row], pa.int64()),
-        *[pa.array(c, pa.int32()) for c in (first, windows, place - first)],
-        pa.array(bodies, pa.binary()),
-    ]
+    ctx = np.fromiter(
+        (
+            xxhash.xxh3_64_intdigest(piece(raw[r], f, n - 1 + window))
+            for r, f, n in zip(row.tolist(), first.tolist(), windows.tolist(), strict=True)
+        ),
+        np.uint64,
+        len(row),
+    )
+    cols = [pa.array(c, pa.int64()) for c in (key, ctx.view(np.int64), doc[row])]
+    cols += [pa.array(c, pa.int32()) for c in (first, windows, back)]
     return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in CONTEXT.split(", ")])
 
 
 def earlier_ranges(
     contexts: DataFrame,
+    texts: DataFrame,
     window: int,
+    symbols: Symbols,
+    piece: Piece,
     compare: Callable[[pa.Table], pa.RecordBatch],
     cut: Callable[[bytes, int], list[bytes]],
     group: int = GROUP,
 ) -> DataFrame:
-    """(doc, ranges): the runs of windows of each document that occur earlier.
+    """(doc, ranges): the runs of windows of each document of ``texts`` that occur earlier.
 
+    ``contexts`` names the surroundings by hashes; only unlike ones are read from the texts once more.
     ``compare`` gets the surroundings of whole k-gram groups, sorted by key, doc and start, and
     gives RANGES; ``cut`` gives the contents of all windows of one body.
     """
-    own = F.struct("doc", "start")
-    firsts = materialize(
-        contexts.groupBy("key", "ctx").agg(F.min(F.struct("doc", "start", "windows", "back", "body")).alias("f")), "firsts"
-    ).select("key", "ctx", "f.*")
+    spark, own = contexts.sparkSession, F.struct("doc", "start")
+    firsts = contexts.groupBy("key", "ctx").agg(F.min(F.struct("doc", "start", "windows", "back")).alias("f"))
+    firsts = materialize(firsts, "firsts").select("key", "ctx", "f.*")
+    release(spark)
     copies = (
-        contexts.drop("body", "back")
-        .join(firsts.select("key", "ctx", own.alias("least")), ["key", "ctx"])
+        contexts.join(firsts.select("key", "ctx", own.alias("least")), ["key", "ctx"])
         .where(own != F.col("least"))
         .select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     )
     kinds = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    unlike = materialize(firsts.join(kinds, "key"), "unlike")
+    unlike = firsts.join(kinds, "key").groupBy("doc").agg(
+        F.collect_list(F.struct("key", "start", "windows", "back", "n")).alias("marks")
+    )
+
+    def read(batches: Batches) -> Batches:
+        for batch in batches:
+            doc, text, marks = (batch.column(i) for i in range(3))
+            for s, e in chunks([len(t) for t in text.to_pylist()]):
+                raw = symbols(text.slice(s, e - s).to_pylist())[0]
+                part = marks.slice(s, e - s)
+                row = np.repeat(np.arange(e - s), pc.list_value_length(part).to_numpy())
+                flat = part.flatten()
+                key, start, windows, back, n = (flat.field(c) for c in ("key", "start", "windows", "back", "n"))
+                bodies = [
+                    piece(raw[r], f, c - 1 + window)
+                    for r, f, c in zip(row.tolist(), start.to_pylist(), windows.to_pylist(), strict=True)
+                ]
+                cols = [key, pa.array(doc.to_numpy()[s:e][row]), start, windows, back, n, pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BODIES.split(", ")])
+
+    bodies = materialize(texts.join(unlike, "doc").select("doc", "text", "marks").mapInArrow(read, BODIES), "bodies")
+    release(spark)
 
     def run(batches: Batches) -> Batches:
         for table in runs(batches, "key"):
             yield compare(table)
 
-    small = unlike.where(F.col("n") <= group).drop("n", "ctx")
+    small = bodies.where(F.col("n") <= group).drop("n")
     sorted_small = small.repartition("key").sortWithinPartitions("key", "doc", "start")
     near = sorted_small.mapInArrow(run, RANGES)
 
@@ -171,12 +205,14 @@ def earlier_ranges(
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["h", "doc", "start"])
 
-    large = unlike.where(F.col("n") > group).select("doc", "start", "body").mapInArrow(explode, "h binary, doc long, start int")
+    large = bodies.where(F.col("n") > group).select("doc", "start", "body").mapInArrow(explode, "h binary, doc long, start int")
     earliest = large.groupBy("h").agg(F.min(own).alias("least"))
     single = large.join(earliest, "h").where(own != F.col("least"))
     hot = single.select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
     found = copies.unionByName(near).unionByName(hot)
-    return materialize(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    ranges = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    release(spark)
+    return ranges
 
 
 def covered(size: int, ranges: list[dict] | None, window: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from bookflow.llm import recurring
-from bookflow.llm.common import Batches, borders
+from bookflow.llm.common import Batches, borders, release
 from bookflow.llm.recurring import BASE
 from bookflow.session import materialize
 
@@ -173,6 +173,10 @@ def _symbols(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
     return raw, np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1), np.array([len(r) for r in raw], np.int64)
 
 
+def _piece(raw: bytes, start: int, size: int) -> bytes:
+    return raw[start : start + size]
+
+
 def _cut(body: bytes, window: int) -> list[bytes]:
     return [body[i : i + window] for i in range(len(body) - window + 1)]
 
@@ -209,14 +213,16 @@ def remove_repeats(
                 wanted = np.repeat(np.arange(e - s), pc.list_value_length(part).to_numpy()) << 32 | part.flatten().to_numpy()
                 hit = np.flatnonzero(np.isin(row << 32 | place, wanted))
                 row, place, key, first, windows = (c[hit] for c in (row, place, key, first, windows))
-                bodies = [
-                    raw[r][f : f + n - 1 + window] for r, f, n in zip(row.tolist(), first.tolist(), windows.tolist(), strict=True)
-                ]
-                yield recurring.context_rows(ids.to_numpy()[s:e], row, place, key, first, windows, bodies)
+                yield recurring.context_rows(
+                    ids.to_numpy()[s:e], row, key, first, windows, place - first, raw, _piece, window
+                )
 
     around = known.join(places, "doc").select("doc", "text", "places").mapInArrow(contexts, recurring.CONTEXT)
     around = materialize(around, "contexts")
-    ranges = recurring.earlier_ranges(around, window, lambda t: _compare(t, window), _cut, group)
+    release(docs.sparkSession)
+    ranges = recurring.earlier_ranges(
+        around, known, window, _symbols, _piece, lambda t: _compare(t, window), _cut, group
+    )
 
     def finish(batches: Batches) -> Batches:
         for batch in batches:

@@ -185,13 +185,26 @@ def list_projects(projects: DataFrame, chapters: DataFrame, results: DataFrame)
     )
 
 
+# What a job may bring for its project, and what only the project has.
+_SYNCED = {
+    "book_title": "string", "glossary": "string", "context_bank": "string", "settings": "map<string,string>",
+    "total": "bigint", "done": "bigint",
+}
+_OWN = {"created_at": "timestamp", "last_job_total": "bigint", "last_job_done": "bigint"}
+
+
 def sync_projects(projects: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Project headers after their jobs ran: the job's fields replace the project's.
 
     ``jobs`` has at most one row per project. The title is kept if there is one, the glossary
-    falls back to the existing one and the job id joins the project's ids. Result, issue and
-    summary tables are keyed by job and replaced as tables.
+    falls back to the existing one, as do book title, settings (without model keys) and context bank,
+    and the job id joins the project's ids. A project that a job brings is created ``now``. Result,
+    issue and summary tables are keyed by job and replaced as tables.
     """
+    jobs = jobs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _SYNCED.items() if c not in jobs.columns])
+    projects = projects.select(
+        "*", *[F.lit(None).cast(t).alias(c) for c, t in (_SYNCED | _OWN).items() if c not in projects.columns]
+    )
     j = jobs.select(
         F.col("project_id"),
         *[F.col(c).alias(f"__j_{c}") for c in jobs.columns if c != "project_id"],
@@ -207,11 +220,18 @@ def sync_projects(projects: DataFrame, jobs: DataFrame, now: Column) -> DataFram
     return joined.select(
         "project_id",
         F.when(synced, title).otherwise(F.col("title")).alias("title"),
+        F.coalesce(non_empty(F.col("__j_book_title")), F.col("book_title")).alias("book_title"),
         F.coalesce(non_empty(F.col("__j_glossary")), F.col("glossary")).alias("glossary"),
+        F.coalesce(non_empty(F.col("__j_context_bank")), F.col("context_bank")).alias("context_bank"),
+        F.map_filter(
+            F.coalesce("__j_settings", "settings"), lambda k, _: ~k.isin("apiKey", "api_key")
+        ).alias("settings"),
         F.coalesce("__j_job_id", "last_job_id").alias("last_job_id"),
         F.coalesce("__j_status", "last_job_status").alias("last_job_status"),
         F.coalesce("__j_percent", "last_job_percent").alias("last_job_percent"),
+        *[F.coalesce(f"__j_{c}", f"last_job_{c}").alias(f"last_job_{c}") for c in ("total", "done")],
         ids.alias("job_ids"),
+        F.coalesce(F.col("created_at"), F.when(synced, now)).alias("created_at"),
         F.when(synced, now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 

@@ -416,7 +416,12 @@ def list_projects(spark, sf):
       CASE WHEN number % 4 <> 3 THEN 'job-1' WHEN number % 2 = 0 THEN 'job-0' END AS last_job_id,
       CASE WHEN number % 4 <> 3 THEN 'failed' ELSE 'completed' END AS last_job_status,
       CAST(CASE WHEN number % 4 <> 3 THEN 50 ELSE 100 END AS BIGINT) AS last_job_percent,
-      CASE WHEN number % 4 <> 3 THEN 'job-0 job-1' ELSE 'job-0' END AS job_ids FROM projects""",
+      CASE WHEN number % 4 <> 3 THEN 'job-0 job-1' ELSE 'job-0' END AS job_ids,
+      CAST(CASE WHEN number % 4 <> 3 THEN 10 END AS BIGINT) AS last_job_total,
+      CAST(CASE WHEN number % 4 <> 3 THEN 5 END AS BIGINT) AS last_job_done,
+      CASE WHEN number % 4 <> 3 THEN nullif(book_title, '') END AS book_title,
+      CASE WHEN number % 4 <> 3 THEN 'demo' END AS provider, 'bank ' || number AS context_bank,
+      '2024-01-01' AS created_at FROM projects""",
 )
 def sync_projects(spark, sf):
     projects = _projects(spark, sf)
@@ -428,9 +433,20 @@ def sync_projects(spark, sf):
         F.when(number % 4 == 1, "new").otherwise("").alias("glossary"),
         F.lit("failed").alias("status"),
         F.lit(50).alias("percent"),
+        F.lit(10).alias("total"),
+        F.lit(5).alias("done"),
+        F.lit("").alias("context_bank"),
+        F.create_map(F.lit("provider"), F.lit("demo"), F.lit("apiKey"), F.lit("k")).alias("settings"),
+    )
+    known = projects.drop("book_title").withColumn("context_bank", F.concat(F.lit("bank "), number.cast("string")))
+    synced = RP.sync_projects(known, jobs, _now())
+    keys = F.size(F.coalesce(F.map_keys("settings"), F.array()))
+    return synced.select(
+        *[c for c in synced.columns if c not in ("updated_at", "created_at", "job_ids", "settings")],
+        F.array_join("job_ids", " ").alias("job_ids"),
+        F.when(keys == 1, F.col("settings")["provider"]).alias("provider"),
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_at"),
     )
-    synced = RP.sync_projects(projects.drop("book_title"), jobs, _now())
-    return synced.drop("updated_at").withColumn("job_ids", F.array_join("job_ids", " "))
 
 
 _REPORT = f"""{_ISSUES}, {_CONSISTENT.replace(S.PAIRS + ', ' + S.TERMS + ', ', '')},

@@ -93,18 +93,4 @@ PRESETS = (
         "你是严谨的文学翻译。请将{{sourceLanguage}}小说翻译为{{targetLanguage}}，"
         "保持原意、叙述顺序和段落结构。专有名词遵循术语表。只输出译文。",
     ),
-    (
-        "smooth",
-        "流畅自然",
-        0.35,
-        "你是中文小说译者。请将{{sourceLanguage}}文本翻译成自然、流畅、适合阅读的{{targetLanguage}}，"
-        "保留原文信息和人物语气。只输出译文。",
-    ),
-    (
-        "lightnovel",
-        "轻小说风",
-        0.55,
-        "你熟悉日式轻小说译文风格。请将{{sourceLanguage}}小说翻译为轻快、口语自然、适合轻小说阅读的"
-        "{{targetLanguage}}。保留人物称呼差异和对话语气。只输出译文。",
-    ),
 )

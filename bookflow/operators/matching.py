@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import grams
+from bookflow.session import materialize
 
 # A needle table within both bounds may be shipped to every task.
 MAX_ROWS = 20000
@@ -32,12 +33,13 @@ def fits(df: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, max_bytes:
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint when its size was checked to allow it, else as it is.
+    """``df``, written once, with a broadcast hint when its size allows it.
 
     For one row per project or book that many wide rows look up: without the hint those rows could
     be shuffled, text and all, onto the few keys.
     """
     texts = [n for n, t in df.dtypes if t == "string"]
+    df = materialize(df, "lookup")
     return F.broadcast(df) if fits(df, texts, 100_000, 16 * 1024 * 1024) else df
 
 

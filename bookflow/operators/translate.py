@@ -153,10 +153,11 @@ def translate_batch(
     Joins carry keys and fingerprints; the request columns follow only into the calls.
     """
     order = ["job_id", "segment_id", "chapter_index", "segment_index", "fingerprint"]
-    looked = cache_lookup(segs.select(*order), cache, cfg.use_cache)
+    looked = materialize(cache_lookup(segs.select(*order), cache, cfg.use_cache), "looked", path)
     misses = looked.filter(~F.col("hit")).select(*order)
     if cfg.use_cache:
         representatives, followers = dedupe_work(misses)
+        representatives = materialize(representatives, "representatives", path)
     else:
         representatives, followers = misses, misses.limit(0)
     requests = segs.join(representatives.select(*SEG_KEYS), SEG_KEYS, "left_semi")

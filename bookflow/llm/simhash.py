@@ -222,7 +222,7 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component the smallest doc_id stays.
+    """The rows of ``docs``, whose id is doc_id, but for near-duplicates: of each component the smallest doc_id stays.
 
     Rows that repeat that doc_id are reduced to one; of rows without an id, all stay (nothing says
     which document they are). All columns are kept.
@@ -231,8 +231,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     drop = found.where("doc_id is not null and component_id <> doc_id").select("doc_id")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     drop, repeated = materialize(drop.distinct(), "drop"), materialize(repeated, "repeated")
-    kept = docs.join(drop, "doc_id", "left_anti")
+    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -39,7 +39,8 @@ class _Words(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = self.tokenizer.model.tokenize
 
     @staticmethod
     @cache
@@ -47,13 +48,20 @@ class _Words(dict):
         """One memo per worker process, which outlives its tasks."""
         return _Words(path)
 
+    def _ids(self, word: str) -> list[int]:
+        """Ids of one word. ASCII letters in lower case are one part as they stand, which the model can
+        take without the steps before it."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return [token.id for token in self.pieces(word)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         elif word.isascii() and b"<" not in word and word != word.lower():
             ids = self[word.lower()]
         else:
-            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self._ids(word.decode()), "<u4").tobytes()
         if len(self) < MEMO_WORDS:
             self[word] = ids
         return ids

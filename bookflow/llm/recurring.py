@@ -29,7 +29,7 @@ CHUNK = 1 << 20
 GROUP = 4096
 
 CONTEXT = "key long, ctx long, doc long, start int, windows int, back int"
-BODIES = "key long, doc long, start int, windows int, back int, n long, body binary"
+BODIES = "key long, doc long, start int, windows int, back int, n long, body binary, again boolean"
 RANGES = "doc long, first int, last int"
 
 
@@ -116,7 +116,7 @@ def recurring_places(docs: DataFrame, symbols: Symbols, window: int, k: int) ->
     counts = _keys(docs, symbols, window, k, placed=False).groupBy("key").agg(F.sum("n").alias("n"))
     # a hot k-gram is on the side of the anchors, which AQE splits
     hits = _keys(docs, symbols, window, k, placed=True).join(counts.where("n > 1"), "key")
-    places = materialize(hits.groupBy("doc").agg(F.collect_list("place").alias("places")), "places")
+    places = materialize(hits.groupBy("doc").agg(F.collect_set("place").alias("places")), "places")
     release(docs.sparkSession)
     return places
 
@@ -150,7 +150,8 @@ def earlier_ranges(
 
     ``contexts`` names the surroundings by hashes; only unlike ones are read from the texts once more.
     ``compare`` gets the surroundings of whole k-gram groups, sorted by key, doc and start, and
-    gives RANGES; ``cut`` gives the contents of all windows of one body.
+    gives RANGES; ``cut`` gives the contents of all windows of one body. Rows that repeat a document
+    give its bodies once each, of which one is compared.
     """
     spark, own = contexts.sparkSession, F.struct("doc", "start")
     firsts = contexts.groupBy("key", "ctx").agg(F.min(F.struct("doc", "start", "windows", "back")).alias("f"))
@@ -162,13 +163,16 @@ def earlier_ranges(
         .select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     )
     kinds = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = texts.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1")
     unlike = firsts.join(kinds, "key").groupBy("doc").agg(
         F.collect_list(F.struct("key", "start", "windows", "back", "n")).alias("marks")
     )
+    unlike = unlike.join(repeated.select("doc", F.lit(True).alias("again")), "doc", "left")
 
     def read(batches: Batches) -> Batches:
         for batch in batches:
-            doc, text, marks = (batch.column(i) for i in range(3))
+            doc, text, marks, again = (batch.column(i) for i in range(4))
+            again = again.to_numpy(zero_copy_only=False)
             for s, e in chunks([len(t) for t in text.to_pylist()]):
                 raw = symbols(text.slice(s, e - s).to_pylist())[0]
                 part = marks.slice(s, e - s)
@@ -180,10 +184,16 @@ def earlier_ranges(
                     for r, f, c in zip(row.tolist(), start.to_pylist(), windows.to_pylist(), strict=True)
                 ]
                 cols = [key, pa.array(doc.to_numpy()[s:e][row]), start, windows, back, n, pa.array(bodies, pa.binary())]
+                cols.append(pa.array(again[s:e][row]))
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BODIES.split(", ")])
 
-    bodies = materialize(texts.join(unlike, "doc").select("doc", "text", "marks").mapInArrow(read, BODIES), "bodies")
+    marked = texts.join(unlike, "doc").select("doc", "text", "marks", F.coalesce("again", F.lit(False)).alias("again"))
+    bodies = materialize(marked.mapInArrow(read, BODIES), "bodies")
     release(spark)
+    single = bodies.where("again").groupBy("key", "doc", "start").agg(
+        *[F.first(c).alias(c) for c in ("windows", "back", "n", "body")]
+    )
+    bodies = bodies.where("not again").drop("again").unionByName(single)
 
     def run(batches: Batches) -> Batches:
         for table in runs(batches, "key"):
@@ -207,10 +217,10 @@ def earlier_ranges(
 
     large = bodies.where(F.col("n") > group).select("doc", "start", "body").mapInArrow(explode, "h binary, doc long, start int")
     earliest = large.groupBy("h").agg(F.min(own).alias("least"))
-    single = large.join(earliest, "h").where(own != F.col("least"))
-    hot = single.select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
+    later = large.join(earliest, "h").where(own != F.col("least"))
+    hot = later.select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
     found = copies.unionByName(near).unionByName(hot)
-    ranges = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    ranges = materialize(found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
     release(spark)
     return ranges
 

@@ -59,6 +59,22 @@ def test_random(spark, group):
     check(phrases.remove_passages(df, group=group).collect(), texts)
 
 
+@pytest.mark.parametrize("group", [2, 4096])
+def test_repeated_rows(spark, group):
+    """A document in several rows is no earlier text of its own; its passage recurs in other surroundings."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choices(["red", "blue", "sea", "hill", "oak", "fox"], k=n))
+    passage = words(60)
+    texts = {i: f"{words(30)} {passage} {words(30)}" for i in (1, 2, 3)}
+    rows = [(1, texts[1])] * 3 + [(2, texts[2])] + [(3, texts[3])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = phrases.remove_passages(df, group=group).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2, 3, 3]
+    assert {r["doc_id"]: r["n_removed"] for r in got}[1] == 0
+    once = {tuple(r): r for r in got}
+    check(list(once.values()), texts)
+
+
 def test_occurrences():
     machine = phrases.automaton({b"a b", b"b a"})
     assert phrases.occurrences(machine, b"a b a b aa b a".split()).tolist() == [0, 1, 2, 5]

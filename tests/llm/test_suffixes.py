@@ -57,6 +57,22 @@ def test_random(spark, group):
     check(rows, {i: t.encode() for i, t in texts.items()}, 12)
 
 
+@pytest.mark.parametrize("group", [2, 4096])
+def test_repeated_rows(spark, group):
+    """A document in several rows is no earlier text of its own; its passage recurs in other surroundings."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = letters(300)
+    texts = {i: letters(150) + passage + letters(150) for i in (1, 2, 3)}
+    rows = [(1, texts[1])] * 3 + [(2, texts[2])] + [(3, texts[3])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(df, group=group).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2, 3, 3]
+    assert {r["doc_id"]: r["n_removed"] for r in got}[1] == 0
+    once = {tuple(r): r for r in got}
+    check(list(once.values()), {i: t.encode() for i, t in texts.items()}, 100)
+
+
 def test_sort():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 2, 400).astype(np.uint8)

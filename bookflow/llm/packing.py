@@ -182,10 +182,16 @@ def pack(
     Returns doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset. Null texts count
     as empty, repeated rows are packed each for itself, ties in length go by doc_id, an empty table
     gives no rows; other columns of ``docs`` are left out. The plan is broadcast: it has a few
-    entries per length, whatever the number of documents.
+    entries per length, whatever the number of documents. Ids are not ranked along: they join their
+    slots once these are known.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenize(docs, tokenizer, size, end_id, with_ids, id_col, text_col), "pieces")
+    tokens = tokenize(docs, tokenizer, size, end_id, with_ids, id_col, text_col)
+    names = tokens.columns
+    if with_ids:  # documents may repeat or have no id: written pieces are numbered
+        tokens = tokens.withColumn("number", F.monotonically_increasing_id())
+    written = materialize(tokens, "pieces")
+    pieces = written.drop("ids")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.createDataFrame(
         plan(counts, size), "length long, first long, n long, sequence long, offset long"
@@ -196,8 +202,7 @@ def pack(
         & (F.col("rank") >= F.col("first"))
         & (F.col("rank") < F.col("first") + F.col("n")),
     )
-    return placed.select(
-        *pieces.columns,
-        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"),
-        "offset",
-    )
+    placed = placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
+    if with_ids:
+        placed = placed.join(written.select("number", "ids"), "number")
+    return placed.select(*names, "sequence_id", "offset")

@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Best-fit packing into sequences of 2048 tokens, with the token ids of every piece."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from bookflow.llm import packing
 from bookflow.llm import queries as Q
 
@@ -58,6 +59,21 @@ def test_odd(odd, no_docs):
     assert packing.pack(no_docs).collect() == []
 
 
+def test_pipeline_keeps_ids(spark, odd):
+    """The last stage's rows hold the tokens of their texts; repeated rows and rows without an id too."""
+    rows = corpus_pipeline.pack(spark, odd, SF).collect()
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    got, ids = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        got[r["doc_id"]].append(r["start"])
+        ids[r["doc_id"]] += r["ids"]
+    assert sorted(got[2]) == [0, 0] and got[None] == [0]
+    for r in odd.collect():
+        want = [*encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        assert ids[r["doc_id"]] == want * (2 if r["doc_id"] == 2 else 1)
+
+
 def naive(lengths, size):
     """Best-fit decreasing, one item at a time."""
     space = []

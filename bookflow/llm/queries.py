@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import bm25, language, mixing, neighbours, packing, phrases, secrets, simhash, suffixes, toxicity
+from bookflow.llm import (
+    bm25,
+    language,
+    mixing,
+    neighbours,
+    packing,
+    phrases,
+    repair,
+    secrets,
+    simhash,
+    suffixes,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +78,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repair(repair.damage(turns), turns)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_phrase_automata_dedup": op8_phrase_automata_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op4_exact_top_k": bm25.SQL}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookflow.llm import (
     bm25,
     language,
+    maxscore,
     mixing,
     neighbours,
     packing,
@@ -83,6 +84,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(turns), turns)
 
 
+def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return maxscore.search(maxscore.build_index(documents(spark, sf_dir)), items)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_maxscore_search": op13_maxscore_search,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": bm25.SQL}
+ORACLES: dict[str, str] = {"op4_exact_top_k": bm25.SQL, "op13_maxscore_search": maxscore.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.llm import (
+    bbit,
     bm25,
     language,
     maxscore,
@@ -84,6 +85,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(turns), turns)
 
 
+def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return maxscore.search(maxscore.build_index(documents(spark, sf_dir)), items)
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_bbit_minhash": op12_bbit_minhash,
     "op13_maxscore_search": op13_maxscore_search,
 }
 

@@ -14,17 +14,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node of its component.
 
     Each round is written to shared storage, which ends the lineage. A star's hub is joined, not
-    collected: its neighbours are reduced by a partial minimum and skewed hubs are split by AQE.
+    collected: its neighbours are reduced by a partial minimum and skewed hubs are split by AQE. The rounds
+    end when one changes no edge, by the count and two sums of 64-bit hashes; should MAX_ROUNDS not
+    be enough, an error is raised.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = materialize(pairs.where("u <> v").distinct(), "links")
     seen = None
     for _ in range(MAX_ROUNDS):
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        hashed = F.xxhash64("u", "v").cast("decimal(38, 0)")
+        mark = edges.agg(F.count("*"), F.sum(hashed), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == seen:
             break
         seen = mark
         edges = materialize(_star(_star(edges, large=True), large=False), "links")
+    else:
+        raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select("v", "v").distinct()
     )

@@ -195,7 +195,7 @@ def near_duplicates(
     text_col: str = "text",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id, links) for every row of ``docs``.
+    """(doc_id, fingerprint, component_id, linked) for every row of ``docs``.
 
     ``fingerprint`` is 16 hex digits; ``component_id`` the smallest doc_id reachable over links of at
     most ``radius`` differing bits, the document's own included; ``linked`` says whether another row

@@ -6,11 +6,11 @@ Two signatures agree where all four bits do, which is counted by bit operations;
 taken off, which estimates the similarity. The estimate only drops pairs that are far below the
 threshold; who passes is confirmed by intersecting the whole sets.
 
-In the first round a bucket's classes are compared with its first class. Buckets whose classes are then
-not all connected are searched by signature, each class's best candidates first and eight times as many
-in every further round, until no candidate of another component is left. So a group of near copies
-costs about a pair a member, and no candidate is dropped. A large bucket is dealt into chunks, and every
-pair of chunks is searched.
+A bucket's classes are compared with its first class by signature; buckets whose classes are then not
+all connected are searched for more candidates. Either step gives trees of candidates, never all pairs of
+a bucket. What candidates connect is a cluster: its whole texts meet in shards of bounded size, where
+every candidate pair that is not connected yet is confirmed by its sets. A large bucket or cluster is
+dealt into lots, and every pair of lots is a shard, so no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -36,10 +36,8 @@ BANDS, BAND_ROWS, BITS = 32, 5, 4
 HASHES = BANDS * BAND_ROWS
 #: The estimate may drop a pair that is just at the threshold with this probability.
 MISS = 1e-9
-#: Classes of a bucket that are compared in one task, and members that meet one head.
-CHUNK, LOT = 2048, 1024
-#: Each class's candidates in the first search of a bucket, and how many times as many in the next.
-FIRST, MORE = 4, 8
+#: Classes and shingles of a lot.
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 20
 #: Shingles whose hashes are taken at once, and bytes of text.
 SHINGLES, TEXT_BYTES = 1 << 13, 1 << 20
 MEMO_WORDS = 200_000
@@ -198,103 +196,134 @@ def classes_of(found: DataFrame) -> DataFrame:
             return numbered.select("c", "set", "n", "text.*", "signature", "bands")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough.
+def _lots(rows: DataFrame, group: str, most_rows: int, most_shingles: int) -> DataFrame:
+    """``rows`` (group, c, n, ...) dealt into shards of bounded size: (shard, part, ...).
 
-    The texts that take part travel to their pairs' ``a``, which comes first and stays while its ``b``
-    pass. An ``a`` with many ``b`` meets them in lots.
+    A group is cut into lots by a hash of c; every pair of lots is a shard, whose rows are part 1 and
+    2, and so is every lot alone, as part 0. So each pair of a group's rows meets in one shard.
     """
-    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("lots"))
-    lot = F.pmod(F.xxhash64("b"), "lots")
-    routes = pairs.join(lots, "a").select(F.col("b").alias("c"), F.col("a").alias("head"), F.lit(1).alias("member"), lot.alias("lot"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))
-    routes = routes.unionByName(lots.select(F.col("a").alias("c"), F.col("a").alias("head"), F.lit(0).alias("member"), every.alias("lot")))
-    own = routes.join(classes.select("c", "code", F.col("doc").alias("of")), "c")
-    own = materialize(own, "routes")
-    own = F.broadcast(own) if fits(own, []) else own
-    met = texts.join(own, (texts["code"] == own["code"]) & texts["doc"].eqNullSafe(own["of"]))
+    few = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum("n") / most_shingles))
+    sizes = rows.groupBy(group).agg(few.alias("lots"))
+    paired = rows.join(sizes, group).withColumn("lot", F.pmod(F.xxhash64("c"), "lots"))
+    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+    part = F.when(F.col("lot") == F.col("other"), 0).when(F.col("lot") < F.col("other"), 1).otherwise(2)
+    # should two shards get one number, their rows are compared without need and that is all
+    shard = F.xxhash64(group, F.least("lot", "other"), F.greatest("lot", "other"))
+    return paired.withColumns({"shard": shard, "part": part})
 
-    def run(batches: Batches) -> Batches:
-        at, head = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("head", "lot", "member", "c"))
-            for a, lot, member, c, text in zip(*columns, batch.column("text"), strict=True):
-                if not member:
-                    if at != (a, lot):
-                        at, head = (a, lot), shingles(text.as_py(), words)
-                    continue
-                other = shingles(text.as_py(), words)
-                both = len(np.intersect1d(head, other, assume_unique=True))
-                if 100 * both >= percent * (len(head) + len(other) - both):
-                    out.append((a, c))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    order = ["head", "lot", "member", "c"]
-    dealt = met.select(*order, "text").repartition("head", "lot").sortWithinPartitions(*order)
-    return materialize(dealt.mapInArrow(run, LINK).distinct(), "links")
+def _signatures(table: pa.Table) -> np.ndarray:
+    flat = np.concatenate([x.flatten().to_numpy() for x in table["signature"].chunks])
+    return flat.reshape(table.num_rows, -1).view(np.uint64)
 
 
-def searched(members: DataFrame, chunk: int, low: int, high: int, cut: float, percent: int) -> DataFrame:
-    """Candidate pairs of different components in buckets (key, c, root, n, signature).
+def _forest(labels: np.ndarray, part: np.ndarray, candidates, linked) -> list[tuple[int, int]]:
+    """Links that connect what ``linked`` connects, row by row; rows of one label need none.
 
-    Of each class's candidates by estimate, those from ``low`` to ``high``; a row of nulls says that
-    there are more behind them.
+    ``candidates(x, y)`` says for rows x (some) and y (all that they may link with) which are worth a
+    look, ``linked(i, js)`` which rows of js row i links with. Changes ``labels``.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    lot = F.pmod(F.xxhash64("c"), "chunks")
-    paired = members.join(sizes, "key").withColumn("lot", lot)
-    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    shards = paired.select(
-        F.xxhash64("key", F.least("lot", "other"), F.greatest("lot", "other")).alias("shard"),
-        F.when(F.col("lot") == F.col("other"), 0).when(F.col("lot") < F.col("other"), 1).otherwise(2).alias("part"),
-        "c", "root", "n", "signature",
-    )
-
-    def search(c, root, n, signature, x, y) -> tuple[list, bool]:
-        out, more = [], False
+    out = []
+    where = [np.flatnonzero(part == p) for p in range(3)]
+    for x, y in ((where[0], where[0]), (where[1], where[2])):
         for at in range(0, len(x), 64):
+            if not len(y) or (labels[y] == labels[y[0]]).all() and (labels[x] == labels[y[0]]).all():
+                break
             rows = x[at : at + 64]
-            agree = agreeing(signature[rows], signature[y])
-            least, most = np.minimum(n[rows][:, None], n[y]), np.maximum(n[rows][:, None], n[y])
-            good = (estimated(agree) >= cut) & (100 * least >= percent * most) & (c[rows][:, None] != c[y])
-            unlike = root[rows][:, None] != root[y]
-            for i in np.flatnonzero((good & unlike).any(axis=1)).tolist():
-                near = np.flatnonzero(good[i])
-                near = near[np.argsort(-agree[i, near], kind="stable")]
-                apart = unlike[i, near]
-                more = more or bool(apart[high:].any())
-                out += [(int(c[rows[i]]), int(o)) for o in c[y[near[low:high][apart[low:high]]]]]
-        return out, more
+            good = candidates(rows, y)
+            for i, may in zip(rows.tolist(), good, strict=True):
+                js = y[may & (labels[y] != labels[i])]
+                js = js[linked(i, js)] if len(js) else js
+                if len(js):
+                    others, first = np.unique(labels[js], return_index=True)
+                    out += [(i, int(j)) for j in js[first]]
+                    labels[np.isin(labels, others)] = labels[i]
+    return out
+
+
+def _near(n: np.ndarray, signature: np.ndarray, cut: float, percent: int):
+    """Which pairs of rows may be links, by their sizes and the estimate."""
+
+    def candidates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least, most = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+        return (100 * least >= percent * most) & (estimated(agreeing(signature[x], signature[y])) >= cut)
+
+    return candidates
+
+
+def _by_shard(visit, columns: str):
+    """A function over sorted batches that calls ``visit`` with every shard's table; it gives row pairs."""
 
     def run(batches: Batches) -> Batches:
         for table in runs(batches, "shard"):
-            out, more = [], False
-            c, root, n, part = (table[x].to_numpy() for x in ("c", "root", "n", "part"))
-            words = HASHES * BITS // 64
-            signature = np.concatenate([x.flatten().to_numpy() for x in table["signature"].chunks]).reshape(-1, words).view(np.uint64)
             at = borders(table["shard"].to_numpy()).tolist()
+            c, out = table["c"].to_numpy(), []
             for s, e in zip(at, at[1:], strict=False):
-                if e - s < 2 or (root[s:e] == root[s]).all():
-                    continue
-                where = [np.flatnonzero(part[s:e] == p) + s for p in range(3)]
-                for x, y in ((0, 0), (1, 2), (2, 1)):
-                    pairs, rest = search(c, root, n, signature, where[x], where[y])
-                    out += [(min(p), max(p)) for p in pairs]
-                    more = more or rest
-            a, b = zip(*set(out), strict=True) if out else ((), ())
-            a, b = [*a, *[None] * more], [*b, *[None] * more]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if e - s > 1:
+                    out += [(c[s + i], c[s + j]) for i, j in visit(table.slice(s, e - s))]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], columns.split())
+
+    return run
+
+
+def searched(members: DataFrame, chunk: int, cut: float, percent: int) -> DataFrame:
+    """(a, b): candidates that connect the ``root`` of a bucket's classes (key, c, root, n, signature).
+
+    A spanning forest of each shard's candidates, never all pairs.
+    """
+
+    def visit(table: pa.Table) -> list[tuple[int, int]]:
+        root, n, part = (table[x].to_numpy() for x in ("root", "n", "part"))
+        near = _near(n, _signatures(table), cut, percent)
+        return _forest(root.copy(), part, near, lambda i, js: slice(None))
 
-    return shards.repartition("shard").sortWithinPartitions("shard", "c").mapInArrow(run, LINK).distinct()
+    shards = _lots(members, "key", chunk, 1 << 62).select("shard", "part", "c", "root", "n", "signature")
+    dealt = shards.repartition("shard").sortWithinPartitions("shard", "c")
+    return dealt.mapInArrow(_by_shard(visit, "a b"), LINK).distinct()
+
+
+def confirmed(
+    clustered: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int, cut: float
+) -> DataFrame:
+    """(a, b): links that connect the classes (cluster, c, n, doc, code, signature) of each cluster.
+
+    Their whole texts meet in shards of bounded size, where sets that pass the estimate and are not
+    connected yet are intersected: one row's set with all of its candidates' at once.
+    """
+
+    def visit(table: pa.Table) -> list[tuple[int, int]]:
+        sets = [shingles(t.as_py(), words) for t in table["text"]]
+        n = np.array([len(s) for s in sets])
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(n) - n
+        own = [flat[s : s + k] for s, k in zip(starts.tolist(), n.tolist(), strict=True)]
+        mark = np.zeros(len(values), bool)
+
+        def linked(i: int, js: np.ndarray) -> np.ndarray:
+            mark[own[i]] = True
+            held = mark[np.concatenate([own[j] for j in js.tolist()])]
+            mark[own[i]] = False
+            both = np.add.reduceat(held, np.cumsum(n[js]) - n[js], dtype=np.int64)
+            return 100 * both >= percent * (n[i] + n[js] - both)
+
+        near = _near(n, _signatures(table), cut, percent)
+        return _forest(table["c"].to_numpy().copy(), table["part"].to_numpy(), near, linked)
+
+    shards = _lots(clustered, "cluster", chunk, CHUNK_SHINGLES)
+    own = shards.select("shard", "part", "c", "signature", F.col("code").alias("key"), F.col("doc").alias("of"))
+    own = materialize(own, "shards")
+    own = F.broadcast(own) if fits(own, []) else own
+    met = texts.join(own, (texts["code"] == own["key"]) & texts["doc"].eqNullSafe(own["of"]))
+    dealt = met.select("shard", "part", "c", "signature", "text").repartition("shard").sortWithinPartitions("shard", "c")
+    return materialize(dealt.mapInArrow(_by_shard(visit, "a b"), LINK).where("a <> b").distinct(), "links")
 
 
-def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int = CHUNK, first: int = FIRST) -> DataFrame:
+def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
     """(node, root) of the components of all links between classes."""
     cut = least_estimate(percent)
     dealt = classes.select("c", F.explode("bands").alias("key"))
-    heads = dealt.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = dealt.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("many")).where("many > 1")
     shared = materialize(dealt.join(heads, "key").select("key", "c", "head"), "shared")
     signs = classes.select("c", "n", "signature")
     stars = shared.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
@@ -306,21 +335,17 @@ def links_of(classes: DataFrame, texts: DataFrame, words: int, percent: int, chu
         .where(estimated(agreeing_columns(F.col("signature_a"), F.col("signature_b"))) >= cut)
         .select("a", "b")
     )
-    links = confirmed(materialize(near, "candidates"), classes, texts, words, percent)
-    low, high = 0, first
-    while True:
-        release(classes.sparkSession)
-        roots = materialize(components(links), "roots")
-        members = shared.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-        open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        still = members.join(open_keys, "key").join(signs, "c")
-        found = materialize(searched(still, chunk, low, high, cut, percent), "found")
-        pairs = found.where("a is not null")
-        if not pairs.isEmpty():
-            links = materialize(links.unionByName(confirmed(pairs, classes, texts, words, percent)), "links")
-        if found.where("a is null").isEmpty():
-            return roots if pairs.isEmpty() else components(links)
-        low, high = high, high * MORE
+    near = materialize(near, "stars")
+    roots = materialize(components(near), "roots")
+    members = shared.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
+    open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    more = materialize(searched(members.join(open_keys, "key").join(signs, "c"), chunk, cut, percent), "found")
+    release(classes.sparkSession)
+    clusters = components(near.unionByName(more)).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    clustered = materialize(clusters.join(classes.select("c", "n", "doc", "code", "signature"), "c"), "clusters")
+    links = confirmed(clustered, texts, words, percent, chunk, cut)
+    release(classes.sparkSession)
+    return components(links)
 
 
 def near_duplicates(
@@ -330,7 +355,6 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk: int = CHUNK,
-    first: int = FIRST,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -346,7 +370,7 @@ def near_duplicates(
     """
     found = materialize(prints(docs, id_col, text_col, words), "prints")
     classes = materialize(classes_of(found), "classes")
-    roots = links_of(classes, source(docs, id_col, text_col), words, percent, chunk, first)
+    roots = links_of(classes, source(docs, id_col, text_col), words, percent, chunk)
     rooted = classes.select("c", "set", "doc").join(roots, F.col("c") == F.col("node"), "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))

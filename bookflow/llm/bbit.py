@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from bookflow.llm.common import Batches, borders, release, runs
 from bookflow.llm.components import components
-from bookflow.operators.matching import fits
 from bookflow.session import materialize
 
 WORDS = 3
@@ -313,7 +312,6 @@ def confirmed(
     shards = _lots(clustered, "cluster", chunk, CHUNK_SHINGLES)
     own = shards.select("shard", "part", "c", "signature", F.col("code").alias("key"), F.col("doc").alias("of"))
     own = materialize(own, "shards")
-    own = F.broadcast(own) if fits(own, []) else own
     met = texts.join(own, (texts["code"] == own["key"]) & texts["doc"].eqNullSafe(own["of"]))
     dealt = met.select("shard", "part", "c", "signature", "text").repartition("shard").sortWithinPartitions("shard", "c")
     return materialize(dealt.mapInArrow(_by_shard(visit, "a b"), LINK).where("a <> b").distinct(), "links")

@@ -382,3 +382,31 @@ def near_duplicates(
         "component_id",
         F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+#: The same rows in SQL, for documents whose ids differ.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN list_value(array_to_string(w, ' '))
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM w WHERE len(w) > 0
+), shingle AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) AS whole
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM pair WHERE 100 * shared >= 85 * (whole - shared)
+  UNION ALL SELECT b, a FROM pair WHERE 100 * shared >= 85 * (whole - shared)
+), reach(doc_id, r) AS (
+  SELECT DISTINCT a, a FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r
+), least AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(len(sets.s), 0) AS n_shingles, coalesce(least.r, w.doc_id) AS component_id,
+  coalesce(least.r, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

@@ -110,4 +110,4 @@ QUERIES: dict[str, Query] = {
     "op13_maxscore_search": op13_maxscore_search,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": bm25.SQL, "op13_maxscore_search": maxscore.SQL}
+ORACLES: dict[str, str] = {"op4_exact_top_k": bm25.SQL, "op12_bbit_minhash": bbit.SQL, "op13_maxscore_search": maxscore.SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow import constants as C
+from bookflow.functions.arrays import explode_rows
 from bookflow.functions.text import js_trim, non_empty
 from bookflow.operators.matching import contains_pairs, fits
 
@@ -160,7 +161,8 @@ def match_terms(
     """
     if small_glossary(terms) if small is None else small:
         hits = join_small(segs.select(*keys, "project_id", text), terms, any_name, text)
-        return hits.select(*keys, "project_id", F.explode("matched.term_idx").alias("term_idx"))
+        found = hits.select(*keys, "project_id", F.col("matched.term_idx").alias("__idx"))
+        return explode_rows(found, "__idx", item="term_idx")
     return _pairs(segs, terms, keys, text, any_name)
 
 

@@ -61,7 +61,9 @@ def running_totals(
     )
     if set(df.columns) == {*keys, order}:
         return sums.select(*df.columns, *outs)
-    return df.join(sums, [*keys, order]).select(*df.columns, *outs)
+    # the narrow sums are the side that is hashed: left to itself, Spark may broadcast the wide rows
+    # and leave all of them to the few tasks of the sums
+    return df.join(sums.hint("shuffle_hash"), [*keys, order]).select(*df.columns, *outs)
 
 
 def running_total(

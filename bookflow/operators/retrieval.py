@@ -14,7 +14,7 @@ from bookflow import constants as C
 from bookflow.functions.arrays import explode_rows
 from bookflow.functions.text import js_trim, non_empty, paragraphs, tokens
 from bookflow.operators.matching import contains_pairs, fits
-from bookflow.operators.ordering import joined_parts
+from bookflow.operators.ordering import joined_parts, running_totals
 
 # Word runs up to this length are indexed by all their substrings; longer ones by anchors.
 SHORT_RUN = 32
@@ -162,10 +162,11 @@ def small_bank(bank: DataFrame) -> bool:
 
 
 def _score_small(
-    segs: DataFrame, bank: DataFrame, text: str, k: int | None, fields: list[str]
+    segs: DataFrame, bank: DataFrame, words: Column, k: int | None, fields: list[str]
 ) -> DataFrame:
     """``segs`` with ``scored``: an array of structs of the item's ``fields`` and its ``score``, in
-    rank order for a ``k``, else in item order. Nothing is shuffled and no pair leaves its row."""
+    rank order for a ``k``, else in item order. ``words`` are a text's tokens. Nothing is shuffled and
+    no pair leaves its row."""
     item = F.struct("item_idx", "title", F.col("text").alias("content"), _runs().alias("runs"))
     lists = bank.groupBy("project_id").agg(F.sort_array(F.collect_list(item)).alias("__items"))
     runs = {
@@ -177,7 +178,7 @@ def _score_small(
         F.transform("__items", lambda it: F.struct(*[it[f] for f in fields])).alias("__items"),
     )
     joined = segs.join(F.broadcast(shown), "project_id", "left").withColumn(
-        "__s", scores_udf(runs, k)("project_id", tokens(F.col(text)))
+        "__s", scores_udf(runs, k)("project_id", words)
     )
 
     def place(position: Column, score: Column) -> Column:
@@ -199,7 +200,7 @@ def score_context(
     """
     if small_bank(bank) if small is None else small:
         narrow = segs.select(*keys, "project_id", text)
-        scored = _score_small(narrow, bank, text, None, ["item_idx"]).select(*keys, "scored")
+        scored = _score_small(narrow, bank, tokens(F.col(text)), None, ["item_idx"]).select(*keys, "scored")
         return explode_rows(scored, "scored", item="p").select(*keys, "p.*")
     wordy = segs.select(*keys, "project_id", tokens(F.col(text)).alias("tokens"))
     queries = explode_rows(wordy, "tokens", item="token")
@@ -221,34 +222,61 @@ def top_context(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def bank_blocks(bank: DataFrame, rows: int = MAX_BANK_ROWS, size: int = MAX_BANK_BYTES) -> list[Column]:
+    """Conditions that cut the bank into blocks of at most ``rows`` items and, but for one item, ``size`` bytes.
+
+    Each project is cut along running sums; runs of items of several projects may share a block. Only
+    the bounds of the runs come to the driver.
+    """
+    if fits(bank, ["title", "text"], rows, size):
+        return [] if bank.isEmpty() else [F.lit(True)]
+    width = F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("text", F.lit("")))
+    narrow = bank.select("project_id", "item_idx", width.alias("__w"))
+    summed = running_totals(
+        narrow, ["project_id"], "item_idx", {"__b": F.col("__w"), "__r": F.lit(1)}
+    )
+    cut = F.floor(F.col("__b") / size) + F.floor(F.col("__r") / rows)
+    runs = summed.groupBy("project_id", cut.alias("cut")).agg(
+        F.min("item_idx").alias("low"), F.max("item_idx").alias("high"), F.count("*").alias("n"), F.sum("__w").alias("w")
+    )
+    blocks: list[Column] = []
+    n = w = 0
+    for r in runs.orderBy("project_id", "low").toLocalIterator():
+        own = F.col("project_id").eqNullSafe(r["project_id"]) & F.col("item_idx").between(r["low"], r["high"])
+        n, w = n + r["n"], w + r["w"]
+        if blocks and n <= rows and w <= size:
+            blocks[-1] = blocks[-1] | own
+        else:
+            blocks.append(own)
+            n, w = r["n"], r["w"]
+    return blocks
+
+
 def best_context(
     segs: DataFrame, bank: DataFrame, k: int, text: str = "text", fields: tuple[str, ...] = ("item_idx",),
-    block: int = MAX_BANK_ROWS,
+    block: int = MAX_BANK_ROWS, size: int = MAX_BANK_BYTES,
 ) -> DataFrame:
     """Add ``retrieved``: the ``k`` best items (``fields`` and ``score``) in rank order, exactly.
 
-    The bank goes to the tasks in blocks of ``block`` item numbers. Each block's best ``k`` are
-    ranked and merged inside the row, so no pair of a text and an item ever leaves it.
+    The bank goes to the tasks in blocks of at most ``block`` items and ``size`` bytes. A text is cut
+    into tokens once; each block's best ``k`` are ranked and merged inside the row, so no pair of a
+    text and an item ever leaves it.
     """
-    low, high = bank.agg(F.min("item_idx"), F.max("item_idx")).first()
-    out = segs.withColumn("retrieved", F.lit(None))
-    for start in range(low, high + 1, block) if low is not None else ():
-        part = bank.filter(F.col("item_idx").between(start, start + block - 1))
-        scored = _score_small(out, part, text, k, [*fields])
-        if start == low:
-            best = F.coalesce("scored", F.array())
-        else:
+    kinds = {"item_idx": "int"}
+    item = ",".join(f"{f}:{kinds.get(f, 'string')}" for f in fields)
+    kind = f"array<struct<{item},score:bigint>>"
+    out = segs.withColumns({"__words": tokens(F.col(text)), "retrieved": F.array().cast(kind)})
+    for number, part in enumerate(bank_blocks(bank, block, size)):
+        scored = _score_small(out, bank.filter(part), F.col("__words"), k, [*fields])
+        best = F.coalesce("scored", F.array())
+        if number:
             both = F.transform(
-                F.concat("retrieved", F.coalesce("scored", F.array())),
+                F.concat("retrieved", best),
                 lambda x: F.struct((-x["score"]).alias("o"), x["item_idx"].alias("i"), x.alias("x")),
             )
             best = F.transform(F.slice(F.array_sort(both), 1, k), lambda x: x["x"])
         out = scored.withColumn("retrieved", best).drop("scored")
-    if low is None:
-        kinds = {"item_idx": "int"}
-        item = ",".join(f"{f}:{kinds.get(f, 'string')}" for f in fields)
-        return out.withColumn("retrieved", F.array().cast(f"array<struct<{item},score:bigint>>"))
-    return out
+    return out.drop("__words")
 
 
 def attach_context(

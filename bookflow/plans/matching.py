@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bookflow.config import Preset, JobConfig
+from bookflow.functions.arrays import explode_rows
 from bookflow.operators import glossary as G
 from bookflow.operators import requests as RQ
 from bookflow.operators import retrieval as R
@@ -123,7 +124,7 @@ def score_context_large_bank(spark, sf):
 )
 def top_context(spark, sf):
     best = R.best_context(documents(spark, sf), bank(spark, sf), 5, block=50)
-    ranked = best.select(*DOC, F.posexplode("retrieved").alias("pos", "item"))
+    ranked = explode_rows(best.select(*DOC, "retrieved"), "retrieved", pos="pos", item="item")
     return ranked.select(*DOC, "item.item_idx", "item.score", (F.col("pos") + 1).alias("rank"))
 
 

@@ -17,6 +17,8 @@ def build_session(app: str = "bookflow", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # row work on texts is heavy for its bytes: small shuffles keep a partition for every core
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # books are wide rows: smaller Arrow batches keep Python workers within memory

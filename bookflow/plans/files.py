@@ -13,7 +13,7 @@ from bookflow.session import materialize, scratch_dir
 from bookflow.sinks.epub import (
     PAGE_HEAD,
     PAGE_STYLE,
-    book_epub,
+    write_epubs,
 )
 from bookflow.sinks.projects import export_projects, project_lines, write_documents, write_lines
 from bookflow.sinks.text import book_text, write_book_text
@@ -79,7 +79,7 @@ def text_books(spark, sf):
 
 
 def _archives(spark: SparkSession, sf: str) -> DataFrame:
-    """Every source as an EPUB file."""
+    """Every source as an EPUB file in the scratch folder."""
     chaps = chapters(spark, sf).select(
         "book_id",
         F.concat(F.lit("B & "), "book_id").alias("book_title"),
@@ -87,11 +87,12 @@ def _archives(spark: SparkSession, sf: str) -> DataFrame:
         "title",
         "text",
     )
-    return book_epub(chaps).select(
+    return write_epubs(chaps, f"{scratch_dir(spark)}/epubs").select(
         "book_id",
         F.concat("book_id", F.lit(".epub")).alias("name"),
         F.lit(".epub").alias("ext"),
-        F.col("epub").alias("content"),
+        F.lit(None).cast("binary").alias("content"),
+        "path",
     )
 
 
@@ -130,8 +131,7 @@ def epub_member_rows(spark, sf):
       'OEBPS/chapters/chapter-' || (chapter_index + 1) || '.xhtml' AS href FROM books""",
 )
 def spine(spark, sf):
-    members = materialize(E.epub_members(_archives(spark, sf)), "members")
-    return E.epub_spine(E.package_files(members))
+    return E.epub_spine(E.package_files(E.open_archives(_archives(spark, sf))))
 
 
 @query(
@@ -167,7 +167,7 @@ def books_of_all_formats(spark, sf):
         ext.alias("ext"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    library = parse_files(_archives(spark, sf).unionByName(loose))
+    library = parse_files(_archives(spark, sf).unionByName(loose, allowMissingColumns=True))
     reason = F.regexp_replace("reason", "(readable archive).*", "$1")
     return library.books.unionByName(
         library.rejects.withColumn("reason", reason), allowMissingColumns=True

@@ -14,8 +14,8 @@ from bookflow.session import materialize, scratch_dir
 from bookflow.sources.epub import (
     NO_CHAPTERS,
     epub_chapters,
-    epub_members,
     epub_spine,
+    open_archives,
     package_files,
     package_title,
 )
@@ -34,7 +34,8 @@ class Library:
 def parse_files(files: DataFrame, path: str | None = None) -> Library:
     """``files(book_id, name, ext, content)`` -> books, chapters and rejected files.
 
-    Decoded texts and archive members are written once, since several tables derive from them;
+    With a column ``path``, archives are read from there, member by member, and their ``content`` is
+    not. Decoded texts and parsed pages are written once, since several tables derive from them;
     ``path`` names a folder for that, else the shared scratch folder is used.
     """
     ext = F.col("ext")
@@ -50,37 +51,32 @@ def parse_files(files: DataFrame, path: str | None = None) -> Library:
     )
     text_chapters = split_chapters(text).withColumn("source_path", F.lit(None).cast("string"))
 
-    members = materialize(epub_members(files.filter(ext == ".epub")), "members", root)
-    packages = package_files(members)
+    if "path" not in files.columns:
+        files = files.withColumn("path", F.lit(None).cast("string"))
+    archives = open_archives(files.filter(ext == ".epub"), root)
+    packages = package_files(archives, root)
     valid = packages.filter(F.col("reason").isNull())
-    pages = epub_chapters(members.filter(F.col("reject").isNull()), epub_spine(valid))
-    readable = pages.select("book_id").distinct()
-    names = members.select("book_id", "name").distinct()
-    epub_books = (
-        valid.join(readable, "book_id", "left_semi")
+    pages = materialize(epub_chapters(archives, epub_spine(valid)), "pages", root)
+    names = archives.listing.select("book_id", "name").distinct()
+    # a page that cannot be read spoils its book
+    broken = pages.groupBy("book_id").agg(F.max("problem").alias("reason")).withColumn("readable", F.lit(True))
+    judged = (
+        packages.join(broken.withColumnRenamed("reason", "problem"), "book_id", "left")
         .join(names, "book_id")
-        .select(
-            "book_id",
-            "name",
-            package_title(F.col("opf")).alias("title"),
-            F.lit("epub").alias("format"),
-            F.lit(None).cast("string").alias("encoding"),
-            "files",
-        )
+        .withColumn("reason", F.coalesce("reason", "problem", F.when(F.col("readable").isNull(), NO_CHAPTERS)))
     )
-    bad = packages.filter(F.col("reason").isNotNull()).select("book_id", "reason")
-    blank = valid.join(readable, "book_id", "left_anti").select(
-        "book_id", F.lit(NO_CHAPTERS).alias("reason")
+    judged = materialize(judged.select("book_id", "name", "opf", "files", "reason"), "judged", root)
+    epub_books = judged.filter(F.col("reason").isNull()).select(
+        "book_id",
+        "name",
+        package_title(F.col("opf")).alias("title"),
+        F.lit("epub").alias("format"),
+        F.lit(None).cast("string").alias("encoding"),
+        "files",
     )
-    rejects = (
-        bad.unionByName(blank)
-        .join(names, "book_id")
-        .select(*columns(REJECTS))
-        .unionByName(
-            files.filter(~ext.isin(".txt", "", ".epub")).select(
-                "book_id", "name", F.lit(UNSUPPORTED).alias("reason")
-            )
-        )
+    pages = pages.drop("problem").join(epub_books.select("book_id"), "book_id", "left_semi")
+    rejects = judged.filter(F.col("reason").isNotNull()).select(*columns(REJECTS)).unionByName(
+        files.filter(~ext.isin(".txt", "", ".epub")).select("book_id", "name", F.lit(UNSUPPORTED).alias("reason"))
     )
     return Library(
         text_books.unionByName(epub_books).select(*columns(BOOKS)),

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.html import extract_attrs, html_body, html_title, resolve_path, strip_tags
 from bookflow.functions.text import non_empty
-from bookflow.schemas import MEMBERS, names
+from bookflow.operators.ordering import ordinal
+from bookflow.schemas import MEMBERS
+from bookflow.session import materialize, scratch_dir
+from bookflow.sources.stores import is_opened, store
 from bookflow.sources.text_files import decode_udf
 
 CONTAINER = "META-INF/container.xml"
@@ -26,62 +31,194 @@ NO_OPF = "Invalid EPUB: missing OPF file "
 NO_CHAPTERS = "Invalid EPUB: no readable XHTML chapters"
 
 
-_MEMBER_NAMES = names(MEMBERS)
+# Members that one task reads, by their packed bytes, and bytes of a batch of contents.
+TASK_BYTES, BATCH_BYTES = 64 * 1024 * 1024, 8 * 1024 * 1024
+# Members this near to each other in an archive are read by one task.
+NEAR_BITS = 25
+LISTING = (
+    "book_id string, name string, path string, member_path string, at long, packed long, method int, crc long, reject string"
+)
+READ = "book_id string, member_path string, bytes binary, problem string"
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for book_id, name, content in zip(batch["book_id"], batch["name"], batch["content"]):
-            head = {"book_id": book_id, "name": name}
-            try:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    # a repeated member name counts once, with its last content
-                    for path, info in {i.filename: i for i in archive.infolist()}.items():
-                        row = {**head, "member_path": path, "bytes": archive.read(info)}
-                        yield pd.DataFrame([row], columns=_MEMBER_NAMES, dtype=object)
-            except Exception as error:  # noqa: BLE001 - a bad archive is a row, not a failed task
-                row = {**head, "reject": f"{NO_ARCHIVE}: {error}"}
-                yield pd.DataFrame([row], columns=_MEMBER_NAMES, dtype=object)
+def _batches(rows: Iterator[dict], ddl: str, size_of) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of about BATCH_BYTES, however large the rows are."""
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row) + 200
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for book_id, name, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                head = {"book_id": book_id.as_py(), "name": name.as_py()}
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as archive:
+                        # a repeated member name counts once, with its last content
+                        for path, info in {i.filename: i for i in archive.infolist()}.items():
+                            yield {**head, "member_path": path, "bytes": archive.read(info)}
+                except Exception as error:  # noqa: BLE001 - a bad archive is a row, not a failed task
+                    yield {**head, "reject": f"{NO_ARCHIVE}: {error}"}
+
+    return _batches(rows(), MEMBERS, lambda r: len(r.get("bytes") or b""))
 
 
 def epub_members(files: DataFrame) -> DataFrame:
-    """``files(book_id, name, content)`` -> one row per archive member, or a reject row."""
-    return files.select("book_id", "name", "content").mapInPandas(_unpack, MEMBERS)
+    """``files(book_id, name, content)`` -> one row per archive member, or a reject row.
+
+    For archives that came as values; ``epub_listing`` and ``read_listed`` read files member by member.
+    """
+    return files.select("book_id", "name", "content").mapInArrow(_unpack, MEMBERS)
+
+
+def epub_listing(files: DataFrame) -> DataFrame:
+    """``files(book_id, name, path)`` -> where each member is, or a reject row.
+
+    A task reads the directory at an archive's end, none of its members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for book_id, name, path in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    head = {"book_id": book_id, "name": name, "path": path}
+                    try:
+                        files_, place = store(path)
+                        with files_.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
+                            for member, i in {i.filename: i for i in archive.infolist()}.items():
+                                if i.flag_bits & 1:
+                                    raise zipfile.BadZipFile(f"{member} is encrypted")
+                                at = {"at": i.header_offset, "packed": i.compress_size, "method": i.compress_type}
+                                yield {**head, "member_path": member, **at, "crc": i.CRC}
+                    except Exception as error:  # noqa: BLE001
+                        yield {**head, "reject": f"{NO_ARCHIVE}: {error}"}
+
+        return _batches(rows(), LISTING, lambda r: 100)
+
+    return files.select("book_id", "name", "path").mapInArrow(run, LISTING)
+
+
+def _member(file, at: int, packed: int, method: int, crc: int) -> bytes:
+    """The content of the member whose record starts at ``at``."""
+    file.seek(at)
+    head = file.read(30)
+    name, extra = struct.unpack("<HH", head[26:30])
+    file.seek(at + 30 + name + extra)
+    data = file.read(packed)
+    if method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompress(data, -15)
+    elif method != zipfile.ZIP_STORED:
+        raise zipfile.BadZipFile(f"packing method {method}")
+    if zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("bad checksum")
+    return data
+
+
+def read_listed(listed: DataFrame) -> DataFrame:
+    """READ: the contents of some rows of a listing, or the ``problem`` that one has.
+
+    Members are dealt over tasks by their place, so an archive of any size is read by many, and only
+    what is asked for is read.
+    """
+    rows = materialize(listed.select("book_id", "path", "member_path", "at", "packed", "method", "crc"), "listed")
+    total = rows.agg(F.sum("packed")).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[dict]:
+            open_path, file = None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    row = {"book_id": r["book_id"], "member_path": r["member_path"]}
+                    try:
+                        if r["path"] != open_path:
+                            files_, place = store(r["path"])
+                            open_path, file = r["path"], files_.open_input_file(place)
+                        yield {**row, "bytes": _member(file, r["at"], r["packed"], r["method"], r["crc"])}
+                    except Exception as error:  # noqa: BLE001
+                        yield {**row, "problem": f"{NO_ARCHIVE}: {r['member_path']}: {error}"}
+
+        return _batches(found(), READ, lambda r: len(r.get("bytes") or b""))
+
+    dealt = rows.repartition(tasks, "book_id", F.shiftright("at", NEAR_BITS)).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(run, READ)
+
+
+@dataclass(frozen=True)
+class Archives:
+    """Archives of which only the members that are asked for are read."""
+
+    listing: DataFrame  # LISTING: one row for each member or rejected archive
+    inline: DataFrame  # MEMBERS: contents of archives that came as values
+
+    def read(self, wanted: DataFrame) -> DataFrame:
+        """READ of the wanted ``book_id, member_path`` that there are; ``wanted`` has each once."""
+        keys = ["book_id", "member_path"]
+        stored = read_listed(self.listing.where("at is not null").join(wanted.select(*keys), keys))
+        none = F.lit(None).cast("string").alias("problem")
+        return stored.unionByName(self.inline.join(wanted.select(*keys), keys).select(*keys, "bytes", none))
+
+
+def open_archives(files: DataFrame, root: str | None = None) -> Archives:
+    """``files(book_id, name, content, path)``: a row with a ``path`` that tasks can open is read by
+    member from there, else its ``content`` is unpacked and written once, below ``root``."""
+    root = root or scratch_dir(files.sparkSession)
+    opened = F.col("path").isNotNull() & is_opened(F.col("path"))
+    inline = materialize(epub_members(files.where(~opened | F.col("path").isNull())), "members", root)
+    # without its content, so that the scan of the files does not read it
+    listing = epub_listing(files.where(opened).select("book_id", "name", "path"))
+    unpacked = inline.select("book_id", "name", "member_path", "reject")
+    return Archives(materialize(listing.unionByName(unpacked, allowMissingColumns=True), "listing", root), inline)
 
 
 def read_epub_members(files: DataFrame) -> DataFrame:
-    members = epub_members(files)
-    return members.filter(F.col("reject").isNull()).select("book_id", "member_path", "bytes")
+    """``book_id, member_path, bytes`` of every member of the archives that can be read."""
+    archives = open_archives(files)
+    every = archives.listing.where(F.col("reject").isNull()).select("book_id", "member_path")
+    return archives.read(every).where("problem is null").select("book_id", "member_path", "bytes")
 
 
 def _utf8(c: Column) -> Column:
     return F.make_valid_utf8(c.cast("string"))
 
 
-def package_files(members: DataFrame) -> DataFrame:
-    """``book_id, opf_path, opf, files, reason`` per archive; ``reason`` says why it is invalid."""
-    is_container = F.col("member_path") == CONTAINER
-    heads = members.groupBy("book_id").agg(
-        F.count("member_path").cast("int").alias("files"),
-        F.max(F.when(is_container, _utf8(F.col("bytes")))).alias("container"),
-        F.max("reject").alias("reject"),
+def package_files(archives: Archives, root: str | None = None) -> DataFrame:
+    """``book_id, opf_path, opf, files, reason`` per archive; ``reason`` says why it is invalid.
+
+    The container is read for the path of the package file, then that file; nothing else is.
+    """
+    root = root or scratch_dir(archives.listing.sparkSession)
+    heads = archives.listing.groupBy("book_id").agg(
+        F.count("member_path").cast("int").alias("files"), F.max("reject").alias("reject")
+    )
+    containers = archives.read(archives.listing.where(F.col("member_path") == CONTAINER)).select(
+        "book_id", _utf8(F.col("bytes")).alias("container"), "problem"
     )
     path = F.regexp_extract("container", r"(?i)<rootfile\b[^>]*full-path=([\"'])(.*?)\1", 2)
-    placed = heads.withColumn(
+    placed = heads.join(containers, "book_id", "left").withColumn(
         "opf_path", non_empty(F.replace(path, F.lit("\\"), F.lit("/")))
     )
-    opf = members.select(
-        "book_id", F.col("member_path").alias("opf_path"), _utf8(F.col("bytes")).alias("opf")
-    )
+    placed = materialize(placed, "placed", root)
+    wanted = placed.where(F.col("opf_path").isNotNull()).select("book_id", F.col("opf_path").alias("member_path"))
+    opf = archives.read(wanted).select("book_id", _utf8(F.col("bytes")).alias("opf"), F.col("problem").alias("opf_problem"))
+    broken = F.coalesce("reject", "problem", "opf_problem")
     reason = (
-        F.when(F.col("reject").isNotNull(), F.col("reject"))
+        F.when(broken.isNotNull(), broken)
         .when(F.col("container").isNull(), NO_CONTAINER)
         .when(F.col("opf_path").isNull(), NO_OPF_PATH)
         .when(F.col("opf").isNull(), F.concat(F.lit(NO_OPF), "opf_path"))
     )
-    return placed.join(opf, ["book_id", "opf_path"], "left").select(
-        "book_id", "opf_path", "opf", "files", reason.alias("reason")
-    )
+    found = placed.join(opf, "book_id", "left").select("book_id", "opf_path", "opf", "files", reason.alias("reason"))
+    return materialize(found, "packages", root)
 
 
 def package_title(opf: Column) -> Column:
@@ -128,24 +265,30 @@ def epub_spine(packages: DataFrame) -> DataFrame:
     fallback = manifest.join(in_spine.select("book_id").distinct(), "book_id", "left_anti").select(
         "book_id", F.col("first_n").alias("at"), "href"
     )
-    rank = F.row_number().over(W.partitionBy("book_id").orderBy("at"))
-    return in_spine.unionByName(fallback).select("book_id", (rank - 1).alias("pos"), "href")
+    both = materialize(in_spine.unionByName(fallback), "spine")
+    return ordinal(both, ["book_id"], "at", "pos").select("book_id", F.col("pos").cast("int").alias("pos"), "href")
 
 
-def epub_chapters(members: DataFrame, spine: DataFrame) -> DataFrame:
-    """``book_id, chapter_index, title, text, source_path`` of pages with readable text."""
-    pages = spine.join(
-        members.select("book_id", F.col("member_path").alias("href"), "bytes"), ["book_id", "href"]
+def epub_chapters(archives: Archives, spine: DataFrame) -> DataFrame:
+    """``book_id, chapter_index, title, text, source_path, problem`` of pages with readable text.
+
+    Only pages of the spine are read. A row with a ``problem`` stands for a page that cannot be.
+    """
+    wanted = spine.select("book_id", F.col("href").alias("member_path")).distinct()
+    read = archives.read(wanted).withColumnRenamed("member_path", "href")
+    decoded = spine.join(read, ["book_id", "href"]).select(
+        "book_id", "pos", "href", decode_udf()("bytes")["text"].alias("html"), "problem"
     )
-    decoded = pages.select("book_id", "pos", "href", decode_udf()("bytes")["text"].alias("html"))
     numbered = F.concat(F.lit("Chapter "), (F.col("pos") + 1).cast("string"))
     page = F.struct(
-        html_title(F.col("html"), numbered).alias("title"), html_body(F.col("html")).alias("text")
+        html_title(F.col("html"), numbered).alias("title"), html_body(F.col("html")).alias("text"), F.col("problem")
     )
     # blank pages are dropped inside the row: a filter would be pushed down and parse them twice
-    readable = F.explode(F.filter(F.array(page), lambda p: p["text"] != ""))
-    parsed = decoded.select(
-        "book_id", "pos", F.col("href").alias("source_path"), readable.alias("p")
-    ).select("book_id", "pos", "p.title", "p.text", "source_path")
-    rank = F.row_number().over(W.partitionBy("book_id").orderBy("pos"))
-    return parsed.select("book_id", (rank - 1).alias("chapter_index"), "title", "text", "source_path")
+    readable = F.explode(F.filter(F.array(page), lambda p: (p["text"] != "") | p["problem"].isNotNull()))
+    parsed = decoded.select("book_id", "pos", F.col("href").alias("source_path"), readable.alias("p")).select(
+        "book_id", "pos", "p.title", "p.text", "source_path", "p.problem"
+    )
+    numbered_pages = ordinal(materialize(parsed, "pages"), ["book_id"], "pos", "chapter_index")
+    return numbered_pages.select(
+        "book_id", F.col("chapter_index").cast("int").alias("chapter_index"), "title", "text", "source_path", "problem"
+    )

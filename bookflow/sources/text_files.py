@@ -98,7 +98,7 @@ def decode_books(files: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """``book_id, name, ext, content`` of every file below ``path``; the path is the id."""
+    """``book_id, name, ext, content, path`` of every file below ``path``; the path is the id."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
@@ -106,8 +106,8 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def name_files(files: DataFrame) -> DataFrame:
-    named = files.select(F.col("path").alias("book_id"), base_name(F.col("path")).alias("name"), "content")
-    return named.select("book_id", "name", ext_name(F.col("name")).alias("ext"), "content")
+    named = files.select(F.col("path").alias("book_id"), base_name(F.col("path")).alias("name"), "content", "path")
+    return named.select("book_id", "name", ext_name(F.col("name")).alias("ext"), "content", "path")
 
 
 def read_text_books(spark: SparkSession, path: str) -> DataFrame:

@@ -2,37 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from bookflow.operators.work import STATUSES, job_outcome, percent
+from bookflow.streaming.state import last_batch, read_batches, write_batch
+
+# The newest attempt of a segment: microseconds and number decide.
+NEWEST = "at long, attempt long, status string"
+CHANGE = "job_id string, status string, n long"
+# Batches of changes after which their sums are written anew.
+FOLD = 32
 
-from bookflow.operators.work import job_outcome, latest_status, progress
-from bookflow.schemas import names
-from bookflow.streaming.state import read_batches, write_batch
 
-LATEST = "job_id string, segment_id string, status string, ts timestamp, attempt int"
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A segment's status leaves one count of its job and enters another, if its newest attempt is new."""
+    old = state.get if state.exists else None
+    newest = old
+    for rows in batches:
+        for at, attempt, status in zip(rows["at"].tolist(), rows["attempt"].tolist(), rows["status"].tolist(), strict=True):
+            if newest is None or (at, attempt) > newest[:2]:
+                newest = (int(at), int(attempt), status)
+    if newest != old:
+        state.update(newest)
+    out = []
+    if newest is not None and (old is None or old[2] != newest[2]):
+        out = [(key[0], newest[2], 1)] if old is None else [(key[0], old[2], -1), (key[0], newest[2], 1)]
+    yield pd.DataFrame(out, columns=["job_id", "status", "n"])
 
 
-def stream_progress(attempts: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest status per segment of every micro-batch in ``state``.
+def stream_progress(attempts: DataFrame, state: str, checkpoint: str, fold: int = FOLD) -> StreamingQuery:
+    """Keep the counts of each job's segments by their newest status in ``state``.
 
-    Newest is decided by time and attempt number, so late rows never undo a later status and the
-    state is the same whatever the batches were. A batch only writes its own segments.
+    The newest status of a segment is keyed state of the stream, so a batch looks up its own segments
+    only, whatever came before. Newest is decided by time and attempt number: late rows never undo a
+    later status. A batch writes by how much counts change; after ``fold`` batches their sums are
+    written, so a reader meets one row per job and status and at most ``fold`` batches of changes.
     """
+    lowest = F.lit(-(1 << 62))
+    rows = attempts.select(
+        "job_id",
+        "segment_id",
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), lowest).alias("at"),
+        F.coalesce(F.col("attempt").cast("long"), lowest).alias("attempt"),
+        "status",
+    )
+    changed = rows.groupBy("job_id", "segment_id").applyInPandasWithState(
+        _changes, CHANGE, NEWEST, "update", GroupStateTimeout.NoTimeout
+    )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_status(batch).select(*names(LATEST))
-        write_batch(latest, state, batch_id)
+        session = batch.sparkSession
+        write_batch(_summed(batch), f"{state}/changes", batch_id)
+        folded = last_batch(session, f"{state}/sums", batch_id)
+        if batch_id - (-1 if folded is None else folded) >= fold:
+            write_batch(_summed(_counts(session, state, batch_id)), f"{state}/sums", batch_id)
 
     return (
-        attempts.writeStream.foreachBatch(keep)
+        changed.writeStream.outputMode("update")
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("job_id", "status").agg(F.sum("n").alias("n"))
+
+
+def _counts(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame:
+    """CHANGE rows whose sums are the counts after a batch (default: the last): sums before it, and later changes."""
+    before = None if upto is None else upto
+    folded = last_batch(spark, f"{state}/sums", before)
+    last = last_batch(spark, f"{state}/changes", None if upto is None else upto + 1)
+    if last is None:
+        return spark.createDataFrame([], CHANGE)
+    since = -1 if folded is None else folded
+    new = read_batches(spark, f"{state}/changes", CHANGE, range(since + 1, last + 1))
+    if folded is None:
+        return new.drop("batch")
+    return read_batches(spark, f"{state}/sums", CHANGE, [folded]).unionByName(new).drop("batch")
+
+
 def read_progress(spark: SparkSession, state: str) -> DataFrame:
     """Progress and outcome of each job as of the last finished batch."""
-    prog = progress(latest_status(read_batches(spark, state, LATEST).drop("batch")))
+    counts = _summed(_counts(spark, state))
+
+    def of(status: str):
+        return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0)).alias(status)
+
+    total = F.sum("n").alias("total")
+    done = F.col("completed") + F.col("cached")
+    counted = counts.groupBy("job_id").agg(total, *[of(s) for s in STATUSES]).withColumn("done", done)
+    prog = counted.withColumn("percent", percent(F.col("done"), F.col("total")))
     outcome = job_outcome(prog).withColumnRenamed("status", "outcome")
     return prog.join(outcome, "job_id")

@@ -9,12 +9,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from bookflow.config import JobConfig
 from bookflow.operators.translate import Translator, translate_batch
-from bookflow.operators.work import resume_filter
 from bookflow.schemas import ATTEMPTS, CACHE, names
-from bookflow.streaming.state import earlier, last_batch, read_batches, write_batch
+from bookflow.session import materialize
+from bookflow.streaming.state import earlier, last_batch, read_batches, read_keyed, write_batch, write_keyed
 
 KEYS = ["job_id", "segment_id"]
 FINISHED = ("completed", "cached")
+# A job's segments share a bucket: a batch of few jobs reads little.
+JOB = ["job_id"]
+FINISHED_KEYS = "job_id string, segment_id string"
 # Batches are stored under multiples of this; a start's own steps take the numbers between them.
 STARTS = 1_000_000
 
@@ -40,29 +43,35 @@ def stream_translate(
     that it leaves undone stay in a queue: every batch, and every start before its first batch, takes
     the pending ones again, and with ``retry_failed`` the failed ones too. Output goes to folders named
     after the batch, and committed calls are read back instead of repeated, so a replay has the effect
-    of one run.
+    of one run. What earlier steps finished and cached is kept in buckets of jobs and of fingerprints;
+    a step reads the buckets of its own rows.
     """
     spark, schema = source.sparkSession, source.schema
     stamp = F.current_timestamp() if now is None else now
 
     def step(new: DataFrame, number: int) -> None:
         session = new.sparkSession
-        done = earlier(read_batches(session, f"{state}/results", RESULTS), number)
-        cache = earlier(read_batches(session, f"{state}/cache", CACHE), number)
         waiting = _queue(session, state, schema, number)
         again = waiting.filter(F.col("status").isin(*retried)).drop("status")
         fresh = new.dropDuplicates(KEYS)
-        todo = resume_filter(fresh.unionByName(again.join(fresh, KEYS, "left_anti")), done)
+        taken = materialize(fresh.unionByName(again.join(fresh, KEYS, "left_anti")), "taken")
+        # only the buckets of this step's jobs and fingerprints are read
+        every = taken.select("job_id").unionByName(waiting.select("job_id"))
+        done = earlier(read_keyed(session, f"{state}/finished", FINISHED_KEYS, every, JOB), number)
+        entries = read_keyed(session, f"{state}/cache", CACHE, taken.select(F.col("fingerprint").alias("key")), ["key"])
+        cache = earlier(entries, number)
+        todo = taken.join(done, KEYS, "left_anti")
         out = translate_batch(todo, cache, cfg, stamp, fn, path=f"{state}/work/batch={number}", **options)
         write_batch(out.attempts, f"{state}/attempts", number)
-        write_batch(out.entries, f"{state}/cache", number)
+        write_keyed(out.entries, f"{state}/cache", number, ["key"])
         write_batch(out.results, f"{state}/results", number)
-        made = read_batches(session, f"{state}/results", RESULTS).filter(F.col("batch") == number)
+        made = read_batches(session, f"{state}/results", RESULTS, [number])
+        ended = made.filter(F.col("status").isin(*FINISHED)).select(*KEYS)
+        write_keyed(ended, f"{state}/finished", number, JOB)
         undone = made.filter(~F.col("status").isin(*FINISHED)).select(*KEYS, "status")
         left = todo.join(undone, KEYS).select(*schema.names, "status")
         kept = waiting.join(made, KEYS, "left_anti").select(*schema.names, "status")
-        finished = done.filter(F.col("status").isin(*FINISHED))
-        write_batch(left.unionByName(kept.join(finished, KEYS, "left_anti")), f"{state}/queue", number)
+        write_batch(left.unionByName(kept.join(done, KEYS, "left_anti")), f"{state}/queue", number)
 
     retried = ["pending", *(["failed"] if retry_failed else [])]
     last = last_batch(spark, f"{state}/queue")

@@ -127,7 +127,3 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(
         F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
     )
-
-
-def write_cache(cache: DataFrame, path: str) -> None:
-    cache.write.mode("errorifexists").partitionBy("version").parquet(path)

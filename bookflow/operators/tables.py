@@ -11,6 +11,7 @@ def upsert(
 ) -> DataFrame:
     """The next snapshot: incoming fields win, absent (null) ones keep the existing value.
 
+    Open columns (``map<string,variant>``: fields that no schema names) are merged name by name.
     ``created_at`` is the existing one, else the incoming one, else ``now``; ``updated_at`` is
     ``now`` for incoming rows. Rows that nothing touches stay as they are.
     """
@@ -28,17 +29,31 @@ def upsert(
     def merged(name: str, order: str) -> list[Column]:
         return [F.col(f"__{side}_{name}") for side in order if f"__{side}_{name}" in joined.columns]
 
+    kinds = dict(existing.dtypes) | dict(incoming.dtypes)
     touched = F.col("__touched")
     created = F.coalesce(*merged("created_at", "on"), F.when(touched, now))
     updated = F.when(touched, now).otherwise(F.coalesce(*merged("updated_at", "o"), F.lit(None)))
     return joined.select(
         *keys,
-        *[F.coalesce(*merged(n, "no")).alias(n) for n in fields],
+        *[merged_field(merged(n, "no"), kinds[n]).alias(n) for n in fields],
         created.alias("created_at"),
         updated.alias("updated_at"),
     )
 
 
+#: The type of a column that holds the fields that a schema does not name.
+OPEN = "map<string,variant>"
+
+
+def merged_field(sides: list[Column], kind: str) -> Column:
+    """The first side that is there; of an open column, each name's first side."""
+    if kind != OPEN or len(sides) < 2:
+        return F.coalesce(*sides)
+    new, old = sides
+    kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    return F.coalesce(F.map_concat(new, kept), *sides)
+
+
 def union_ids(existing: Column, new_id: Column) -> Column:
     """``existing`` with ``new_id`` added once."""
     return F.array_union(

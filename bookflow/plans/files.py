@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.operators.tables import order_listing
+from bookflow.operators.tables import OPEN, order_listing
 from bookflow.plans import sql as S
 from bookflow.plans.adapters import bank, chapters, documents, table
 from bookflow.plans.registry import query
@@ -323,3 +323,38 @@ def imported(spark, sf):
         F.col("settings")["provider"].alias("provider"),
         *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("created_at", "updated_at")],
     )
+
+
+@query(
+    "import_open_fields",
+    """SELECT source AS project_id, CAST(count(*) AS VARCHAR) AS mood_n, 'new ' || source AS mood_name,
+      'kept ' || source AS shelf, CAST(sum(length(text)) AS VARCHAR) AS rank, max(lang) AS genre,
+      CAST(NULL AS VARCHAR) AS api_key, 'P ' || source AS title
+    FROM documents GROUP BY source""",
+)
+def open_fields(spark, sf):
+    """Fields that no schema names live through import, upsert and export."""
+    docs = table(spark, sf, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("rank"), F.max("lang").alias("genre")
+    )
+    mood = F.struct("n", F.concat(F.lit("new "), "source").alias("name"))
+    title = F.concat(F.lit("P "), "source").alias("title")
+    text = F.to_json(F.struct(F.col("source").alias("id"), title, mood.alias("mood"), "rank", F.lit("k").alias("apiKey")))
+    older = F.to_json(F.struct(F.lit("old").alias("mood"), F.concat(F.lit("kept "), "source").alias("shelf"), "genre"))
+    existing = docs.select(
+        F.col("source").alias("project_id"),
+        F.lit("old").alias("title"),
+        F.from_json(older, OPEN).alias("extra"),
+        _stamp().alias("created_at"),
+        _stamp().alias("updated_at"),
+    )
+    path = f"{scratch_dir(spark)}/open"
+    write_documents(docs.select(F.col("source").alias("project_id"), text.alias("json")), path)
+    merged = PJ.import_projects(PJ.read_projects(spark, path), existing, _stamp())
+    out = export_projects(merged.drop("settings"), {}, _stamp())
+
+    def field(at: str, name: str) -> Column:
+        return F.get_json_object("json", f"$.{at}").alias(name)
+
+    places = {"mood.n": "mood_n", "mood.name": "mood_name", "shelf": "shelf", "rank": "rank", "genre": "genre", "apiKey": "api_key", "title": "title"}
+    return out.select("project_id", *[field(at, name) for at, name in places.items()])

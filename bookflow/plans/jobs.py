@@ -21,6 +21,9 @@ from bookflow.plans.adapters import (
     terms,
 )
 from bookflow.plans.registry import query
+from bookflow.schemas import CACHE
+from bookflow.session import scratch_dir
+from bookflow.streaming.state import read_keyed, write_keyed
 
 
 def _now():
@@ -205,12 +208,12 @@ def _doc_cache(spark, sf, rest: int = 0):
         F.lit("m").alias("model"),
         F.lit("").alias("source_language"),
         F.lit("").alias("target_language"),
-        F.concat(F.lit(" "), F.substring("t", 1, 50), F.lit("\n")).alias("text"),
+        F.concat(F.lit(" "), "t", F.lit("\n")).alias("text"),
         F.lit(None).cast("string").alias("usage"),
     )
 
 
-_CACHE_TEXT = S.trim("substring(text, 1, 50)")
+_CACHE_TEXT = S.trim("text")
 
 
 @query(
@@ -225,6 +228,23 @@ def cache_lookup(spark, sf):
     return looked.select("segment_id", "hit", "translated_text")
 
 
+@query(
+    "cache_store",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS segment_id,
+      CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN {_CACHE_TEXT} END AS translated_text
+    FROM documents""",
+)
+def cache_store(spark, sf):
+    """The cache as a table that grows by batches and is read by the buckets of what is asked for."""
+    path = f"{scratch_dir(spark)}/cache"
+    entries = _doc_cache(spark, sf)
+    for number, part in enumerate((F.col("key") < "8", F.col("key") >= "8")):
+        write_keyed(entries.filter(part), path, number, ["key"])
+    segs = _doc_segments(spark, sf).drop("text")
+    found = read_keyed(spark, path, CACHE, segs.select(F.col("fingerprint").alias("key")), ["key"])
+    return K.cache_lookup(segs, found.drop("batch")).select("segment_id", "translated_text")
+
+
 @query(
     "dedupe_work",
     """SELECT CAST(doc_id AS VARCHAR) AS segment_id, row_number() OVER (
@@ -276,15 +296,15 @@ def fingerprint(spark, sf):
 
 @query(
     "cache_put",
-    """SELECT sha256(text) AS key, CASE WHEN max(doc_id % 2) = 1 THEN 'T ' || substring(text, 1, 50)
-      ELSE ' ' || substring(text, 1, 50) || chr(10) END AS text FROM documents GROUP BY text""",
+    """SELECT sha256(text) AS key, CASE WHEN max(doc_id % 2) = 1 THEN 'T ' || text
+      ELSE ' ' || text || chr(10) END AS text FROM documents GROUP BY text""",
 )
 def cache_put(spark, sf):
     segs = _doc_segments(spark, sf).filter(F.col("chapter_index") % 2 == 1)
     results = segs.select(
         "fingerprint",
         F.lit("completed").alias("status"),
-        F.concat(F.lit("T "), F.substring("text", 1, 50)).alias("translated_text"),
+        F.concat(F.lit("T "), F.col("text")).alias("translated_text"),
         F.lit(None).cast("string").alias("usage"),
     )
     entries = K.new_entries(results, CONFIG, _now())

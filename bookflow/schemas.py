@@ -12,10 +12,6 @@ CHAPTERS = (
     "book_id string, chapter_index int, title string, text string, source_path string"
 )
 REJECTS = ("book_id string, name string, reason string")
-SEGMENTS = (
-    "job_id string, segment_id string, chapter_index int, chapter_title string, "
-    "segment_index int, segments_total int, text string, status string, attempts int"
-)
 TERM_FIELDS = (
     "id string, source string, target string, aliases array<string>, note string, "
     "category string, match_type string"
@@ -24,11 +20,6 @@ GLOSSARY = (f"project_id string, term_idx int, {TERM_FIELDS}")
 CONTEXT_BANK = (
     "project_id string, item_idx int, id string, title string, text string"
 )
-CHAPTER_SUMMARIES = (
-    "project_id string, chapter_index int, title string, summary string, "
-    "characters array<string>, terms array<struct<source:string,target:string,note:string>>, "
-    "updated_at timestamp"
-)
 CACHE = (
     "version int, key string, created_at timestamp, provider string, model string, "
     "source_language string, target_language string, text string, usage string"
@@ -36,9 +27,6 @@ CACHE = (
 MEMBERS = (
     "book_id string, name string, member_path string, bytes binary, reject string"
 )
-TRANSLATED = (
-    "fingerprint string, translated_text string, usage string, error string, attempts int"
-)
 ATTEMPTS = (
     "job_id string, segment_id string, attempt int, status string, error string, ts timestamp"
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.operators.tables import redact
+from bookflow.operators.tables import OPEN, redact
 
 
 def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -21,7 +21,7 @@ def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]])
             "project_id",
             F.lit(name).alias("section"),
             pos.cast("long").alias("pos"),
-            F.to_json(F.struct(*fields)).alias("json"),
+            flat_json(df, fields).alias("json"),
         )
 
     out = lines("project", safe_header(header), F.lit(0))
@@ -51,16 +51,31 @@ def export_projects(
         out = out.join(rows, "project_id", "left")
     if "chapters" in sections:
         out = out.withColumn("book", F.struct("title", "chapters")).drop("chapters")
-    fields = [F.col(c) for c in out.columns if c != "project_id"]
-    stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exportedAt")
-    return out.select("project_id", F.to_json(F.struct(*fields, stamp)).alias("json"))
+    stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    stamped = out.withColumn("exportedAt", stamp)
+    fields = [c for c in stamped.columns if c != "project_id"]
+    return stamped.select("project_id", flat_json(stamped, fields).alias("json"))
+
+
+def flat_json(df: DataFrame, fields: list[str]) -> Column:
+    """A JSON object of the fields; what an open column holds stands beside the named fields, which win."""
+    kinds = dict(df.dtypes)
+    loose = [c for c in fields if kinds[c] == OPEN]
+    named = [c for c in fields if c not in loose]
+    out = F.to_json(F.struct(*named))
+    for c in loose:
+        more = F.to_json(F.map_filter(c, lambda k, _: ~k.isin(*named)))
+        glue = F.when(F.endswith(out, F.lit("{}")), "").otherwise(",")
+        both = F.concat(F.substring(out, 1, F.length(out) - 1), glue, F.substring(more, 2, F.length(more)))
+        out = F.when(F.coalesce(more, F.lit("{}")) == "{}", out).otherwise(both)
+    return out
 
 
 def safe_header(header: DataFrame) -> DataFrame:
     """``header`` without model keys, be they columns, fields of a struct or entries of a map."""
     out = redact(header)
     for name, kind in out.dtypes:
-        if kind.startswith("map<string"):
+        if kind.startswith("map<string"):  # open columns too
             out = out.withColumn(name, F.map_filter(name, lambda k, _: ~k.isin("apiKey", "api_key")))
     return out
 

@@ -7,18 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bookflow.functions.text import non_empty, sanitize_id
-from bookflow.operators.tables import upsert
+from bookflow.operators.tables import OPEN, upsert
 from bookflow.schemas import PROJECT_DOCUMENT
 
 
+SECRETS = ("apiKey", "api_key")
+# The parts of a document that are tables of their own: where they are, and what numbers their rows.
+SECTIONS = {
+    "chapters": ("book.chapters", "chapter_index"),
+    "results": ("results", "result_index"),
+    "contextBank": ("contextBank", "item_idx"),
+    "chapterSummaries": ("chapterSummaries", "summary_index"),
+    "qaIssues": ("qaIssues", "issue_index"),
+    "consistencyIssues": ("consistencyIssues", "issue_index"),
+}
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """One row per document; a file holds one document over any number of lines."""
-    return spark.read.schema(PROJECT_DOCUMENT).option("multiLine", "true").json(path)
+    return parse_projects(spark.read.option("wholetext", "true").text(path), "value")
 
 
 def parse_projects(lines: DataFrame, column: str = "json") -> DataFrame:
-    """The same from a column of JSON documents."""
-    return lines.select(F.from_json(column, PROJECT_DOCUMENT).alias("d")).select("d.*")
+    """The same from a column of JSON documents.
+
+    Fields that the schema does not name are kept in ``extra``, by name.
+    """
+    known = F.array(*[F.lit(n) for n in (*_document().names, *SECRETS)])
+    fields = F.from_json(column, OPEN)
+    return lines.select(
+        F.from_json(column, PROJECT_DOCUMENT).alias("d"),
+        F.map_filter(fields, lambda k, _: ~F.array_contains(known, k)).alias("extra"),
+    ).select("d.*", "extra")
+
+
+def _document() -> StructType:
+    return PROJECT_DOCUMENT if isinstance(PROJECT_DOCUMENT, StructType) else StructType.fromDDL(PROJECT_DOCUMENT)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +58,7 @@ def line_headers(lines: DataFrame) -> DataFrame:
 
 def line_rows(lines: DataFrame, section: str, index: str) -> DataFrame:
     """A section's rows from lines: ``project_id, index`` and the fields that a document gives them."""
-    kinds = PROJECT_DOCUMENT if isinstance(PROJECT_DOCUMENT, StructType) else StructType.fromDDL(PROJECT_DOCUMENT)
+    kinds = _document()
     holder = kinds["book"].dataType if section == "chapters" else kinds
     row = holder[section].dataType.elementType
     parsed = lines.filter(F.col("section") == section).select(
@@ -47,7 +71,8 @@ def line_rows(lines: DataFrame, section: str, index: str) -> DataFrame:
 
 def project_headers(docs: DataFrame) -> DataFrame:
     safe = docs.withColumn("project_id", sanitize_id(F.col("id"), "project"))
-    settings = F.map_filter("settings", lambda k, _: ~k.isin("apiKey", "api_key"))
+    settings = F.map_filter("settings", lambda k, _: ~k.isin(*SECRETS))
+    extra = ["extra"] if "extra" in docs.columns else []
     return safe.select(
         "project_id",
         F.col("title"),
@@ -57,6 +82,7 @@ def project_headers(docs: DataFrame) -> DataFrame:
         F.col("lastJobId").alias("last_job_id"),
         F.to_timestamp("createdAt").alias("created_at"),
         F.to_timestamp("updatedAt").alias("updated_at"),
+        *extra,
     )
 
 
@@ -83,10 +109,26 @@ def project_bank(docs: DataFrame) -> DataFrame:
 
 
 def import_projects(docs: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
-    """The project table after upserting the documents' headers."""
+    """The project table after upserting the documents' headers, fields without a schema included."""
     return upsert(existing, project_headers(docs), ["project_id"], now)
 
 
+def import_documents(
+    docs: DataFrame, projects: DataFrame, children: dict[str, DataFrame], now: Column
+) -> dict[str, DataFrame]:
+    """All tables after an import: ``projects``, and the sections that ``children`` names (see SECTIONS).
+
+    A section that a document holds replaces the project's rows; one that it leaves out keeps them.
+    """
+    out = {"projects": import_projects(docs, projects, now)}
+    for section, existing in children.items():
+        place, index = SECTIONS[section]
+        with_it = docs.filter(F.col(place).isNotNull())
+        rows = project_bank(docs) if section == "contextBank" else _children(docs, place, index)
+        out[section] = replace_children(existing, with_it, rows)
+    return out
+
+
 def replace_children(existing: DataFrame, docs: DataFrame, incoming: DataFrame) -> DataFrame:
     """A child table after an import: rows of imported projects give way to the new ones."""
     ids = docs.select(sanitize_id(F.col("id"), "project").alias("project_id"))

@@ -163,3 +163,19 @@ def test_latest_status_ignores_arrival_order(spark):
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, ATTEMPTS).repartition(3)
         assert latest_status(df).first().status == "completed"
+
+
+def test_anchors_are_the_rarest_pieces(spark):
+    """A glossary whose terms share their beginning has few candidates beside its matches."""
+    from bookflow.operators.matching import anchor_candidates, contains_pairs
+
+    words = [f"{a}{b}{c}q" for a in "abcdefgh" for b in "ijklmn" for c in "opqrstuv"]
+    needles = spark.createDataFrame([("p", i, f"the great {w}") for i, w in enumerate(words[:300])], "on string, n int, needle string")
+    texts = [("p", i, f"here is the great {words[i]} and the great {words[-i - 1]} too") for i in range(100)]
+    texts += [("q", 200, "the great aioq of another project"), ("p", 201, ""), ("p", 202, None)]
+    hay = spark.createDataFrame(texts, "on string, k int, text string")
+    found = anchor_candidates(hay, ["k"], "text", needles, ["n", "needle"], "needle", ["on"]).count()
+    rows = {(r.k, r.n) for r in contains_pairs(hay, ["k"], "text", needles, ["n"], "needle", ["on"]).collect()}
+    want = {(k, n) for o, k, t in texts for n, w in enumerate(words[:300]) if o == "p" and f"the great {w}" in (t or "")}
+    assert rows == want and len(want) >= 100
+    assert found <= 2 * len(want)  # by their first pieces all 300 are candidates of each of 100 texts

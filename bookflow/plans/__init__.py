@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "structure", "matching", "jobs", "quality", "files", "streams")
+MODULES = ("texts", "structure", "matching", "jobs", "quality", "files", "streams", "projects")
 
 
 def load():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow import constants as C
@@ -10,7 +11,7 @@ from bookflow.functions.arrays import value_counts
 from bookflow.functions.text import first_sentences, non_empty
 from bookflow.operators.chapters import numbered_title
 from bookflow.operators.glossary import attach_terms
-from bookflow.operators.ordering import running_total
+from bookflow.operators.ordering import BITS
 from bookflow.session import materialize
 
 
@@ -95,38 +96,50 @@ def previous_summaries(
     summaries: DataFrame,
     n: int = C.PREVIOUS_SUMMARIES,
     book: str = "project_id",
+    bits: int = BITS,
 ) -> DataFrame:
     """``book, chapter_index, previous``: the last ``n`` summaries before each chapter.
 
-    Chapters without a summary are passed over, so each chapter first learns how many summaries
-    precede it (a skew-safe running count); the summary with rank r serves the chapters that see
-    r+1 .. r+n of them. Chapters behind a book's last summary all see the same number; AQE splits them.
+    Chapters without a summary are passed over. A book is cut into buckets of 2^``bits`` chapters. In
+    a bucket each chapter learns how many summaries precede it there; the bucket's summary with rank r
+    serves the chapters that see r .. r+n-1 of them, and the last ``n`` summaries of the buckets before
+    are carried over its border with the ranks 0, -1, ... So no key has more than a bucket's chapters,
+    not even behind a book's last summary.
     """
-    keys = [book, "chapter_index"]
+    keys, part = [book, "chapter_index"], [book, "bucket"]
     lines = summaries.select(
         *keys, summary_line(F.col("title"), F.col("chapter_index"), F.col("summary")).alias("line")
     )
     marks = chapters.select(*keys).distinct().join(lines, keys, "full")
-    ranked = materialize(
-        running_total(
-            materialize(marks, "marks"), [book], "chapter_index", F.col("line").isNotNull().cast("int"), "seen"
-        ),
-        "ranked",
+    marks = marks.withColumn("bucket", F.shiftright("chapter_index", bits))
+    inside = W.partitionBy(*part)
+    before = inside.orderBy("chapter_index").rowsBetween(W.unboundedPreceding, -1)
+    ranked = marks.select(
+        *keys, "bucket", "line", F.count("line").over(before).alias("seen"), F.count("line").over(inside).alias("total")
+    )
+    ranked = materialize(ranked, "ranked")
+    own = ranked.filter(F.col("line").isNotNull()).select(*part, (F.col("seen") + 1).alias("rank"), "line", "total")
+
+    # the tail of each bucket with summaries, and the last n summaries up to its end
+    tails = own.filter(F.col("rank") > F.col("total") - n).groupBy(*part).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("tail")
+    )
+    order = W.partitionBy(book).orderBy("bucket")
+    whole = F.flatten(F.collect_list("tail").over(order.rowsBetween(1 - n, 0)))
+    last = F.slice(whole, F.greatest(F.size(whole) - n + 1, F.lit(1)), n)
+    ends = materialize(tails.select(*part, F.row_number().over(order).alias("number"), last.alias("carry")), "ends")
+    # a bucket takes what the last bucket with summaries before it ends with
+    full = F.coalesce(F.sum(F.col("number").isNotNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    buckets = ranked.select(*part).distinct().join(ends.select(*part, "number"), part, "left").select(*part, full.alias("number"))
+    carried = buckets.join(ends.select(book, "number", "carry"), [book, "number"]).select(
+        *part, F.size("carry").alias("m"), F.posexplode("carry").alias("pos", "line")
     )
     served = (
-        ranked.filter(F.col("line").isNotNull())
-        .select(
-            book,
-            F.col("seen").alias("rank"),
-            "line",
-            F.explode(F.sequence(F.col("seen") + 1, F.col("seen") + n)).alias("seen"),
-        )
-        .groupBy(book, "seen")
+        own.select(*part, F.col("rank").cast("long").alias("rank"), "line")
+        .unionByName(carried.select(*part, (F.col("pos") - F.col("m") + 1).cast("long").alias("rank"), "line"))
+        .withColumn("seen", F.explode(F.sequence(F.col("rank"), F.col("rank") + n - 1)))
+        .groupBy(*part, "seen")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("ls"))
-        .select(
-            book,
-            "seen",
-            F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("previous"),
-        )
+        .select(*part, "seen", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("previous"))
     )
-    return ranked.join(served, [book, "seen"]).select(*keys, "previous")
+    return ranked.join(served, [*part, "seen"]).select(*keys, "previous")

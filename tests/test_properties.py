@@ -179,3 +179,20 @@ def test_anchors_are_the_rarest_pieces(spark):
     want = {(k, n) for o, k, t in texts for n, w in enumerate(words[:300]) if o == "p" and f"the great {w}" in (t or "")}
     assert rows == want and len(want) >= 100
     assert found <= 2 * len(want)  # by their first pieces all 300 are candidates of each of 100 texts
+
+
+@pytest.mark.parametrize("bits", [0, 2, 14])
+def test_previous_summaries_cross_buckets(spark, bits):
+    """Sparse and dense summaries, empty buckets, many chapters behind the last summary."""
+    rng = random.Random(bits)
+    chapters = [(b, c) for b, size in (("a", 60), ("b", 25), ("c", 3)) for c in range(size)]
+    has = [(b, c) for b, c in chapters if (b == "a" and (c < 9 or c in (30, 31))) or (b == "b" and rng.random() < 0.4)]
+    summaries = spark.createDataFrame([(b, c, f"t{c}", f"s{c}") for b, c in has], "project_id string, chapter_index int, title string, summary string")
+    asked = spark.createDataFrame(chapters, "project_id string, chapter_index int")
+    got = {(r.project_id, r.chapter_index): r.previous for r in previous_summaries(asked, summaries, bits=bits).collect()}
+    want = {}
+    for b, c in chapters:
+        lines = [f"t{x}：s{x}" for y, x in has if y == b and x < c][-3:]
+        if lines:
+            want[b, c] = "\n".join(lines)
+    assert got == want

@@ -21,6 +21,19 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+_memos: dict[str, dict] = {}
+
+
+def only_memo(owner: str, memo: dict) -> None:
+    """Empty the memos of other operators: a worker process outlives its tasks and would keep them all."""
+    if len(_memos) != 1 or owner not in _memos:
+        for held in _memos.values():
+            if held is not memo:
+                held.clear()
+        _memos.clear()
+        _memos[owner] = memo
+
+
 def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """``mapInArrow`` for functions that turn some rows into one batch; few rows at once bound the memory."""
 

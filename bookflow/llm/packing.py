@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import Batches
+from bookflow.llm.common import Batches, only_memo
 from bookflow.session import materialize
 
 SIZE = 2048
@@ -86,6 +86,7 @@ def tokenize(
 
     def run(batches: Batches) -> Batches:
         words = _Words.of(path)
+        only_memo("packing", words)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import crc_bucket, map_rows
+from bookflow.llm.common import crc_bucket, map_rows, only_memo
 from bookflow.session import materialize
 
 FOLDS = 5
@@ -59,6 +59,7 @@ _ids = _Ids()
 
 def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words of the texts, and the positions where each text starts and ends."""
+    only_memo("toxicity", _ids)
     parts = [list(map(_ids.__getitem__, filter(None, _SPLIT((t or "").lower())))) for t in texts]
     ends = np.cumsum([0, *map(len, parts)])
     flat = np.fromiter((i for p in parts for i in p), np.int64, int(ends[-1]))

@@ -3,7 +3,9 @@
 Documents are reduced to cells (source, language, topic) of token counts. Iterative proportional
 fitting finds one factor per source, language and topic so that the weighted tokens of every margin
 have their target share. Factors of sources stay in a table, as sources may be many; languages and
-topics are few, so one job per sweep brings their cross table, never a cell, to the driver.
+topics are few, so one job per sweep brings their cross table, never a cell, to the driver. A cell
+cannot give more than all its tokens: cells that would are taken whole, and the others are raked
+again to what is left of the margins.
 """
 
 from __future__ import annotations
@@ -18,6 +20,14 @@ from bookflow.session import materialize
 MAX_VALUES = 4096
 SWEEPS = 200
 TOLERANCE = 1e-9
+#: When the cells that are not taken whole are raked again: largest sum of a margin's errors as a part of its
+#: total, and sweeps at most; the next round goes on from there.
+CALIBRATED = 1e-5
+ROUND_SWEEPS = 40
+#: Sweeps in which errors have to fall by a hundredth for raking to go on.
+PATIENCE = 10
+#: Tolerance of a probability of 1.
+WHOLE = 1e-9
 #: Share of all tokens that a sample has.
 SHARE = 0.5
 #: Targets are token counts to these powers where none are given: below 1, small margins gain.
@@ -73,6 +83,87 @@ def _shares(totals: dict[str, float], power: float, given: dict[str, float] | No
     return np.array(wanted) / (sum(wanted) or 1.0)
 
 
+def _source_shares(cells: DataFrame, given: dict[str, float] | None) -> DataFrame:
+    """(source, total, target): target shares of the sources that have tokens."""
+    sources = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("total")).where("total > 0")
+    if given:
+        pairs = cells.sparkSession.createDataFrame(list(given.items()), "source string, target double")
+        sources = sources.join(pairs, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    else:
+        sources = sources.withColumn("target", F.pow("total", F.lit(POWERS["source"])))
+    sources = materialize(sources, "sources")
+    scale = sources.agg(F.sum("target")).first()[0] or 1.0
+    return sources.withColumn("target", F.col("target") / F.lit(float(scale)))
+
+
+def _place(name: str, values: list[str]) -> Column:
+    """Index of the column ``name`` in ``values``."""
+    indexes = F.array(*[F.lit(i) for i in range(len(values))])
+    return F.element_at(F.map_from_arrays(F.array(*map(F.lit, values)), indexes), F.col(name))
+
+
+class _Factors:
+    """Factors of languages and topics, kept from one raking to the next as its start."""
+
+    def __init__(self, langs: list[str], topics: list[str]):
+        self.langs, self.topics = langs, topics
+        self.b, self.c = np.ones(len(langs)), np.ones(len(topics))
+
+    def raked(
+        self, cells: DataFrame, wanted: DataFrame, want_l: np.ndarray, want_t: np.ndarray, again: bool = False
+    ) -> DataFrame:
+        """Add ``raked``, such that tokens times ``raked`` meet ``wanted`` (source, target), want_l and want_t.
+
+        Sources are met exactly. ``again`` stops when the other errors are small or fall no more, as they
+        do where the cells cannot meet all targets.
+        """
+        by_source = cells.groupBy("source").agg(
+            F.collect_list(
+                F.struct(
+                    _place("lang", self.langs).alias("l"),
+                    _place("topic", self.topics).alias("t"),
+                    F.col("tokens").cast("double").alias("n"),
+                )
+            ).alias("cells")
+        )
+        by_source = materialize(by_source.join(wanted.select("source", "target"), "source"), "sources")
+
+        def factor() -> Column:
+            bs, cs = _array(self.b), _array(self.c)
+            mass = F.aggregate(
+                "cells", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(bs, x["l"]) * F.get(cs, x["t"])
+            )
+            return F.when(mass > 0, F.col("target") / mass).otherwise(0.0)
+
+        errors: list[float] = []
+        for _ in range(ROUND_SWEEPS if again else SWEEPS):
+            table = np.zeros((len(self.b), len(self.c)))
+            cross = by_source.select(factor().alias("a"), F.explode("cells").alias("x"))
+            for r in cross.groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("n")).collect():
+                table[r["l"], r["t"]] = r["n"]
+            mass_l = table @ self.c
+            off = [np.abs(self.b * mass_l - want_l).sum(), np.abs(self.c * (self.b @ table) - want_t).sum()]
+            errors.append(max(off) / max(want_l.sum(), 1e-300))
+            if again and (errors[-1] < CALIBRATED or len(errors) > PATIENCE and errors[-1] > 0.99 * errors[-PATIENCE - 1]):
+                break
+            new_b = np.divide(want_l, mass_l, out=np.zeros_like(self.b), where=mass_l > 0)
+            mass_t = new_b @ table
+            new_c = np.divide(want_t, mass_t, out=np.zeros_like(self.c), where=mass_t > 0)
+            # a common factor may move between the margins: compare the products
+            product = np.outer(new_b, new_c)
+            moved = np.abs(product - np.outer(self.b, self.c)).max() / max(product.max(), 1e-300)
+            self.b, self.c = new_b, new_c
+            if not again and moved < TOLERANCE:
+                break
+        raked = (
+            F.col("a")
+            * F.get(_array(self.b), _place("lang", self.langs))
+            * F.get(_array(self.c), _place("topic", self.topics))
+        )
+        joined = cells.join(by_source.select("source", factor().alias("a")), "source", "left")
+        return joined.withColumn("raked", F.coalesce(raked, F.lit(0.0))).drop("a")
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Add ``weight`` per token to ``cells`` (source, lang, topic, tokens).
 
@@ -81,99 +172,152 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     """
     targets = targets or {}
     langs, topics = _margin(cells, "lang"), _margin(cells, "topic")
-    place = {
-        name: F.map_from_arrays(F.array(*map(F.lit, vs)), F.array(*[F.lit(i) for i in range(len(vs))]))
-        for name, vs in (("lang", langs), ("topic", topics))
-        if vs
-    }
-    if not place:
+    if not langs:
         return cells.withColumn("weight", F.lit(0.0))
-    by_source = cells.groupBy("source").agg(
-        F.sum("tokens").cast("double").alias("total"),
-        F.collect_list(
-            F.struct(
-                F.element_at(place["lang"], F.col("lang")).alias("l"),
-                F.element_at(place["topic"], F.col("topic")).alias("t"),
-                F.col("tokens").cast("double").alias("n"),
-            )
-        ).alias("cells"),
-    )
-    if given := targets.get("source"):
-        pairs = cells.sparkSession.createDataFrame(list(given.items()), "source string, target double")
-        by_source = by_source.join(pairs, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
-    else:
-        by_source = by_source.withColumn("target", F.pow("total", F.lit(POWERS["source"])))
-    by_source = materialize(by_source.where("total > 0"), "sources")
-    scale = by_source.agg(F.sum("target")).first()[0] or 1.0
-
-    want_l = _shares(langs, POWERS["lang"], targets.get("lang"))
-    want_t = _shares(topics, POWERS["topic"], targets.get("topic"))
-    b, c = np.ones(len(langs)), np.ones(len(topics))
-
-    def factor() -> Column:
-        bs, cs = _array(b), _array(c)
-        mass = F.aggregate(
-            "cells", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(bs, x["l"]) * F.get(cs, x["t"])
-        )
-        return F.when(mass > 0, F.col("target") / F.lit(float(scale)) / mass).otherwise(0.0)
-
-    for _ in range(SWEEPS):
-        table = np.zeros((len(b), len(c)))
-        cross = by_source.select(factor().alias("a"), F.explode("cells").alias("x"))
-        for r in cross.groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("n")).collect():
-            table[r["l"], r["t"]] = r["n"]
-        mass_l = table @ c
-        new_b = np.divide(want_l, mass_l, out=np.zeros_like(b), where=mass_l > 0)
-        mass_t = new_b @ table
-        new_c = np.divide(want_t, mass_t, out=np.zeros_like(c), where=mass_t > 0)
-        # a common factor may move between the margins: compare the products
-        moved = np.abs(np.outer(new_b, new_c) - np.outer(b, c)).max() / max(np.outer(new_b, new_c).max(), 1e-300)
-        b, c = new_b, new_c
-        if moved < TOLERANCE:
-            break
-    factors = by_source.select("source", factor().alias("a"))
-    weight = F.col("a") * F.get(_array(b), F.element_at(place["lang"], F.col("lang"))) * F.get(
-        _array(c), F.element_at(place["topic"], F.col("topic"))
+    raked = _Factors(list(langs), list(topics)).raked(
+        cells,
+        _source_shares(cells, targets.get("source")),
+        _shares(langs, POWERS["lang"], targets.get("lang")),
+        _shares(topics, POWERS["topic"], targets.get("topic")),
     )
-    joined = cells.join(factors, "source", "left")
-    return joined.withColumn("weight", F.when(F.col("tokens") > 0, F.coalesce(weight, F.lit(0.0))).otherwise(0.0)).drop("a")
+    return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked")).otherwise(0.0)).drop("raked")
+
 
+def _filled(wanted: np.ndarray, room: np.ndarray, total: float) -> np.ndarray:
+    """``wanted`` scaled to ``total`` where no value gets more than its room."""
+    wanted, out = np.where(room > 0, np.maximum(wanted, 0.0), 0.0), np.zeros_like(room)
+    open_ = wanted > 0
+    while open_.any():
+        scaled = wanted * ((total - out[~open_].sum()) / wanted[open_].sum())
+        full = open_ & (scaled >= room)
+        if not full.any():
+            return np.where(open_, scaled, out)
+        out[full], open_ = room[full], open_ & ~full
+    return out
 
-def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
-    """Add ``probability`` = min(1, k weight), k such that the expected tokens are ``share`` of all.
 
-    Cells that reach 1 are taken whole and fall short of their target; the others share the rest.
-    Without enough weighted tokens every weighted cell is taken whole.
+def _scale(df: DataFrame, wanted: str, room: str, total: float) -> float:
+    """k such that the sum of least(room, k wanted) is ``total``, of rows that want something.
+
+    The sum grows with k: k is narrowed down, 32 values a job.
     """
-    total, weighted, reach, least = (
-        cells.agg(
-            F.sum("tokens"),
-            F.sum(F.when(F.col("weight") > 0, F.col("tokens"))),
-            F.sum(F.col("tokens") * F.col("weight")),
-            F.min(F.when(F.col("weight") > 0, F.col("weight"))),
-        ).first()
-    )
+    some = df.where((F.col(wanted) > 0) & (F.col(room) > 0))
+    reach, rooms, ratio = some.agg(F.sum(wanted), F.sum(room), F.max(F.col(room) / F.col(wanted))).first()
+    if not reach:
+        return 0.0
+    low, high = total / reach, float(ratio)
+    if total >= rooms or low >= high:
+        return max(low, high)
+    sum_at = lambda k: F.sum(F.least(F.col(room), F.lit(float(k)) * F.col(wanted)))
+    for _ in range(4):
+        grid = np.geomspace(low, high, 32)
+        got = np.array(some.agg(*[sum_at(k).alias(f"k{i}") for i, k in enumerate(grid)]).first(), float)
+        i = min(max(int(np.searchsorted(got, total)), 1), 31)
+        low, high = float(grid[i - 1]), float(grid[i])
+        if not low < high:
+            return high
+    if got[i] > got[i - 1]:
+        return low + (high - low) * min(max((total - got[i - 1]) / (got[i] - got[i - 1]), 0.0), 1.0)
+    return low
+
+
+def calibrate(
+    cells: DataFrame, share: float = SHARE, targets: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
+    """Add ``probability``, such that expected tokens are ``share`` of all and margins meet their targets.
+
+    Probabilities follow the weights. Cells that reach 1 are taken whole; the others are raked again
+    to what is left of every margin, until no other cell reaches 1. A value whose tokens do not
+    suffice is taken whole, and what it lacks goes to the other values in proportion. Where the cells
+    that exist allow no sample that meets all margins, sources come first; ``reached`` tells what is
+    met. Without enough weighted tokens every weighted cell is taken whole.
+    """
+    targets = targets or {}
+    total, weighted = cells.agg(
+        F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens")))
+    ).first()
     if not weighted:
         return cells.withColumn("probability", F.lit(0.0))
-    budget = share * total
-    low, high = budget / reach, 1.0 / least
-    expected = lambda k: F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(float(k)) * F.col("weight")))
+    budget = float(share * total)
     if budget >= weighted:
-        low = high
-    for _ in range(4):  # the expected tokens grow with k: narrow k down, 32 values a job
-        if not low < high:
-            break
-        grid = np.geomspace(low, high, 32)
-        got = np.array(cells.agg(*[expected(k).alias(f"k{i}") for i, k in enumerate(grid)]).first(), float)
-        i = min(max(int(np.searchsorted(got, budget)), 1), 31)
-        low, high = float(grid[i - 1]), float(grid[i])
-        if got[i] > got[i - 1]:
-            k = low + (high - low) * min(max((budget - got[i - 1]) / (got[i] - got[i - 1]), 0.0), 1.0)
+        return cells.withColumn("probability", F.when(F.col("weight") > 0, 1.0).otherwise(0.0))
+    langs, topics = _margin(cells, "lang"), _margin(cells, "topic")
+    want_l = budget * _shares(langs, POWERS["lang"], targets.get("lang"))
+    want_t = budget * _shares(topics, POWERS["topic"], targets.get("topic"))
+    sources = _source_shares(cells, targets.get("source"))
+    factors = _Factors(list(langs), list(topics))
+    # weighted tokens add up to 1
+    state = cells.withColumn("probability", F.lit(budget) * F.col("weight")).withColumn("whole", F.lit(False))
+    while True:
+        state = materialize(state.withColumn("now", F.col("whole") | (F.col("probability") > 1 - WHOLE)), "calibrated")
+        fresh, taken = state.agg(
+            F.count_if(F.col("now") & ~F.col("whole")), F.sum(F.when(F.col("now"), F.col("tokens")))
+        ).first()
+        if not fresh:
+            return state.drop("whole", "now")
+        left = budget - taken
+        state = state.withColumn("whole", F.col("now")).drop("now")
+        rest = state.where(~F.col("whole") & (F.col("weight") > 0)).drop("probability")
+        kept = state.where("whole").withColumn("probability", F.lit(1.0))
+        none = state.where(~F.col("whole") & (F.col("weight") <= 0)).withColumn("probability", F.lit(0.0))
+
+        def taken_and_room(*names: str) -> DataFrame:
+            open_tokens = F.when(~F.col("whole") & (F.col("weight") > 0), F.col("tokens"))
+            return state.groupBy(*names).agg(
+                F.coalesce(F.sum(F.when(F.col("whole"), F.col("tokens"))), F.lit(0)).cast("double").alias("had"),
+                F.coalesce(F.sum(open_tokens), F.lit(0)).cast("double").alias("room"),
+            )
+
+        cross = taken_and_room("lang", "topic").collect()
+
+        def remaining(name: str, values: list[str], want: np.ndarray) -> np.ndarray:
+            had, room = np.zeros(len(values)), np.zeros(len(values))
+            at = {v: i for i, v in enumerate(values)}
+            for r in cross:
+                had[at[r[name]]] += r["had"]
+                room[at[r[name]]] += r["room"]
+            return _filled(want - had, room, left)
+
+        open_ = sources.join(taken_and_room("source"), "source").where("room > 0").select(
+            "source", "room", F.greatest(F.lit(0.0), F.lit(budget) * F.col("target") - F.col("had")).alias("wanted")
+        )
+        open_ = materialize(open_, "open")
+        k = _scale(open_, "wanted", "room", left)
+        wanted = open_.withColumn("target", F.least(F.col("room"), F.lit(k) * F.col("wanted")))
+        raked = factors.raked(
+            rest,
+            wanted,
+            remaining("lang", factors.langs, want_l),
+            remaining("topic", factors.topics, want_t),
+            again=True,
+        )
+        state = kept.unionByName(none).unionByName(raked.withColumnRenamed("raked", "probability"))
+
+
+def reached(cells: DataFrame, share: float = SHARE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(margin, value, tokens, target, expected) of calibrated ``cells``: shares of the sample, wanted and expected.
+
+    Where ``expected`` stays below ``target`` while ``tokens`` are more, the other margins forbid it.
+    """
+    targets = targets or {}
+    total = cells.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
+    rows = None
+    for name in ("source", "lang", "topic"):
+        some = cells.withColumnRenamed(name, "value").groupBy("value").agg(
+            F.sum("tokens").alias("tokens"),
+            (F.sum(F.col("tokens") * F.col("probability")) / F.lit(float(total))).alias("expected"),
+        )
+        if name == "source":
+            want = _source_shares(cells, targets.get(name)).select(F.col("source").alias("value"), "target")
         else:
-            k = low
-    if low == high:
-        k = high
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(k)) * F.col("weight")))
+            values = _margin(cells, name)
+            pairs = zip(values, map(float, _shares(values, POWERS[name], targets.get(name))))
+            want = cells.sparkSession.createDataFrame(list(pairs), "value string, target double")
+        part = some.join(want, "value", "left").select(
+            F.lit(name).alias("margin"), "value", "tokens", F.coalesce("target", F.lit(0.0)).alias("target"), "expected"
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def mix(
@@ -204,7 +348,7 @@ def mix(
     )
     cells = materialize(cells, "cells")
     weighted = materialize(rake(cells, targets), "weights")
-    known = materialize(calibrate(weighted, share), "probabilities").select(
+    known = materialize(calibrate(weighted, share, targets), "probabilities").select(
         *[F.col(n).alias(f"__{n}") for n in ("source", "lang", "topic", "weight", "probability")]
     )
     # a few cells are broadcast by their size on disk; many are joined by key, hot keys split by AQE

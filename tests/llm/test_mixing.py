@@ -127,7 +127,7 @@ def test_margins_after_whole_cells(spark):
     # rare pairs weigh most: (x, fr) is taken whole, and the other cells make up for what it lacks
     rows = [("x", "en", "a", 5000), ("x", "fr", "a", 10), ("y", "en", "a", 2000), ("y", "fr", "a", 9000), ("y", "fr", "b", 40)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    targets = {"source": {"x": 0.3, "y": 0.7}, "lang": {"en": 0.2, "fr": 0.8}, "topic": {"a": 0.5, "b": 0.5}}
+    targets = {"source": {"x": 0.2, "y": 0.8}, "lang": {"en": 0.3, "fr": 0.7}, "topic": {"a": 0.5, "b": 0.5}}
     mixed = mixing.calibrate(mixing.rake(cells, targets), 0.4, targets)
     assert all(0 <= r["probability"] <= 1 for r in mixed.collect())
     got = {(r["margin"], r["value"]): (r["target"], r["expected"]) for r in mixing.reached(mixed, 0.4, targets).collect()}

@@ -22,10 +22,10 @@ SWEEPS = 200
 TOLERANCE = 1e-9
 #: When the cells that are not taken whole are raked again: largest sum of a margin's errors as a part of its
 #: total, and sweeps at most; the next round goes on from there.
-CALIBRATED = 1e-5
-ROUND_SWEEPS = 40
-#: Sweeps in which errors have to fall by a hundredth for raking to go on.
-PATIENCE = 10
+CALIBRATED = 2e-4
+ROUND_SWEEPS = 12
+#: Sweeps in which errors have to fall by a tenth for raking to go on.
+PATIENCE = 4
 #: Tolerance of a probability of 1.
 WHOLE = 1e-9
 #: Share of all tokens that a sample has.
@@ -144,7 +144,7 @@ class _Factors:
             mass_l = table @ self.c
             off = [np.abs(self.b * mass_l - want_l).sum(), np.abs(self.c * (self.b @ table) - want_t).sum()]
             errors.append(max(off) / max(want_l.sum(), 1e-300))
-            if again and (errors[-1] < CALIBRATED or len(errors) > PATIENCE and errors[-1] > 0.99 * errors[-PATIENCE - 1]):
+            if again and (errors[-1] < CALIBRATED or len(errors) > PATIENCE and errors[-1] > 0.9 * errors[-PATIENCE - 1]):
                 break
             new_b = np.divide(want_l, mass_l, out=np.zeros_like(self.b), where=mass_l > 0)
             mass_t = new_b @ table
@@ -202,10 +202,13 @@ def _scale(df: DataFrame, wanted: str, room: str, total: float) -> float:
     The sum grows with k: k is narrowed down, 32 values a job.
     """
     some = df.where((F.col(wanted) > 0) & (F.col(room) > 0))
-    reach, rooms, ratio = some.agg(F.sum(wanted), F.sum(room), F.max(F.col(room) / F.col(wanted))).first()
+    ratio = F.col(room) / F.col(wanted)
+    reach, rooms, least, most = some.agg(F.sum(wanted), F.sum(room), F.min(ratio), F.max(ratio)).first()
     if not reach:
         return 0.0
-    low, high = total / reach, float(ratio)
+    low, high = total / reach, float(most)
+    if low <= least:  # all of them have room
+        return low
     if total >= rooms or low >= high:
         return max(low, high)
     sum_at = lambda k: F.sum(F.least(F.col(room), F.lit(float(k)) * F.col(wanted)))

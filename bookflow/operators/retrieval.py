@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +16,16 @@ from bookflow.functions.arrays import explode_rows
 from bookflow.functions.text import js_trim, non_empty, paragraphs, tokens
 from bookflow.operators.matching import contains_pairs, fits
 from bookflow.operators.ordering import joined_parts, running_totals
+from bookflow.session import materialize
 
 # Word runs up to this length are indexed by all their substrings; longer ones by anchors.
 SHORT_RUN = 32
 MAX_BANK_ROWS = 2000
 MAX_BANK_BYTES = 512 * 1024
+# Tokens that a scoring task takes out of an Arrow batch at a time.
+SLICE_TOKENS = 1 << 17
+# Each scoring function of a stage is a Python worker of its own in every task: so many to a stage.
+CHAIN = 4
 
 
 def parse_context_bank(raw: DataFrame) -> DataFrame:
@@ -102,8 +108,10 @@ def scores_udf(bank_runs: dict[str, list[list[str]]], k: int | None) -> Callable
     """Arrow UDF ``(group, tokens) -> struct<items, scores>``; ``bank_runs`` lists the word runs
     of each item of each group.
 
-    A task indexes the substrings of the runs once, so a token costs one lookup and a row adds up
-    weights. With ``k`` the best ``k`` come back in rank order, else all with a score.
+    A task indexes the substrings of the runs once. The distinct tokens of some rows are looked up
+    once, as integers that their rows share, and a row adds up weights; no more than SLICE_TOKENS
+    tokens are Python objects at a time. With ``k`` the best ``k`` come back in rank order, else all
+    with a score.
     """
 
     def scorer(runs: list[list[str]]):
@@ -118,40 +126,79 @@ def scores_udf(bank_runs: dict[str, list[list[str]]], k: int | None) -> Callable
                     parts.update(w[i:j] for i in range(len(w) - 1) for j in range(i + 2, len(w) + 1))
             for part in parts:
                 index.setdefault(part, []).append(item)
-        held = {part: np.array(items) for part, items in index.items()}
-        none = np.array([], np.int64)
+        held = {part: np.array(items, np.int32) for part, items in index.items()}
+        del index
 
-        def holders(token: str) -> np.ndarray:
-            short = held.get(token, none)
+        def holders(token: str) -> np.ndarray | None:
+            short = held.get(token)
             if not long_runs:
                 return short
             more = [item for item, run in long_runs if token in run]
-            return np.union1d(short, more).astype(np.int64) if more else short
+            return short if not more else np.union1d(none if short is None else short, more).astype(np.int32)
 
-        def score(tokens) -> tuple[np.ndarray, np.ndarray]:
-            found = [(h, min(6, len(t))) for t in tokens if len(h := holders(t))]
+        def score(found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
             if not found:
-                return nothing
+                return none, none
             weights = np.repeat([w for _, w in found], [len(h) for h, _ in found])
             totals = np.bincount(np.concatenate([h for h, _ in found]), weights, len(runs))
             items = np.flatnonzero(totals)
+            if k is not None and len(items) > k:
+                low = np.partition(totals[items], -k)[-k]
+                items = items[totals[items] >= low]  # with all that tie for the last place
             if k is not None:
                 items = items[np.argsort(-totals[items], kind="stable")[:k]]
-            return items.astype(np.int32), totals[items].astype(np.int64)
-
-        return score
-
-    nothing = (np.array([], np.int32), np.array([], np.int64))
+            return items, totals[items]
+
+        return holders, score
+
+    none = np.array([], np.int32)
+
+    def scored(groups: pa.Array, tokens: pa.Array, scorers: dict) -> pa.Array:
+        """One slice of rows."""
+        words = tokens.flatten().dictionary_encode()  # a null array has no words
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        codes, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+        known: dict[str, list] = {}
+        rows, start = [], 0
+        for group, end in zip(groups.to_pylist(), ends.tolist(), strict=True):
+            if group in scorers and end > start:
+                holders, score = scorers[group]
+                if group not in known:
+                    known[group] = [None] * len(distinct)
+                seen = known[group]
+                found = []
+                for code in codes[start:end].tolist():
+                    entry = seen[code]
+                    if entry is None:
+                        held = holders(distinct[code])
+                        entry = seen[code] = () if held is None else (held, min(6, len(distinct[code])))
+                    if entry:
+                        found.append(entry)
+                rows.append(score(found))
+            else:
+                rows.append((none, none))
+            start = end
+        offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
+        items, scores = (np.concatenate([none, *(r[i] for r in rows)]) for i in (0, 1))
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, pa.array(items.astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(scores.astype(np.int64))),
+            ],
+            ["items", "scores"],
+        )
 
-    @F.pandas_udf("items array<int>, scores array<bigint>")
-    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("items array<int>, scores array<bigint>")
+    def scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorers = {group: scorer(runs) for group, runs in bank_runs.items()}
         for groups, tokens in batches:
-            rows = [
-                scorers[g](t) if g in scorers and t is not None else nothing
-                for g, t in zip(groups, tokens)
-            ]
-            yield pd.DataFrame({"items": [r[0] for r in rows], "scores": [r[1] for r in rows]})
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(tokens):
+                before = sizes[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_TOKENS, side="right")))
+                yield scored(groups.slice(start, end - start), tokens.slice(start, end - start), scorers)
+                start = end
 
     return scores
 
@@ -222,14 +269,18 @@ def top_context(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bank_blocks(bank: DataFrame, rows: int = MAX_BANK_ROWS, size: int = MAX_BANK_BYTES) -> list[Column]:
+def bank_blocks(
+    bank: DataFrame, rows: int = MAX_BANK_ROWS, size: int = MAX_BANK_BYTES
+) -> list[tuple[Column, int, int]]:
     """Conditions that cut the bank into blocks of at most ``rows`` items and, but for one item, ``size`` bytes.
 
+    With each condition come the items and the bytes of its block.
+
     Each project is cut along running sums; runs of items of several projects may share a block. Only
     the bounds of the runs come to the driver.
     """
     if fits(bank, ["title", "text"], rows, size):
-        return [] if bank.isEmpty() else [F.lit(True)]
+        return [] if bank.isEmpty() else [(F.lit(True), rows, size)]
     width = F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("text", F.lit("")))
     narrow = bank.select("project_id", "item_idx", width.alias("__w"))
     summed = running_totals(
@@ -239,17 +290,22 @@ def bank_blocks(bank: DataFrame, rows: int = MAX_BANK_ROWS, size: int = MAX_BANK
     runs = summed.groupBy("project_id", cut.alias("cut")).agg(
         F.min("item_idx").alias("low"), F.max("item_idx").alias("high"), F.count("*").alias("n"), F.sum("__w").alias("w")
     )
-    blocks: list[Column] = []
-    n = w = 0
-    for r in runs.orderBy("project_id", "low").toLocalIterator():
-        own = F.col("project_id").eqNullSafe(r["project_id"]) & F.col("item_idx").between(r["low"], r["high"])
-        n, w = n + r["n"], w + r["w"]
-        if blocks and n <= rows and w <= size:
-            blocks[-1] = blocks[-1] | own
-        else:
-            blocks.append(own)
-            n, w = r["n"], r["w"]
-    return blocks
+    cut_at = [
+        (F.col("project_id").eqNullSafe(r["project_id"]) & F.col("item_idx").between(r["low"], r["high"]), r["n"], r["w"])
+        for r in runs.orderBy("project_id", "low").toLocalIterator()
+    ]
+    return together(cut_at, rows, size)
+
+
+def together(parts: list[tuple[Column, int, int]], rows: int, size: int) -> list[tuple[Column, int, int]]:
+    """Neighbouring parts of the bank as one, as long as both bounds hold."""
+    out: list[tuple[Column, int, int]] = []
+    for own, n, w in parts:
+        if out and out[-1][1] + n <= rows and out[-1][2] + w <= size:
+            before, m, v = out.pop()
+            own, n, w = before | own, m + n, v + w
+        out.append((own, n, w))
+    return out
 
 
 def best_context(
@@ -258,15 +314,20 @@ def best_context(
 ) -> DataFrame:
     """Add ``retrieved``: the ``k`` best items (``fields`` and ``score``) in rank order, exactly.
 
-    The bank goes to the tasks in blocks of at most ``block`` items and ``size`` bytes. A text is cut
-    into tokens once; each block's best ``k`` are ranked and merged inside the row, so no pair of a
-    text and an item ever leaves it.
+    The bank is cut into blocks of at most ``block`` items and ``size`` bytes; neighbouring blocks that
+    MAX_BANK_ROWS and MAX_BANK_BYTES hold are scored by one worker, since every scoring function costs a
+    Python process per task. A text is cut into tokens once; each worker's best ``k`` are ranked and
+    merged inside the row, so no pair of a text and an item ever leaves it. After CHAIN workers the rows
+    are written, so a stage's processes do not grow with the bank.
     """
     kinds = {"item_idx": "int"}
     item = ",".join(f"{f}:{kinds.get(f, 'string')}" for f in fields)
     kind = f"array<struct<{item},score:bigint>>"
     out = segs.withColumns({"__words": tokens(F.col(text)), "retrieved": F.array().cast(kind)})
-    for number, part in enumerate(bank_blocks(bank, block, size)):
+    blocks = together(bank_blocks(bank, block, size), MAX_BANK_ROWS, MAX_BANK_BYTES)
+    for number, (part, _, _) in enumerate(blocks):
+        if number and number % CHAIN == 0:
+            out = materialize(out, f"best{number}")
         scored = _score_small(out, bank.filter(part), F.col("__words"), k, [*fields])
         best = F.coalesce("scored", F.array())
         if number:

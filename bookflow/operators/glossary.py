@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,6 +112,54 @@ def small_glossary(terms: DataFrame) -> bool:
     return fits(sized, ["source", "target", "note", "__names"], max_rows=SMALL_TERMS)
 
 
+def found_udf(names: dict[str, list[list[bytes]]], limit: int | None) -> Callable[..., Column]:
+    """Arrow UDF ``(group, text as bytes) -> array<int>``: places of the group's terms, ``limit`` at most,
+    any of whose ``names`` the text contains.
+
+    A name is looked for only in texts that hold its first four bytes, which are found in one pass
+    as numbers, behind a bitmap of all names' first bytes.
+    """
+
+    def hashed(codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint32(2654435769)) >> np.uint32(16)
+
+    def finder(terms: list[list[bytes]]):
+        short: list[tuple[int, bytes]] = []
+        starts: dict[int, list[tuple[int, bytes]]] = {}
+        for place, own in enumerate(terms):
+            for name in own:
+                known = short if len(name) < 4 else starts.setdefault(int.from_bytes(name[:4], "little"), [])
+                known.append((place, name))
+        bitmap = np.zeros(1 << 16, bool)
+        bitmap[hashed(np.array([*starts], np.uint32))] = True
+
+        def find(text: bytes) -> list[int]:
+            found = {place for place, name in short if name in text}
+            if len(text) > 3:
+                one = np.frombuffer(text, np.uint8).astype(np.uint32)
+                codes = one[:-3] | one[1:-2] << np.uint32(8) | one[2:-1] << np.uint32(16) | one[3:] << np.uint32(24)
+                for code in set(codes[bitmap[hashed(codes)]].tolist()):
+                    for place, name in starts.get(code, ()):
+                        if place not in found and (len(name) == 4 or name in text):
+                            found.add(place)
+            return sorted(found)[:limit]
+
+        return find
+
+    @F.arrow_udf("array<int>")
+    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        finders = {group: finder(terms) for group, terms in names.items()}
+        for groups, texts in batches:
+            # one text at a time becomes an object
+            rows = [
+                finders[g](t.as_py()) if g in finders and t.is_valid else []
+                for g, t in zip(groups.to_pylist(), texts, strict=True)
+            ]
+            yield pa.array(rows, pa.list_(pa.int32()))
+
+    return places
+
+
 def join_small(
     segs: DataFrame, terms: DataFrame, any_name: bool, text: str, limit: int | None = None
 ) -> DataFrame:
@@ -117,13 +169,15 @@ def join_small(
     """
     entry = F.struct(F.col("term_idx"), _term().alias("term"), _needles(any_name).alias("needles"))
     lists = terms.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
-    joined = segs.join(F.broadcast(lists), "project_id", "left")
-    found = F.filter(
-        F.coalesce("__terms", F.array()),
-        lambda t: F.exists(t["needles"], lambda n: (n != "") & F.contains(F.coalesce(F.col(text), F.lit("")), n)),
-    )
-    kept = found if limit is None else F.slice(found, 1, limit)
-    return joined.select(*segs.columns, F.transform(kept, lambda t: t["term"]).alias("matched"))
+    names = {
+        r["project_id"]: [[n.encode() for n in own or [] if n] for own in r["needles"]]
+        for r in lists.select("project_id", F.col("__terms.needles").alias("needles")).collect()
+        if r["project_id"] is not None
+    }
+    found = found_udf(names, limit)("project_id", F.col(text).cast("binary"))
+    joined = segs.join(F.broadcast(lists), "project_id", "left").withColumn("__at", found)
+    matched = F.transform("__at", lambda i: F.get("__terms", i)["term"])
+    return joined.select(*segs.columns, F.coalesce(matched, F.array().cast(f"array<{TERM_TYPE}>")).alias("matched"))
 
 
 def _pairs(

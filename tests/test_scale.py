@@ -57,3 +57,19 @@ def test_scores_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, R.score_context(segs, bank, ["doc_id"], small=True).collect())) == want
 
 
+def test_terms_are_found_in_one_pass(spark):
+    """A text was searched once per term, in an interpreted expression."""
+    names = [("abcd", ["x"]), ("ab", [""]), ("abcde", None), ("bcdx", ["日本語"]), ("語", []), (None, ["q"]), ("a b", ["", None, "zz"])]
+    kind = "project_id string, term_idx int, source string, target string, aliases array<string>, note string"
+    terms = spark.createDataFrame([("a", i, s, "t", al, "n") for i, (s, al) in enumerate(names)], kind)
+    texts = ["abcd", "xabcde", "日本語 bcdx", "zz", "ab", "", None, "本語", "a b q", "abc", "ABCD"]
+    segs = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)] + [("b", 99, "abcd"), (None, 98, "abcd")], SEGS)
+
+    def expected(text, limit):
+        hits = [i for i, (s, al) in enumerate(names) if al is not None and any(n and text and n in text for n in (s, *al))]
+        return hits[:limit]
+
+    out = G.attach_terms(segs, terms, ["doc_id"], 2, small=True)
+    assert _python_steps(out) == 1
+    got = {r["doc_id"]: [t["term_idx"] for t in r["matched"]] for r in out.collect()}
+    assert got == {i: expected(t, 2) for i, t in enumerate(texts)} | {99: [], 98: []}

@@ -19,7 +19,7 @@ from bookflow.operators.ordering import ordinal
 from bookflow.schemas import MEMBERS
 from bookflow.session import materialize, scratch_dir
 from bookflow.sources.stores import is_opened, store
-from bookflow.sources.text_files import decode_udf
+from bookflow.sources.text_files import decoded
 
 CONTAINER = "META-INF/container.xml"
 
@@ -276,8 +276,8 @@ def epub_chapters(archives: Archives, spine: DataFrame) -> DataFrame:
     """
     wanted = spine.select("book_id", F.col("href").alias("member_path")).distinct()
     read = archives.read(wanted).withColumnRenamed("member_path", "href")
-    decoded = spine.join(read, ["book_id", "href"]).select(
-        "book_id", "pos", "href", decode_udf()("bytes")["text"].alias("html"), "problem"
+    opened = spine.join(read, ["book_id", "href"]).select(
+        "book_id", "pos", "href", decoded(F.col("bytes"))["text"].alias("html"), "problem"
     )
     numbered = F.concat(F.lit("Chapter "), (F.col("pos") + 1).cast("string"))
     page = F.struct(
@@ -285,7 +285,7 @@ def epub_chapters(archives: Archives, spine: DataFrame) -> DataFrame:
     )
     # blank pages are dropped inside the row: a filter would be pushed down and parse them twice
     readable = F.explode(F.filter(F.array(page), lambda p: (p["text"] != "") | p["problem"].isNotNull()))
-    parsed = decoded.select("book_id", "pos", F.col("href").alias("source_path"), readable.alias("p")).select(
+    parsed = opened.select("book_id", "pos", F.col("href").alias("source_path"), readable.alias("p")).select(
         "book_id", "pos", "p.title", "p.text", "source_path", "p.problem"
     )
     numbered_pages = ordinal(materialize(parsed, "pages"), ["book_id"], "pos", "chapter_index")

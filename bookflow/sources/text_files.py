@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ _WINDOWS = {
     b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 }
 
+# Characters of a batch of texts that leaves a Python worker.
+BATCH_BYTES = 8 * 1024 * 1024
 DECODED = "encoding string, score double, text string"
 
 
@@ -79,22 +81,55 @@ def detect(data: bytes) -> tuple[str, float, str]:
 
 def decode_udf() -> Callable[[Column], Column]:
     """Arrow UDF ``binary -> struct<encoding, score, text>``: the JVM's decoder knows no legacy
-    charsets and fails on malformed input."""
-
-    @F.pandas_udf(DECODED)
-    def decode(content: pd.Series) -> pd.DataFrame:
-        rows = [detect(bytes(b) if b is not None else b"") for b in content]
-        out = pd.DataFrame(rows, columns=["encoding", "score", "text"], dtype=object)
-        return out.astype({"score": "float64"})
+    charsets and fails on malformed input. One value at a time is decoded, and texts leave in batches
+    of about BATCH_BYTES."""
+
+    def batch(rows: list[tuple[str, float, str]]) -> pa.Array:
+        kinds = (pa.string(), pa.float64(), pa.string())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(columns, ["encoding", "score", "text"])
+
+    @F.arrow_udf(DECODED)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            rows, size = [], 0
+            for content in contents:
+                rows.append(detect(content.as_py() or b""))
+                size += len(rows[-1][2])
+                if size > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
     return decode
 
 
+def decoded(content: Column) -> dict[str, Column]:
+    """``encoding, score, text`` of bytes, as ``detect`` reads them.
+
+    Well-formed UTF-8 without a mark and without NUL is read where it is; only other bytes go to Python.
+    """
+    text = content.cast("string")
+    marked = F.startswith(content, F.lit(bytearray(BOMS[0][0])))
+    clean = F.coalesce(~marked & ~F.contains(content, F.lit(bytearray(1))) & F.is_valid_utf8(text), F.lit(False))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    cjk = F.least(count(_CJK.pattern), F.lit(200))
+    score = count("\ufffd") * 1000 + count(_CONTROL.pattern) * 60 - cjk * F.lit(0.5)
+    other = decode_udf()(F.when(~clean, content))
+    return {
+        "encoding": F.when(clean, "utf-8").otherwise(other["encoding"]),
+        "score": F.when(clean, score.cast("double")).otherwise(other["score"]),
+        "text": F.when(clean, text).otherwise(other["text"]),
+    }
+
+
 def decode_books(files: DataFrame) -> DataFrame:
     """``files(book_id, name, content)`` -> ``book_id, name, encoding, score, text``."""
-    return files.withColumn("d", decode_udf()("content")).select(
-        "book_id", "name", "d.encoding", "d.score", "d.text"
-    )
+    return files.select("book_id", "name", *[c.alias(n) for n, c in decoded(F.col("content")).items()])
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:

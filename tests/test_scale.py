@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bookflow.operators import glossary as G
 from bookflow.operators import retrieval as R
+from bookflow.sources import text_files as T
 
 BANK = "project_id string, item_idx int, title string, text string"
 SEGS = "project_id string, doc_id long, text string"
@@ -73,3 +74,26 @@ def test_terms_are_found_in_one_pass(spark):
     assert _python_steps(out) == 1
     got = {r["doc_id"]: [t["term_idx"] for t in r["matched"]] for r in out.collect()}
     assert got == {i: expected(t, 2) for i, t in enumerate(texts)} | {99: [], 98: []}
+
+
+def test_clean_utf8_is_decoded_in_place(spark):
+    """Every text went through Python, a batch of files at a time."""
+    values = [
+        b"", None, b"Hello", "héllo 日本語".encode(), b"\xef\xbb\xbfmark", b"\xff\xfeh\x00i\x00", b"a\x01b\x7f",
+        "こんにちは".encode("shift_jis"), "café".encode("latin-1"), b"nul\x00", "�\u0085\U0001f600".encode(),
+        b"\xed\xa0\x80", b"\xc0\x80", ("日" * 300).encode(), "x﻿".encode(),
+    ]
+    files = spark.createDataFrame([(str(i), "n", v) for i, v in enumerate(values)], "book_id string, name string, content binary")
+    got = {r["book_id"]: (r["encoding"], r["score"], r["text"]) for r in T.decode_books(files).collect()}
+    assert got == {str(i): T.detect(v or b"") for i, v in enumerate(values)}
+
+
+def test_only_other_bytes_reach_python(spark, monkeypatch):
+    def nothing(data):
+        if data:
+            raise ValueError("clean bytes in Python")
+        return "utf-8", 0.0, ""
+
+    monkeypatch.setattr(T, "detect", nothing)
+    files = spark.createDataFrame([("a", "n", "héllo".encode())], "book_id string, name string, content binary")
+    assert T.decode_books(files).first()["text"] == "héllo"

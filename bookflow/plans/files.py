@@ -307,7 +307,9 @@ def imported(spark, sf):
     numbered = header.withColumn("number", F.substring("project_id", 4, 9).cast("int"))
     whole = export_projects(numbered.filter(half == 0).drop("number"), sections, _stamp())
     lines = project_lines(numbered.filter(half == 1).drop("number"), {})
-    docs = PJ.parse_projects(whole).unionByName(PJ.line_headers(lines))
+    path = f"{scratch_dir(spark)}/documents"
+    write_documents(whole, path)
+    docs = PJ.read_projects(spark, path).unionByName(PJ.line_headers(lines))
     existing = chapters(spark, sf).select(F.col("book_id").alias("project_id")).distinct().select(
         "project_id",
         F.lit("old").alias("title"),

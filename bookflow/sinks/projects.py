@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookflow.functions.text import non_empty
+from bookflow.operators.matching import bounded_broadcast
 from bookflow.operators.tables import OPEN, redact
+from bookflow.session import materialize
 
 
 def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -33,28 +37,61 @@ def project_lines(header: DataFrame, sections: dict[str, tuple[DataFrame, str]])
 def export_projects(
     header: DataFrame, sections: dict[str, tuple[DataFrame, str]], exported_at: Column
 ) -> DataFrame:
-    """``project_id, json``: one whole document per project.
+    """``project_id, document, place, pos, json``: the ordered pieces of one document per header row.
 
     ``header`` names its columns as the document does; model keys in it are left out. A section named
-    ``chapters`` becomes the chapters of the document's book. A document is one row: for projects too
-    large for that, export ``project_lines`` instead.
+    ``chapters`` becomes the chapters of the document's book. A document's pieces by place, pos and json,
+    with a comma between two of one place, are its text; without sections it is one piece. A child row is
+    a piece, so no row, group or task holds a project.
     """
-    out = safe_header(header)
-    for name, (df, order) in sections.items():
+    stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    out = safe_header(header).withColumn("exportedAt", stamp)
+    names = list(sections)
+    fields = [c for c in out.columns if c != "project_id" and not (c == "book" and "chapters" in sections)]
+    title = F.to_json(F.struct("title")) if "chapters" in sections else F.lit("{}")
+    numbered = W.partitionBy("project_id").orderBy("json")
+    heads = (
+        out.select("project_id", flat_json(out, fields).alias("json"), title.alias("book"))
+        .withColumn("document", F.row_number().over(numbered))
+    )
+    first = [F.lit(0).alias("place"), F.lit(0).cast("long").alias("pos")]
+    if not names:
+        return heads.select("project_id", "document", *first, "json")
+    for name in names:
+        held = sections[name][0].select("project_id", F.lit(True).alias(f"__{name}")).distinct()
+        heads = heads.join(held, "project_id", "left")
+    heads = materialize(heads, "heads")
+
+    def opened(json: Column) -> Column:
+        return F.substring(json, 1, F.length(json) - 1)
+
+    # an object never opens empty, so that a comma may follow
+    made = [(0, opened(F.when(F.col("json") == "{}", '{"exportedAt":null}').otherwise(F.col("json"))))]
+    for i, name in enumerate(names):
+        held = F.col(f"__{name}").isNotNull()
+        start, end = F.when(held, f',"{name}":['), F.when(held, "]")
+        if name == "chapters":
+            glue = F.when(F.col("book") == "{}", "").otherwise(",")
+            book = F.concat(F.lit(',"book":'), opened(F.col("book")))
+            start = F.when(held, F.concat(book, glue, F.lit('"chapters":['))).otherwise(book)
+            end = F.when(held, "]}").otherwise("}")
+        made += [(3 * i + 1, start), (3 * i + 3, end)]
+    made.append((3 * len(names) + 1, F.lit("}")))
+    pieces = F.array(*[F.struct(F.lit(place).alias("place"), text.alias("json")) for place, text in made])
+    out = heads.select("project_id", "document", F.explode(pieces).alias("p")).select(
+        "project_id", "document", "p.place", F.lit(0).cast("long").alias("pos"), "p.json"
+    ).filter("json is not null")
+    keys = heads.select("project_id", "document")
+    for i, name in enumerate(names):
+        df, order = sections[name]
         fields = [c for c in df.columns if c not in ("project_id", order)]
-        row = F.struct(F.col(order).alias("__o"), F.struct(*fields).alias("__r"))
-        rows = (
-            df.groupBy("project_id")
-            .agg(F.sort_array(F.collect_list(row)).alias("__l"))
-            .select("project_id", F.transform("__l", lambda x: x["__r"]).alias(name))
+        rows = df.select("project_id", F.col(order).cast("long").alias("pos"), F.to_json(F.struct(*fields)).alias("json"))
+        out = out.unionByName(
+            rows.join(bounded_broadcast(keys), "project_id").select(
+                "project_id", "document", F.lit(3 * i + 2).alias("place"), "pos", "json"
+            )
         )
-        out = out.join(rows, "project_id", "left")
-    if "chapters" in sections:
-        out = out.withColumn("book", F.struct("title", "chapters")).drop("chapters")
-    stamp = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    stamped = out.withColumn("exportedAt", stamp)
-    fields = [c for c in stamped.columns if c != "project_id"]
-    return stamped.select("project_id", flat_json(stamped, fields).alias("json"))
+    return out
 
 
 def flat_json(df: DataFrame, fields: list[str]) -> Column:
@@ -90,5 +127,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One JSON document per line, in a folder per project."""
-    documents.select("project_id", "json").write.partitionBy("project_id").text(path)
+    """JSON documents below a folder per project: whole ones of a row, a line each, or the pieces of
+    ``export_projects``, which a task sorts, spilling, and writes one after the other."""
+    if "place" not in documents.columns:
+        documents.select("project_id", "json").write.partitionBy("project_id").text(path)
+        return
+    # never null, or the writer would sort the rows anew by their folder and mix up the pieces
+    folder = F.coalesce(non_empty(F.col("project_id")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    keys = ["project_id", "owner", "document"]
+    dealt = documents.withColumn("owner", F.col("project_id")).withColumn("project_id", folder).repartition(*keys)
+    listed = F.row_number().over(W.partitionBy(*keys, "place").orderBy("pos", "json"))
+    glued = dealt.withColumn("value", F.concat(F.when(listed > 1, ",").otherwise(""), F.col("json")))
+    ordered = glued.sortWithinPartitions(*keys, "place", "pos", "json")
+    ordered.select("value", "project_id").write.partitionBy("project_id").text(path)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bookflow.functions.json_slices import sliced
 from bookflow.functions.text import non_empty, sanitize_id
 from bookflow.operators.tables import OPEN, upsert
 from bookflow.schemas import PROJECT_DOCUMENT
+from bookflow.sources.stores import is_opened, store
 
+# Bytes of a slice of a document: readers of tables hold some 4000 rows at once. Bytes of a batch of slices.
+SLICE_BYTES, BATCH_BYTES = 32 * 1024, 8 * 1024 * 1024
 
 SECRETS = ("apiKey", "api_key")
 # The parts of a document that are tables of their own: where they are, and what numbers their rows.
@@ -24,21 +31,58 @@ SECTIONS = {
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document; a file holds one document over any number of lines."""
-    return parse_projects(spark.read.option("wholetext", "true").text(path), "value")
+    """Documents of files, which hold them over any number of lines, one after the other.
+
+    A task reads a file in blocks. A document beyond SLICE_BYTES is cut into slices, see ``sliced``, so no
+    row holds a project.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    if not files.filter(~is_opened(F.col("path"))).isEmpty():
+        return parse_projects(spark.read.text(path, wholetext=True), "value")
+
+    places = [at for at, _ in SECTIONS.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[bytes, int | None]]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    files_, place = store(name)
+                    with files_.open_input_file(place) as file:
+                        yield from sliced(file, places, SLICE_BYTES)
+
+        held, size = [], 0
+        for row in rows():
+            held.append(row)
+            size += len(row[0] or b"")
+            if size > BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        yield _batch(held)
+
+    texts = files.mapInArrow(run, "json binary, offset int")
+    return parse_projects(texts.withColumn("json", F.col("json").cast("string")))
+
+
+def _batch(rows: list[tuple[bytes, int | None]]) -> pa.RecordBatch:
+    texts, offsets = ([r[i] for r in rows] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(offsets, pa.int32())], ["json", "offset"])
 
 
 def parse_projects(lines: DataFrame, column: str = "json") -> DataFrame:
-    """The same from a column of JSON documents.
+    """The same from a column of JSON documents, or of slices with their ``offset``.
 
-    Fields that the schema does not name are kept in ``extra``, by name.
+    Fields that the schema does not name are kept in ``extra``, by name. A row without an ``offset`` is a
+    document or the first slice of one, which holds all but the sections' rows; the others hold rows of one
+    section after the first ``offset``.
     """
+    offset = F.col("offset") if "offset" in lines.columns else F.lit(None).cast("int")
     known = F.array(*[F.lit(n) for n in (*_document().names, *SECRETS)])
-    fields = F.from_json(column, OPEN)
+    fields = F.when(offset.isNull(), F.from_json(column, OPEN))
     return lines.select(
         F.from_json(column, PROJECT_DOCUMENT).alias("d"),
         F.map_filter(fields, lambda k, _: ~F.array_contains(known, k)).alias("extra"),
-    ).select("d.*", "extra")
+        offset.alias("offset"),
+    ).select("d.*", "extra", "offset")
 
 
 def _document() -> StructType:
@@ -70,7 +114,8 @@ def line_rows(lines: DataFrame, section: str, index: str) -> DataFrame:
 
 
 def project_headers(docs: DataFrame) -> DataFrame:
-    safe = docs.withColumn("project_id", sanitize_id(F.col("id"), "project"))
+    heads = docs.filter(F.col("offset").isNull())
+    safe = heads.withColumn("project_id", sanitize_id(F.col("id"), "project"))
     settings = F.map_filter("settings", lambda k, _: ~k.isin(*SECRETS))
     extra = ["extra"] if "extra" in docs.columns else []
     return safe.select(
@@ -87,10 +132,10 @@ def project_headers(docs: DataFrame) -> DataFrame:
 
 
 def _children(docs: DataFrame, column: str, index: str) -> DataFrame:
-    return docs.select(
-        sanitize_id(F.col("id"), "project").alias("project_id"),
-        F.posexplode(column).alias(index, "c"),
-    ).select("project_id", index, "c.*")
+    rows = docs.select(
+        sanitize_id(F.col("id"), "project").alias("project_id"), "offset", F.posexplode(column).alias(index, "c")
+    )
+    return rows.select("project_id", (F.col(index) + F.coalesce("offset", F.lit(0))).alias(index), "c.*")
 
 
 def project_chapters(docs: DataFrame) -> DataFrame:
@@ -123,7 +168,7 @@ def import_documents(
     out = {"projects": import_projects(docs, projects, now)}
     for section, existing in children.items():
         place, index = SECTIONS[section]
-        with_it = docs.filter(F.col(place).isNotNull())
+        with_it = docs.filter(F.col(place).isNotNull() & F.col("offset").isNull())
         rows = project_bank(docs) if section == "contextBank" else _children(docs, place, index)
         out[section] = replace_children(existing, with_it, rows)
     return out

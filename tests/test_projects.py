@@ -1,9 +1,11 @@
 """Project documents with fields that no schema names, and one import of all their tables."""
 
+import io
 import json
 
 from pyspark.sql import functions as F
 
+from bookflow.functions.json_slices import sliced
 from bookflow.operators.tables import OPEN, upsert
 from bookflow.sinks.projects import export_projects, project_lines, write_documents
 from bookflow.sources import projects as PJ
@@ -86,3 +88,53 @@ def tables(docs):
         s: PJ.project_bank(docs) if s == "contextBank" else PJ._children(docs, place, index)
         for s, (place, index) in PJ.SECTIONS.items()
     }
+
+
+def test_documents_in_slices():
+    """Large documents are cut at their sections, however the blocks of the file fall."""
+    text = 'a "b" [c], {d}: \\ \n é漢'
+    first = {"results": [{"title": text, "n": i} for i in range(40)], "id": "p", "x": {"results": [1]},
+             "book": {"title": "t", "chapters": [{"text": text}] * 30, "more": [[], {}]}, "qaIssues": []}
+    second = {"results": "none", "id": None}
+    content = (json.dumps(first, indent=1) + "\n" + json.dumps(second, ensure_ascii=False)).encode()
+    for block in (1, 7, 1 << 20):
+        for size in (1, 100, 1 << 20):
+            rows = list(sliced(io.BytesIO(content), ["book.chapters", "results", "qaIssues"], size, block))
+            heads = [json.loads(t) for t, offset in rows if offset is None]
+            for t, offset in rows:
+                if offset is not None:
+                    part = json.loads(t)
+                    assert part["id"] == "p" and len(t) < 600
+                    whole, more = (heads[0]["book"]["chapters"], part["book"]["chapters"]) if "book" in part else (
+                        heads[0]["results"], part["results"])
+                    assert len(whole) == offset
+                    whole.extend(more)
+            assert heads == [first, second]
+    for broken in (b"no json", b'{"a": [', b"", b" ", b'[{"id": 1}]'):
+        assert list(sliced(io.BytesIO(broken), ["results"], 100)) == [(broken, None)]
+    assert list(sliced(io.BytesIO(b'{"results": [1, 2'), ["results"], 2)) == [(None, None)]
+
+
+def test_large_projects_are_written_and_read_in_pieces(spark, tmp_path):
+    """No row holds a project, and what comes back is what one document would have held."""
+    ids = ["p", "p2", "q x", None]
+    header = spark.createDataFrame([(p, p, f"T {p}") for p in ids] + [("", "e", "E")], "project_id string, id string, title string")
+    n = 300
+    rows = [(p, i, f"c{i}", f'{p} "{i}", [x]\n' * 40) for p in ("p", "q x", None, "absent") for i in range(n)]
+    chaps = spark.createDataFrame(rows, "project_id string, i int, title string, text string").repartition(7)
+    results = chaps.filter("project_id = 'p'").select("project_id", "i", "title", F.col("text").alias("translatedText"))
+    pieces = export_projects(header, {"chapters": (chaps, "i"), "results": (results, "i")}, now())
+    assert pieces.agg(F.max(F.length("json"))).first()[0] < 2000
+    path = str(tmp_path / "out")
+    write_documents(pieces, path)
+    text = spark.read.text(f"{path}/project_id=p", wholetext=True).first()[0]
+    doc = json.loads(text)
+    assert [c["title"] for c in doc["book"]["chapters"]] == [f"c{i}" for i in range(n)] == [r["title"] for r in doc["results"]]
+    docs = PJ.read_projects(spark, path).cache()
+    assert sorted(r.title for r in docs.filter("title is not null").collect()) == ["E", "T None", "T p", "T p2", "T q x"]
+    assert docs.agg(F.max(F.size("book.chapters"))).first()[0] < n
+    got = sorted((r.project_id, r.chapter_index, r.title, r.text) for r in PJ.project_chapters(docs).collect())
+    want = sorted((p.replace(" ", "-"), i, c, t) for p, i, c, t in rows if p in ("p", "q x"))
+    assert got == want
+    assert sorted((r.result_index, r.title) for r in PJ.project_results(docs).collect()) == [(i, f"c{i}") for i in range(n)]
+    assert PJ.project_headers(docs).count() == 5

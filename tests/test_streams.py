@@ -59,3 +59,25 @@ def test_named_batches(spark, tmp_path):
     assert read_batches(spark, path, "key string", [1, 2]).count() == 0
     write_keyed(spark.createDataFrame([("a",)], "key string"), path, 2, ["key"])
     assert [(r.key, r.batch) for r in read_batches(spark, path, "key string", [1, 2]).collect()] == [("a", 2)]
+
+
+def test_progress_reads_the_segments_of_few_batches(spark, tmp_path):
+    """A batch meets the last fold and the batches since, in its own buckets; late and repeated rows change nothing."""
+    source, state, mark = (str(tmp_path / n) for n in ("in", "state", "mark"))
+    rows = [("j", "a", 1, "running"), ("j", "a", 3, "failed"), ("j", "a", 2, "completed"), (None, None, 1, None), ("j", "b", 1, "running")]
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        for row in rows:
+            frame = spark.createDataFrame([row], "job_id string, segment_id string, attempt int, status string")
+            timed = frame.withColumn("ts", F.timestamp_seconds(F.lit(5))).coalesce(1)
+            timed.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(ATTEMPTS).parquet(source)
+            P.stream_progress(stream, state, mark, fold=2).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    batches = {re.search(r"/(\w+/batch=\d+)/", f)[1] for f in P._segments(spark, state, 4).inputFiles()}
+    assert batches == {"segments/batch=3"}
+    wanted = spark.createDataFrame([("j", "b")], "job_id string, segment_id string")
+    assert {r.segment_id for r in P._before(spark, state, wanted, 5).collect()} == {"b"}
+    got = {r.job_id: (r.total, r.running, r.failed, r.completed) for r in P.read_progress(spark, state).collect()}
+    assert got == {"j": (2, 1, 1, 0), None: (1, 0, 0, 0)} or got == {"j": (2, 1, 1, 0)}

@@ -17,6 +17,8 @@ from bookflow.operators.matching import contains_pairs, fits
 
 # Separators of a glossary line, of its note, and of an alias list.
 LINE_PATTERN = rf"^(.+?)(?:[{C.WS_CLASS}]*(?:=>|->|=|：|:)[{C.WS_CLASS}]*)(.+)$"
+SHORT_PATTERN = r"^(.+?)(?:=>|->|=|：|:)(.+)$"
+LINE_BREAKS = "\n\r\x85\u2028\u2029"
 NOTE_SPLIT = rf"[{C.WS_CLASS}]+#[{C.WS_CLASS}]+|[{C.WS_CLASS}]+//[{C.WS_CLASS}]+"
 ALIAS_SPLIT = "[|,，、]"
 
@@ -30,18 +32,31 @@ TERM_TYPE = (
 
 def parse_glossary(raw: DataFrame) -> DataFrame:
     """``raw(project_id, glossary)`` -> glossary rows, one per line that is no comment."""
-    lined = raw.select("project_id", F.posexplode(F.split("glossary", "\r?\n")).alias("pos", "line"))
-    line = js_trim(F.col("line"))
-    kept = lined.select("project_id", "pos", line.alias("line")).filter(
+    lines = raw.select("project_id", F.split("glossary", "\r?\n").alias("lines"))
+    lined = explode_rows(lines, "lines", pos="pos", item="line")
+    kept = lined.select("project_id", "pos", js_trim(F.col("line")).alias("line")).filter(
         (F.col("line") != "") & ~F.startswith(F.col("line"), F.lit("#"))
     )
-    source = js_trim(F.regexp_extract("line", LINE_PATTERN, 1))
-    parts = F.split(F.regexp_extract("line", LINE_PATTERN, 2), NOTE_SPLIT)
-    parsed = kept.select(
+    # white space beside a separator is trimmed, not matched, but where it may break a line
+    broken = F.translate("line", LINE_BREAKS, "") != F.col("line")
+
+    def group(n: int) -> Column:
+        return F.when(broken, F.regexp_extract("line", LINE_PATTERN, n)).otherwise(
+            F.regexp_extract("line", SHORT_PATTERN, n)
+        )
+
+    matched = kept.select(
+        "project_id", "pos", "line", js_trim(group(1)).alias("source"),
+        F.ltrim(group(2), F.lit(C.WS_CHARS)).alias("rest"),
+    )
+    rest = F.col("rest")
+    noted = F.contains(rest, F.lit("#")) | F.contains(rest, F.lit("//"))
+    parts = F.when(noted, F.split(rest, NOTE_SPLIT)).otherwise(F.array(rest))
+    parsed = matched.select(
         "project_id",
         "pos",
-        F.coalesce(non_empty(source), F.col("line")).alias("source"),
-        F.when(source != "", parts).otherwise(F.array(F.lit(""))).alias("parts"),
+        F.coalesce(non_empty(F.col("source")), F.col("line")).alias("source"),
+        F.when(F.col("source") != "", parts).otherwise(F.array(F.lit(""))).alias("parts"),
     )
     return parsed.select(
         "project_id",

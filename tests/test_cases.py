@@ -250,3 +250,16 @@ def test_rejected_files(spark):
     assert got["a"].startswith("Only .txt") and got["c"] == "missing META-INF/container.xml"
     assert got["d"] == "missing OPF path" and got["e"] == "missing OPF file x.opf"
     assert got["f"] == "no readable XHTML chapters" and set(got) == set("abcdef")
+
+
+def test_glossary_lines_are_split_once(spark):
+    """White space beside a separator is no part of a value, whatever it is, and a text is split once."""
+    lines = ["a =  # n", "a =>", "=a=b", "b\u3000：\xa0c // d // e", "x # y", "a\u2028=\u2028b", "a\u2028b=c", "a= b // \x85"]
+    raw = spark.createDataFrame([("p", "\n".join(lines)), ("q", None), ("r", "")], "project_id string, glossary string")
+    parsed = G.parse_glossary(raw)
+    got = [(r.term_idx, r.source, r.target, r.note) for r in parsed.collect()]
+    assert got == [
+        (0, "a", "# n", ""), (1, "a", ">", ""), (2, "=a", "b", ""), (3, "b", "c", "d"), (4, "x # y", "", ""),
+        (5, "a", "b", ""), (6, "a\u2028b=c", "", ""), (7, "a", "b", ""),
+    ]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("split(glossary") == 1

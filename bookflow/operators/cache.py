@@ -88,27 +88,31 @@ def cache_lookup(segs: DataFrame, cache: DataFrame, use_cache: bool = True) -> D
     )
 
 
-def new_entries(results: DataFrame, cfg: JobConfig, now: Column) -> DataFrame:
-    """Cache rows for fresh results with text; one per fingerprint."""
+def new_entries(results: DataFrame, cfg: JobConfig, now: Column, distinct: bool = False) -> DataFrame:
+    """Cache rows for fresh results with text; one per fingerprint.
+
+    Results that are known to be ``distinct`` by fingerprint are not grouped, texts and all.
+    """
     fresh = results.filter(
         (F.col("status") == "completed") & (F.coalesce("translated_text", F.lit("")) != "")
     )
     if not cfg.use_cache:
         fresh = fresh.limit(0)
-    return (
-        fresh.groupBy("fingerprint")
-        .agg(F.max(F.struct("translated_text", "usage")).alias("r"))
-        .select(
-            F.lit(C.CACHE_VERSION).alias("version"),
-            F.col("fingerprint").alias("key"),
-            now.alias("created_at"),
-            F.lit(cfg.provider).alias("provider"),
-            F.lit(cfg.model).alias("model"),
-            F.lit(cfg.source_language).alias("source_language"),
-            F.lit(cfg.target_language).alias("target_language"),
-            F.col("r.translated_text").alias("text"),
-            F.col("r.usage").alias("usage"),
-        )
+    row = F.struct("translated_text", "usage")
+    if distinct:
+        kept = fresh.select("fingerprint", row.alias("r"))
+    else:
+        kept = fresh.groupBy("fingerprint").agg(F.max(row).alias("r"))
+    return kept.select(
+        F.lit(C.CACHE_VERSION).alias("version"),
+        F.col("fingerprint").alias("key"),
+        now.alias("created_at"),
+        F.lit(cfg.provider).alias("provider"),
+        F.lit(cfg.model).alias("model"),
+        F.lit(cfg.source_language).alias("source_language"),
+        F.lit(cfg.target_language).alias("target_language"),
+        F.col("r.translated_text").alias("text"),
+        F.col("r.usage").alias("usage"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -17,13 +17,17 @@ from bookflow import constants as C
 from bookflow.config import JobConfig
 from bookflow.functions.text import clip_error, demo_translate, js_trim
 from bookflow.operators.cache import cache_lookup, new_entries
+from bookflow.operators.matching import fits
 from bookflow.operators.work import dedupe_work
 from bookflow.schemas import SEG_KEYS
-from bookflow.session import materialize
+from bookflow.session import PACKED, materialize
 
 # request fields -> (text, usage); raises on failure
 Translator = Callable[[dict], "tuple[str, str | None]"]
 
+# Hashes of shared calls, 8 bytes each, that may be sent to every task.
+MARKS = 1_000_000
+
 _LOG = "array<struct<attempt:int,status:string,error:string,ts:timestamp>>"
 _CALL_NAMES = ["fingerprint", "translated_text", "usage", "error", "log"]
 _CALL_SCHEMA = f"fingerprint string, translated_text string, usage string, error string, log {_LOG}"
@@ -86,10 +90,12 @@ def translate(
     partitions: int | None = None,
     concurrency: int = 1,
     sleep: Callable[[float], None] = time.sleep,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Call ``fn`` once per row of ``requests`` (which has a ``fingerprint``).
 
-    The number of partitions times ``concurrency`` bounds the calls in flight.
+    The number of partitions times ``concurrency`` bounds the calls in flight. A call's row starts
+    with the columns that ``keep`` names.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     call = with_retries(fn, max_retries, sleep)
@@ -99,15 +105,17 @@ def translate(
             for batch in batches:
                 rows = batch.to_dict("records")
                 done = [
-                    {"fingerprint": row["fingerprint"], **result}
+                    {**{c: row[c] for c in keep}, "fingerprint": row["fingerprint"], **result}
                     for row, result in zip(rows, pool.map(call, rows))
                 ]
-                yield pd.DataFrame(done, columns=_CALL_NAMES, dtype=object)
+                yield pd.DataFrame(done, columns=[*keep, *_CALL_NAMES], dtype=object)
 
-    return requests.repartition(n, "fingerprint").mapInPandas(run, _CALL_SCHEMA)
+    kinds = dict(requests.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), _CALL_SCHEMA])
+    return requests.repartition(n, "fingerprint").mapInPandas(run, schema)
 
 
-def demo_calls(requests: DataFrame, cfg: JobConfig) -> DataFrame:
+def demo_calls(requests: DataFrame, cfg: JobConfig, keep: Sequence[str] = ()) -> DataFrame:
     """The offline translator, as an expression."""
     text = demo_translate(
         F.col("text"), cfg.target_language, cfg.preset.name if cfg.preset else ""
@@ -119,6 +127,7 @@ def demo_calls(requests: DataFrame, cfg: JobConfig) -> DataFrame:
         F.lit(None).cast("timestamp").alias("ts"),
     )
     return requests.select(
+        *keep,
         "fingerprint",
         text.alias("translated_text"),
         F.lit('{"mode":"demo"}').alias("usage"),
@@ -134,6 +143,28 @@ class Batch:
     entries: DataFrame
 
 
+def _requests(texts: DataFrame, representatives: DataFrame, path: str | None) -> DataFrame:
+    """The rows of ``texts`` that are representatives, found by them or by the others' keys.
+
+    The fewer of the two are looked up: they are often few enough to be sent to the texts, which then
+    need no shuffle.
+    """
+    keys, keyed = representatives.select(*SEG_KEYS), texts.dropna(subset=SEG_KEYS)
+    others = materialize(keyed.select(*SEG_KEYS).join(keys, SEG_KEYS, "left_anti"), "others", path)
+    if others.count() < keys.count():
+        return keyed.join(others, SEG_KEYS, "left_anti")
+    return texts.join(keys, SEG_KEYS, "left_semi")
+
+
+def _shared(outcome: DataFrame, followers: DataFrame, path: str | None) -> DataFrame:
+    """The outcomes that followers may share: the hashes of few followers' calls are sent to them."""
+    mark = F.xxhash64("__call").alias("__mark")
+    marks = materialize(followers.select(mark).distinct(), "shared", path)
+    if not fits(marks, [], MARKS):
+        return outcome
+    return outcome.withColumn("__mark", mark).join(F.broadcast(marks), "__mark", "left_semi").drop("__mark")
+
+
 def translate_batch(
     segs: DataFrame,
     cache: DataFrame,
@@ -144,40 +175,49 @@ def translate_batch(
     partitions: int | None = None,
     concurrency: int = 1,
     sleep: Callable[[float], None] = time.sleep,
+    texts: DataFrame | None = None,
 ) -> Batch:
     """Translate the given unfinished segments, which carry their ``fingerprint``.
 
     Cache hits are taken as they are. With the cache on, equal requests are sent once and the
     result is shared; if that call fails, its followers stay pending for the next run. The calls'
     results are written before anything reads them, so no re-plan or retry repeats a call.
-    Joins carry keys and fingerprints; the request columns follow only into the calls.
+    Joins carry keys and fingerprints; the request columns follow only into the calls. If ``segs`` has
+    keys and fingerprints only, ``texts`` has the rows with the request columns, among others.
     """
+    texts = segs if texts is None else texts
     order = ["job_id", "segment_id", "chapter_index", "segment_index", "fingerprint"]
     looked = materialize(cache_lookup(segs.select(*order), cache, cfg.use_cache), "looked", path)
     misses = looked.filter(~F.col("hit")).select(*order)
+    # then a call belongs to one segment, whose result is the call's row as it is
+    single = cfg.use_cache and looked.groupBy(*SEG_KEYS).count().filter("count > 1").isEmpty()
     if cfg.use_cache:
         representatives, followers = dedupe_work(misses)
         representatives = materialize(representatives, "representatives", path)
+        followers = materialize(followers, "followers", path)
     else:
         representatives, followers = misses, misses.limit(0)
-    requests = segs.join(representatives.select(*SEG_KEYS), SEG_KEYS, "left_semi")
+    requests = _requests(texts, representatives, path)
     if not cfg.use_cache:
         # without sharing, every segment is its own call
         requests = requests.withColumn("fingerprint", F.concat_ws("\x1f", *SEG_KEYS))
     if fn is None:
-        calls = demo_calls(requests, cfg)
+        calls = demo_calls(requests, cfg, SEG_KEYS)
     else:
-        calls = translate(requests, fn, cfg.retries, partitions, concurrency, sleep)
-    calls = materialize(calls, "calls", path)
+        calls = translate(requests, fn, cfg.retries, partitions, concurrency, sleep, SEG_KEYS)
+    calls = materialize(calls, "answers", path, **PACKED)
 
     call_key = F.col("fingerprint") if cfg.use_cache else F.concat_ws("\x1f", *SEG_KEYS)
-    outcome = calls.select(
+    own = calls.select(
+        *SEG_KEYS,
         F.col("fingerprint").alias("__call"),
         F.when(F.col("error").isNull(), js_trim(F.col("translated_text"))).alias("translated_text"),
         "usage",
         clip_error(F.col("error")).alias("error"),
         F.size("log").alias("attempts"),
+        "log",
     )
+    outcome = own.drop(*SEG_KEYS, "log")
     failed = F.col("error").isNotNull()
     text = F.coalesce("translated_text", F.lit(""))
     fields = ["translated_text", "attempts", "error", "usage"]
@@ -195,13 +235,18 @@ def translate_batch(
     hits = looked.filter("hit").withColumns(
         {"attempts": F.lit(0), "error": F.lit(None).cast("string"), "usage": F.lit(None).cast("string")}
     )
-    first = representatives.withColumn("__call", call_key).join(outcome, "__call")
-    shared = followers.withColumn("__call", call_key).join(outcome, "__call").withColumns(
-        {"attempts": F.lit(0)}
-    )
+    if single:
+        called = own.filter(F.col("__call").isNotNull()).withColumn("fingerprint", F.col("__call"))
+    else:
+        logs = calls.select(F.col("fingerprint").alias("__call"), "log")
+        called = representatives.withColumn("__call", call_key).join(logs, "__call")
+    first = called if single else representatives.withColumn("__call", call_key).join(outcome, "__call")
+    followers = followers.withColumn("__call", call_key)
+    shared = followers.join(_shared(outcome, followers, path), "__call").withColumns({"attempts": F.lit(0)})
+    made = shaped(first, F.when(failed, "failed").otherwise("completed"))
     results = (
         shaped(hits, F.lit("cached"))
-        .unionByName(shaped(first, F.when(failed, "failed").otherwise("completed")))
+        .unionByName(made)
         .unionByName(
             shaped(
                 shared,
@@ -209,9 +254,8 @@ def translate_batch(
             ).withColumn("error", F.lit(None).cast("string"))
         )
     )
-    attempts = (
-        representatives.withColumn("__call", call_key)
-        .join(calls.select(F.col("fingerprint").alias("__call"), F.explode("log").alias("a")), "__call")
-        .select(*SEG_KEYS, "a.attempt", "a.status", "a.error", F.coalesce("a.ts", now).alias("ts"))
+    attempts = called.select(*SEG_KEYS, F.explode("log").alias("a")).select(
+        *SEG_KEYS, "a.attempt", "a.status", "a.error", F.coalesce("a.ts", now).alias("ts")
     )
-    return Batch(results, attempts, new_entries(results, cfg, now))
+    entries = new_entries(made, cfg, now, distinct=True) if single else new_entries(results, cfg, now)
+    return Batch(results, attempts, entries)

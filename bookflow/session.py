@@ -63,16 +63,21 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(made)
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+# Texts that are kept in several folders are packed more tightly than by default.
+PACKED = {"compression": "zstd"}
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back, so that no later branch, retry or
     re-plan evaluates it again.
 
     With a ``path`` of the caller's own, a committed earlier write is read instead of repeated.
+    ``options`` are the writer's.
     """
     spark = df.sparkSession
     target = f"{path or scratch_dir(spark)}/{name}"
     if path is None or not is_committed(spark, target):
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").options(**options).parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 

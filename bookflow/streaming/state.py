@@ -8,20 +8,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.session import is_committed
+from bookflow.session import PACKED, is_committed
 
 # Folders that a keyed batch is dealt over, by a hash of its keys.
 BUCKETS = 256
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    df.write.mode("overwrite").options(**PACKED).parquet(f"{path}/batch={batch_id}")
 
 
 def write_keyed(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
     """A batch with a folder for each bucket of keys, for readers that look up some keys."""
     bucketed = df.withColumn("bucket", bucket_of(keys))
-    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+    writer = bucketed.repartition("bucket").write.mode("overwrite").options(**PACKED)
+    writer.partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
 
 def bucket_of(keys: list[str]):

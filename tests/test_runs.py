@@ -187,6 +187,72 @@ def test_queue_of_unfinished_segments(spark, tmp_path):
     assert start(work, retry_failed=True) == {"s0": "completed", "s1": "cached", "s2": "completed"}
 
 
+def test_texts_of_calls_are_not_shuffled_into_results(spark):
+    """Without broadcasts too, a call's own result and cache entry are its row; copies and hits come out right."""
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = translate_batch(segments(spark, ["a", "b", "a", ""]), spark.createDataFrame([], CACHE), CFG, now())
+        for part in (first.entries, first.attempts):
+            assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+        again = translate_batch(segments(spark, ["c", "b", "c"]), first.entries, CFG, now())
+        status = [{r.segment_id: r.status for r in out.results.collect()} for out in (first, again)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+    assert status[0] == {"s0": "completed", "s1": "completed", "s2": "cached", "s3": "completed"}
+    assert status[1] == {"s0": "completed", "s1": "cached", "s2": "cached"}
+
+
+def test_repeated_and_missing_keys_keep_their_results(spark):
+    rows = [("j", "s0", 0, 1, "f-a", "a"), ("j", "s0", 0, 1, "f-a", "a"), ("j", "s1", 1, 1, "f-a", "a"),
+            (None, "s2", 2, 1, "f-b", "b"), ("k", "s3", 3, 1, "f-b", "b"), ("j", "s4", 4, 1, None, None)]
+    out = translate_batch(spark.createDataFrame(rows, SEGS), spark.createDataFrame([], CACHE), CFG, now())
+    # each of two equal rows takes both of their calls; a row without a job cannot lead its copies
+    assert sorted((r.segment_id, r.status) for r in out.results.collect()) == [
+        *[("s0", "completed")] * 4, *[("s1", "cached")] * 2]
+
+
+def test_a_batch_with_repeated_keys_meets_waiting_segments(spark, tmp_path):
+    src, state, checkpoint = (str(tmp_path / n) for n in ("src", "state", "checkpoint"))
+
+    def start(fn, texts, **options):
+        batch = segments(spark, texts)
+        batch.unionByName(batch).coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(SEGS).parquet(src)
+        stream_translate(source, state, checkpoint, CFG, fn, now(), **options).awaitTermination()
+        return {r.segment_id: (r.status, r.translated_text) for r in read_results(spark, state).collect()}
+
+    def refuse(request):
+        if request["text"] == "a":
+            raise TranslateError("no", status=401)
+        return "B", None
+
+    assert start(refuse, ["a", "a", "b"]) == {"s0": ("failed", None), "s1": ("pending", None), "s2": ("completed", "B")}
+    # s1 waits and arrives again, again behind s0, s3 is new; the cache has s2's text
+    got = start(refuse, ["a", "a", "b", "b"])
+    assert got == {"s0": ("failed", None), "s1": ("pending", None), "s2": ("completed", "B"), "s3": ("cached", "B")}
+
+
+def test_results_of_a_segment_finished_twice(spark, tmp_path):
+    from bookflow.streaming.state import write_batch
+
+    state, fields = str(tmp_path), [c.split()[0] for c in runs.RESULTS.split(", ")]
+
+    def put(number, rows):
+        made = [(j, s, "f", status, text, 1, None, None, None) for j, s, status, text in rows]
+        write_batch(spark.createDataFrame(made, runs.RESULTS).select(fields), f"{state}/results", number)
+
+    def read():
+        return sorted((r.segment_id, r.status, r.translated_text) for r in read_results(spark, state).collect())
+
+    put(1, [("j", "s0", "completed", "A"), ("j", "s1", "failed", None), (None, "s2", "pending", None)])
+    put(2, [("j", "s1", "completed", "B"), (None, "s2", "cached", "C"), ("j", "s3", "failed", None)])
+    plain = [("s0", "completed", "A"), ("s1", "completed", "B"), ("s2", "cached", "C"), ("s3", "failed", None)]
+    assert read() == plain
+    put(3, [("j", "s0", "completed", "A2"), (None, "s2", "failed", None)])
+    assert read() == [("s0", "completed", "A2"), ("s1", "completed", "B"), ("s2", "failed", None), ("s3", "failed", None)]
+
+
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     from bookflow import session
 

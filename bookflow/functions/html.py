@@ -85,12 +85,17 @@ def extract_attrs(c: Column) -> Column:
     pattern = rf"([\w:-]+)[{C.WS_CLASS}]*=[{C.WS_CLASS}]*([\"'])(.*?)\2"
     names = F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(3))
-    pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), html_decode(v).alias("v")))
-    last = F.filter(
-        pairs,
-        lambda pair, i: F.array_position(F.slice(names, i + 2, F.size(names)), pair["k"]) == 0,
-    )
-    return F.map_from_entries(last)
+
+    def decoded(v: Column) -> Column:
+        return F.when(F.contains(v, F.lit("&")), html_decode(v)).otherwise(v)
+
+    def last(found: Column) -> Column:
+        pairs = F.zip_with(found, values, lambda k, v: F.struct(k.alias("k"), decoded(v).alias("v")))
+        later = lambda pair, i: F.slice(found, i + 2, F.size(found))
+        return F.filter(pairs, lambda pair, i: F.array_position(later(pair, i), pair["k"]) == 0)
+
+    # bound once: inside the filter the names would be searched for again with every pair
+    return F.map_from_entries(let(names, last))
 
 
 def resolve_path(base: Column, href: Column) -> Column:

@@ -6,13 +6,14 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.functions.arrays import let
 from bookflow.functions.html import extract_attrs, html_body, html_title, resolve_path, strip_tags
 from bookflow.functions.text import non_empty
 from bookflow.operators.ordering import ordinal
@@ -218,7 +219,8 @@ def package_files(archives: Archives, root: str | None = None) -> DataFrame:
         .when(F.col("opf").isNull(), F.concat(F.lit(NO_OPF), "opf_path"))
     )
     found = placed.join(opf, "book_id", "left").select("book_id", "opf_path", "opf", "files", reason.alias("reason"))
-    return materialize(found, "packages", root)
+    # few rows, but each a whole package file
+    return materialize(found.repartition("book_id"), "packages", root)
 
 
 def package_title(opf: Column) -> Column:
@@ -230,20 +232,32 @@ def _tags(opf: Column, name: str) -> Column:
     return F.regexp_extract_all(opf, F.lit(rf"(?is)<{name}\b([^>]*?)/?>"), F.lit(1))
 
 
+def _parsed(tags: DataFrame, attrs: dict[str, str], kept: Callable[[Column], Column]) -> DataFrame:
+    """Replace ``raw`` by some attributes, by the names they get, of the tags that are kept.
+
+    A package is one value and few files hold all of them, so the tags are dealt first.
+    """
+    found = let(extract_attrs(F.col("raw")), lambda a: F.struct(*[a[name].alias(as_) for as_, name in attrs.items()]))
+    # tags are dropped inside the row: a filter would be pushed down and parse them again
+    one = F.explode(F.filter(F.array(found), kept)).alias("t")
+    rest = [c for c in tags.columns if c != "raw"]
+    return tags.repartition("book_id", "n").select(*rest, one).select(*rest, *[f"t.{c}" for c in attrs])
+
+
 def epub_spine(packages: DataFrame) -> DataFrame:
     """``book_id, pos, href``: readable pages in spine order, else in manifest order.
 
     Manifest and spine meet in an equi join. ``pos`` counts the pages before any of them turns
-    out to be missing from the archive.
+    out to be missing from the archive. The tags of a package are dealt over the tasks before their
+    attributes are parsed.
     """
     opf_dir = F.regexp_extract("opf_path", "(?s)^(.*/)", 1)
-    items = (
+    items = _parsed(
         packages.select(
             "book_id", opf_dir.alias("dir"), F.posexplode(_tags(F.col("opf"), "item")).alias("n", "raw")
-        )
-        .withColumn("a", extract_attrs(F.col("raw")))
-        .select("book_id", "n", "dir", F.col("a.id").alias("id"), F.col("a.href").alias("href"), F.col("a.media-type").alias("media"))
-        .filter((F.coalesce("id", F.lit("")) != "") & (F.coalesce("href", F.lit("")) != ""))
+        ),
+        {"id": "id", "href": "href", "media": "media-type"},
+        lambda t: (F.coalesce(t["id"], F.lit("")) != "") & (F.coalesce(t["href"], F.lit("")) != ""),
     )
     manifest = (
         items.groupBy("book_id", "id")
@@ -256,10 +270,10 @@ def epub_spine(packages: DataFrame) -> DataFrame:
             "book_id", "id", "first_n", resolve_path(F.col("last.dir"), F.col("last.href")).alias("href")
         )
     )
-    refs = (
-        packages.select("book_id", F.posexplode(_tags(F.col("opf"), "itemref")).alias("n", "raw"))
-        .select("book_id", "n", extract_attrs(F.col("raw"))["idref"].alias("id"))
-        .filter(F.col("id") != "")
+    refs = _parsed(
+        packages.select("book_id", F.posexplode(_tags(F.col("opf"), "itemref")).alias("n", "raw")),
+        {"id": "idref"},
+        lambda t: t["id"] != "",
     )
     in_spine = refs.join(manifest, ["book_id", "id"]).select("book_id", F.col("n").alias("at"), "href")
     fallback = manifest.join(in_spine.select("book_id").distinct(), "book_id", "left_anti").select(

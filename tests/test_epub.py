@@ -131,3 +131,30 @@ def test_no_files(spark):
     library = parse_files(empty)
     assert [t.count() for t in (library.books, library.chapters, library.rejects)] == [0, 0, 0]
     assert epub_pieces(spark.createDataFrame([], CHAPTERS)).count() == 0
+
+
+def test_tags_of_packages_are_dealt_over_tasks(spark, monkeypatch):
+    """Packages in one partition do not keep the parsing of their tags in its task; odd tags come out right."""
+    made = []
+
+    def seen(df, name, *args, **options):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name, *args, **options)
+
+    materialize = E.materialize
+    monkeypatch.setattr(E, "materialize", seen)
+    opf = (
+        '<manifest><item id="a" href="x.xhtml" media-type="text/html"/>'
+        '<ITEM id="b" id="c" href="d/../&amp;.xhtml" media-type="application/xhtml+xml"/>'
+        '<item id="a" href="y.xhtml" media-type="text/html"/><item id="n" media-type="text/html"/>'
+        '<item href="z.xhtml" media-type="text/html"/><item id="p" href="p.png" media-type="image/png"/></manifest>'
+    )
+    spine = '<spine><itemref idref="c"/><itemref/><itemref idref="p"/><itemref idref="a"/><itemref idref="a"/></spine>'
+    rows = [("k", "O/content.opf", opf + spine), ("f", "content.opf", opf), ("none", None, None)]
+    packages = spark.createDataFrame(rows, "book_id string, opf_path string, opf string").coalesce(1)
+    got = sorted((r.book_id, r.pos, r.href) for r in E.epub_spine(packages).collect())
+    assert got == [("f", 0, "y.xhtml"), ("f", 1, "&.xhtml"),
+                   ("k", 0, "O/&.xhtml"), ("k", 1, "O/y.xhtml"), ("k", 2, "O/y.xhtml")]
+    plan = dict(made)["spine"]
+    # each use of the tags stands above a shuffle of them by book and place
+    assert plan.count("REPARTITION_BY_COL") >= 2

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,23 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-_memos: dict[str, dict] = {}
+def memos() -> dict[str, dict]:
+    """The memos that this worker process keeps between tasks, by operator.
+
+    Functions travel by value and get new globals in every task; only what ``sys.modules`` holds stays.
+    """
+    return sys.modules.setdefault(name := "bookflow memos", ModuleType(name)).__dict__.setdefault("held", {})
 
 
 def only_memo(owner: str, memo: dict) -> None:
-    """Empty the memos of other operators: a worker process outlives its tasks and would keep them all."""
-    if len(_memos) != 1 or owner not in _memos:
-        for held in _memos.values():
-            if held is not memo:
-                held.clear()
-        _memos.clear()
-        _memos[owner] = memo
+    """Keep this memo and empty all others: a worker process outlives its tasks and would keep them all."""
+    held = memos()
+    if len(held) != 1 or held.get(owner) is not memo:
+        for other in held.values():
+            if other is not memo:
+                other.clear()
+        held.clear()
+        held[owner] = memo
 
 
 def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:

@@ -8,7 +8,6 @@ rank among the pieces of its length.
 from __future__ import annotations
 
 import zlib
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -17,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import Batches, only_memo
+from bookflow.llm.common import ROWS, Batches, memos, only_memo
 from bookflow.session import materialize
 
 SIZE = 2048
 #: Pieces of one length that share a task while ranks are given out, on average at most.
 BUCKET_ROWS = 1 << 16
-#: Word forms that a worker remembers, some 150 MB.
-MEMO_WORDS = 700_000
+#: Word forms that a worker remembers, some 80 MB.
+MEMO_WORDS = 400_000
+#: Bytes of ids that a worker holds before it hands them on, beside those of one document.
+HELD_BYTES = 1 << 22
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,14 +40,18 @@ class _Words(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = self.tokenizer.model.tokenize
 
     @staticmethod
-    @cache
     def of(path: str) -> _Words:
         """One memo per worker process, which outlives its tasks."""
-        return _Words(path)
+        words = memos().get("packing")
+        if words is None or words.path != path:
+            words = _Words(path)
+        only_memo("packing", words)
+        return words
 
     def _ids(self, word: str) -> list[int]:
         """Ids of one word. ASCII letters in lower case are one part as they stand, which the model can
@@ -84,28 +89,39 @@ def tokenize(
     end = int(end_id).to_bytes(4, "little")
     step = 4 * size
 
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        cols = [
+            pa.array(out[0], pa.int64()),
+            pa.array(out[1], pa.int32()),
+            *[pa.array(c, pa.int64()) for c in out[2:5]],
+        ]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            ids = pa.Array.from_buffers(pa.int32(), sum(out[3]), [None, pa.py_buffer(b"".join(out[5]))])
+            ends = pa.array(np.cumsum([0, *out[3]]), pa.int32())
+            cols, names = [*cols, pa.ListArray.from_arrays(ends, ids)], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches: Batches) -> Batches:
         words = _Words.of(path)
-        only_memo("packing", words)
-        for batch in batches:
+        for rows in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, (text or "").encode().split())) + end
+            held = 0
+            for doc, text in zip(rows.column(0), rows.column(1), strict=True):
+                ids = b"".join(map(words.__getitem__, (text.as_py() or "").encode().split())) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    for col, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=False):
+                    row = (doc.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part))
+                    for col, v in zip(out, row, strict=False):
                         col.append(v)
                     if with_ids:
-                        out[5].append(np.frombuffer(part, "<u4").astype(np.int32))
-            cols = [
-                pa.array(out[0], pa.int64()),
-                pa.array(out[1], pa.int32()),
-                *[pa.array(c, pa.int64()) for c in out[2:5]],
-            ]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols, names = [*cols, pa.array(out[5], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                        out[5].append(part)
+                        held += len(part)
+                        if held >= HELD_BYTES:
+                            yield batch_of(out)
+                            out, held = [[], [], [], [], [], []], 0
+            if out[0]:
+                yield batch_of(out)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

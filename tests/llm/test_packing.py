@@ -5,10 +5,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bookflow.llm import packing
+from bookflow.llm import common, packing
 from bookflow.llm import queries as Q
 
 from tests.llm.conftest import SF
@@ -74,6 +75,25 @@ def test_pipeline_keeps_ids(spark, odd):
         assert ids[r["doc_id"]] == want * (2 if r["doc_id"] == 2 else 1)
 
 
+def test_held_ids_are_handed_on(spark, odd, monkeypatch):
+    """Pieces of one text may leave a worker in several batches."""
+    want = sorted(map(str, packing.tokenize(odd, size=64, with_ids=True).collect()))
+    monkeypatch.setattr(packing, "HELD_BYTES", 1000)
+    monkeypatch.setattr(packing, "ROWS", 3)
+    assert sorted(map(str, packing.tokenize(odd, size=64, with_ids=True).collect())) == want
+
+
+def test_memos_of_other_operators_go():
+    """Each task of a worker process gets its functions by value, with globals of its own."""
+    packing_task, toxicity_task = (cloudpickle.loads(cloudpickle.dumps(common.only_memo)) for _ in range(2))
+    words, ids = {b"word": b"1234"}, {"word": 1}
+    packing_task("packing", words)
+    packing_task("packing", words)
+    assert words
+    toxicity_task("toxicity", ids)
+    assert ids and not words
+
+
 def naive(lengths, size):
     """Best-fit decreasing, one item at a time."""
     space = []

@@ -7,7 +7,11 @@ rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from codecs import charmap_decode
+from struct import pack as packed
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +30,24 @@ BUCKET_ROWS = 1 << 16
 MEMO_WORDS = 400_000
 #: Bytes of ids that a worker holds before it hands them on, beside those of one document.
 HELD_BYTES = 1 << 22
+#: The tokenizer's pattern, for ASCII in lower case.
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII that is neither letter nor digit nor white space, and starts no special token.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("<"))
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+#: Bytes as the tokenizer's model spells them: those without a glyph are moved up from 256 on.
+BYTE_LEVEL = "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
+#: Letters that the tokenizer does nothing to but to lower their case, up to Cyrillic, where these no
+#: longer change. The lower case of a capital sigma depends on its place in Python but not in the tokenizer.
+LETTERS = re.compile(
+    "[%s]+"
+    % "".join(
+        c
+        for c in map(chr, range(0x530))
+        if c.isalpha() and c.lower().isalpha() and c != "\u03a3" and is_normalized("NFC", c)
+    )
+)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,7 +56,9 @@ class _Words(dict):
     """White-space separated chunks and their ids as little-endian bytes.
 
     The tokenizer never joins characters across white space, so ids of a text are those of its
-    chunks in order. A sentence mark after a letter and ASCII case are split off here too.
+    chunks in order. A chunk is cut on where the tokenizer's own pattern cuts it, so that its parts are
+    remembered once for all chunks that hold them. What the model can take as it stands goes to it without
+    the tokenizer's other steps, which cost more than the model.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,24 +77,28 @@ class _Words(dict):
         only_memo("packing", words)
         return words
 
-    def _ids(self, word: str) -> list[int]:
-        """Ids of one word. ASCII letters in lower case are one part as they stand, which the model can
-        take without the steps before it."""
-        if word.isascii() and word.isalpha() and word.islower():
-            return [token.id for token in self.pieces(word)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif word.isascii() and b"<" not in word and word != word.lower():
-            ids = self[word.lower()]
-        else:
-            ids = np.array(self._ids(word.decode()), "<u4").tobytes()
+        ids = self._model(word) if word.isalpha() and word.islower() else self._parts(word)
         if len(self) < MEMO_WORDS:
             self[word] = ids
         return ids
 
+    def _model(self, part: bytes) -> bytes:
+        ids = [token.id for token in self.pieces(charmap_decode(part, "strict", BYTE_LEVEL)[0])]
+        return packed(f"<{len(ids)}I", *ids)
+
+    def _parts(self, word: bytes) -> bytes:
+        if word.isascii() and b"<" not in word:  # which may start a special token
+            if word.isalpha():
+                return self[word.lower()]
+            parts = ASCII_PARTS.findall(word.lower())
+            return self._model(word.lower()) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        stem = word.rstrip(MARKS)
+        if found := LETTERS.fullmatch(stem.decode()):
+            ids = self._model(found[0].lower().encode())
+            return ids if len(stem) == len(word) else ids + self[word[len(stem) :]]
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
 
 def tokenize(
     docs: DataFrame,

@@ -94,6 +94,37 @@ def test_memos_of_other_operators_go():
     assert ids and not words
 
 
+class Counted:
+    """A tokenizer that counts the calls of its ``encode``."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode(self, *args, **kwargs):
+        self.calls += 1
+        return self.tokenizer.encode(*args, **kwargs)
+
+
+def test_words_are_cut_like_the_tokenizer_cuts_them(monkeypatch):
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    words.tokenizer = counted = Counted(words.tokenizer)
+
+    def same(text):
+        want = np.array(counted.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return want == b"".join(map(words.__getitem__, text.encode().split()))
+
+    plain = "Don't STOP!!'s x_y(z) 3,14 &&& rock'n'roll we'll \x00\x1f\x7f a|b Éclair&&& straße, (ÜBER) ЖЁЛТЫЙ... señor*** "
+    assert same(plain.replace("(ÜBER)", "ÜBER)"))
+    assert counted.calls == 0  # all of it is taken without the whole tokenizer
+    odd = "<|endoftext|> a<|endoftext|>b. é<|startoftext|> <br> (ÜBER) ΣΑΣ ΟΔΟΣ, İ. İé e\u0301t\u0301. é\u0301, x\u0338 =\u0338 ²½ é² ǅ ʹ 語。 😀!"
+    assert all(map(same, [odd, *odd.split()]))
+    for c in map(chr, [*range(1, 0x600), *range(0x1E00, 0x2100)]):
+        assert all(map(same, (c, f"a{c}", f"{c}a", f"É{c}.", f"é{c}é", f"Ab'{c}", f"{c}'s"))), hex(ord(c))
+    monkeypatch.setattr(packing, "MEMO_WORDS", 0)
+    words.clear()
+    assert same(plain + odd) and not words
+
+
 def naive(lengths, size):
     """Best-fit decreasing, one item at a time."""
     space = []

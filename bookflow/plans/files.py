@@ -9,7 +9,7 @@ from bookflow.operators.tables import OPEN, order_listing
 from bookflow.plans import sql as S
 from bookflow.plans.adapters import bank, chapters, documents, table
 from bookflow.plans.registry import query
-from bookflow.session import materialize, scratch_dir
+from bookflow.session import PACKED, materialize, scratch_dir, wide_rows
 from bookflow.sinks.epub import (
     PAGE_HEAD,
     PAGE_STYLE,
@@ -211,8 +211,9 @@ def written_text(spark, sf):
 # --- project documents ------------------------------------------------------------------------------------------
 
 
-def _exported(spark, sf):
-    chaps = chapters(spark, sf).withColumn("project_id", F.col("book_id"))
+def _exported(spark, sf, chaps=None):
+    chaps = chapters(spark, sf) if chaps is None else chaps
+    chaps = chaps.withColumn("project_id", F.col("book_id"))
     header = chaps.select("project_id").distinct().select(
         "project_id",
         F.col("project_id").alias("id"),
@@ -265,10 +266,12 @@ def _section(df: DataFrame, section: str, pos: str, text: str) -> DataFrame:
 @query("export_projects", S.with_(S.BOOKS) + _EXPORTED)
 def exported_rows(spark, sf):
     """Documents written as files, one per project, and read back whole."""
-    path = f"{scratch_dir(spark)}/documents"
-    header, sections = _exported(spark, sf)
-    write_documents(export_projects(header, sections, _stamp()), path)
-    docs = materialize(PJ.read_projects(spark, path), "read")
+    path, kept = f"{scratch_dir(spark)}/documents", scratch_dir(spark)
+    with wide_rows(spark):
+        chaps = materialize(chapters(spark, sf), "chapters", kept, **PACKED)
+        header, sections = _exported(spark, sf, chaps)
+        write_documents(export_projects(header, sections, _stamp()), path, len(sections), spent=kept)
+        docs = materialize(PJ.read_projects(spark, path), "read", **PACKED)
     return (
         _section(PJ.project_chapters(docs), "chapters", "chapter_index", "text")
         .unionByName(_section(PJ.project_results(docs), "results", "result_index", "translatedText"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,11 +60,36 @@ def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch folders that this application has made; tables read from them end with it."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
     for folder in made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
     return len(made)
 
 
+def drop_scratch(spark: SparkSession, folder: str) -> None:
+    """Delete one folder of ``scratch_dir`` that nothing reads any more."""
+    _MADE[spark.sparkContext.applicationId].remove(folder)
+    _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def wide_rows(spark: SparkSession) -> Iterator[None]:
+    """For jobs that pass wide rows on through files: what runs inside deletes its shuffle files as each job
+    ends, not when the driver's memory is cleaned, and hands Python small batches."""
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Texts that are kept in several folders are packed more tightly than by default.
 PACKED = {"compression": "zstd"}
 

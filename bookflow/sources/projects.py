@@ -13,7 +13,7 @@ from bookflow.functions.json_slices import sliced
 from bookflow.functions.text import non_empty, sanitize_id
 from bookflow.operators.tables import OPEN, upsert
 from bookflow.schemas import PROJECT_DOCUMENT
-from bookflow.sources.stores import is_opened, store
+from bookflow.sources.stores import is_opened, open_file
 
 # Bytes of a slice of a document: readers of tables hold some 4000 rows at once. Bytes of a batch of slices.
 SLICE_BYTES, BATCH_BYTES = 32 * 1024, 8 * 1024 * 1024
@@ -31,7 +31,7 @@ SECTIONS = {
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of files, which hold them over any number of lines, one after the other.
+    """Documents of files, plain or packed with gzip, which hold them over any number of lines, one after the other.
 
     A task reads a file in blocks. A document beyond SLICE_BYTES is cut into slices, see ``sliced``, so no
     row holds a project.
@@ -46,8 +46,7 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
         def rows() -> Iterator[tuple[bytes, int | None]]:
             for batch in batches:
                 for name in batch.column(0).to_pylist():
-                    files_, place = store(name)
-                    with files_.open_input_file(place) as file:
+                    with open_file(name) as file:
                         yield from sliced(file, places, SLICE_BYTES)
 
         held, size = [], 0

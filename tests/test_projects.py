@@ -1,14 +1,20 @@
 """Project documents with fields that no schema names, and one import of all their tables."""
 
+import gzip
 import io
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookflow.functions.json_slices import sliced
 from bookflow.operators.tables import OPEN, upsert
+from bookflow.session import _MADE, materialize, scratch_dir
+from bookflow.sinks import projects as sinks
 from bookflow.sinks.projects import export_projects, project_lines, write_documents
 from bookflow.sources import projects as PJ
+from bookflow.sources.stores import Unpacked
 
 
 def documents(spark, *docs):
@@ -138,3 +144,82 @@ def test_large_projects_are_written_and_read_in_pieces(spark, tmp_path):
     assert got == want
     assert sorted((r.result_index, r.title) for r in PJ.project_results(docs).collect()) == [(i, f"c{i}") for i in range(n)]
     assert PJ.project_headers(docs).count() == 5
+
+
+def test_documents_take_little_disk(spark, tmp_path):
+    """Documents are packed, and what they were made of is gone when they are whole: scratch and shuffle files."""
+    header = spark.createDataFrame([("p", "p", "P"), ("q/1", "q", "Q")], "project_id string, id string, title string")
+    text = [(p, i, " ".join(f"w{(i * 31 + k) % 997}" for k in range(400))) for p in ("p", "q/1") for i in range(200)]
+    chaps = spark.createDataFrame(text, "project_id string, i int, text string").repartition(5)
+    spent = scratch_dir(spark)
+    kept = materialize(chaps, "chapters", spent)
+    made, path = set(_MADE[spark.sparkContext.applicationId]) - {spent}, str(tmp_path / "out")
+    shuffles = blocks(spark)
+    results = kept.select("project_id", "i", F.col("text").alias("translatedText"))
+    pieces = export_projects(header, {"chapters": (kept, "i"), "results": (results, "i")}, now())
+    write_documents(pieces, path, 2, spent)
+    assert not blocks(spark) - shuffles and not os.path.exists(spent.removeprefix("file:"))
+    assert {os.listdir(f.removeprefix("file:"))[0] for f in set(_MADE[spark.sparkContext.applicationId]) - made} <= {"heads", "lookup"}
+    files = [str(f) for f in (tmp_path / "out").rglob("*") if f.is_file()]
+    assert sorted(os.path.basename(os.path.dirname(f)) for f in files) == ["project_id=p", "project_id=q%2F1"]
+    assert sum(map(os.path.getsize, files)) < sum(len(t) for *_, t in text)  # of twice as much text
+    docs = PJ.read_projects(spark, path)
+    assert sorted((r.chapter_index, r.text) for r in PJ.project_chapters(docs).collect()) == sorted(t[1:] for t in text)
+    with pytest.raises(FileExistsError):
+        write_documents(pieces, path)
+
+
+def blocks(spark):
+    """Shuffle files of the session."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+
+def test_pieces_in_order(spark, tmp_path, monkeypatch):
+    """Runs of positions, equal and missing positions, copies and small pieces: the same text as by one sort."""
+    monkeypatch.setattr(sinks, "RUN_BITS", 2)
+    ids = ["p", None, "", "a:b", "empty"]
+    heads = [(p, f"{p}", "T") for p in ids] + [("p", "other", None)]
+    header = spark.createDataFrame(heads, "project_id string, id string, title string")
+    far = "x" * 300
+    rows = [(p, i if i % 7 else None, f"{far if i % 3 else ''}{i % 5}") for p in ids[:4] for i in range(-9, 60)]
+    rows += [("p", 8, t) for t in ("a", "a", far + "b", far + "a", far + "a")]
+    chaps = spark.createDataFrame(rows, "project_id string, i int, title string").repartition(6)
+    items = chaps.filter("i > 3").select("project_id", "i", F.col("title").alias("id"))
+    pieces = export_projects(header, {"chapters": (chaps, "i"), "contextBank": (items, "i")}, now()).cache()
+
+    def texts(name):
+        found = spark.read.text(str(tmp_path / name), wholetext=True).select("value", F.col("project_id").cast("string"))
+        parts = [(r.project_id, json.loads(t)) for r in found.collect() for t in split(r.value)]
+        return sorted((str(p), json.dumps(d, sort_keys=True)) for p, d in parts)
+
+    def split(value):
+        at = 0
+        while value[at:].strip():
+            at += len(value[at:]) - len(value[at:].lstrip())
+            _, end = json.JSONDecoder().raw_decode(value[at:])
+            yield value[at : at + end]
+            at += end
+
+    write_documents(pieces, str(tmp_path / "packed"))
+    write_documents(pieces, str(tmp_path / "apart"), 2)
+    monkeypatch.setattr(sinks, "opened_path", lambda *_: None)  # as in a store that tasks do not open
+    write_documents(pieces, str(tmp_path / "text"))
+    assert texts("packed") == texts("apart") == texts("text")
+    assert len(texts("text")) == 6
+
+
+def test_gzip_from_any_place(tmp_path):
+    """Files of small, large and plain members, read on from any place."""
+    parts = [bytes([65 + i % 26]) * (i * 37 % 900) for i in range(300)] + [os.urandom(200_000), b"end"]
+    whole = b"".join(parts)
+    for name, packed in (("many", b"".join(map(gzip.compress, parts))), ("one", gzip.compress(whole)), ("tail", gzip.compress(whole) + bytes(9))):
+        (tmp_path / name).write_bytes(packed)
+        with open(tmp_path / name, "rb") as file:
+            seen = Unpacked(file, step=1000, chunk=64)
+            for at in (0, 5, 150_000, 3, len(whole) - 2, 70_000, 70_001, len(whole) + 9, 0):
+                seen.seek(at)
+                assert seen.tell() == min(at, len(whole))
+                assert [seen.read(10), seen.read(5000)] == [whole[at : at + 10], whole[at + 10 : at + 5010]]
+            seen.seek(11)
+            assert seen.read() == whole[11:]

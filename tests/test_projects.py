@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,10 +155,12 @@ def test_documents_take_little_disk(spark, tmp_path):
     spent = scratch_dir(spark)
     kept = materialize(chaps, "chapters", spent)
     made, path = set(_MADE[spark.sparkContext.applicationId]) - {spent}, str(tmp_path / "out")
-    shuffles = blocks(spark)
     results = kept.select("project_id", "i", F.col("text").alias("translatedText"))
     pieces = export_projects(header, {"chapters": (kept, "i"), "results": (results, "i")}, now())
+    shuffles, until = blocks(spark), time.time() + 30
     write_documents(pieces, path, 2, spent)
+    while blocks(spark) - shuffles and time.time() < until:  # the session deletes them in the background
+        time.sleep(0.2)
     assert not blocks(spark) - shuffles and not os.path.exists(spent.removeprefix("file:"))
     assert {os.listdir(f.removeprefix("file:"))[0] for f in set(_MADE[spark.sparkContext.applicationId]) - made} <= {"heads", "lookup"}
     files = [str(f) for f in (tmp_path / "out").rglob("*") if f.is_file()]
